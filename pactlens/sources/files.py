@@ -104,10 +104,9 @@ def docx_lines(parts: DataFrame) -> DataFrame:
 
 def decode_txt(content: Column) -> Column:
     """``STRUCT<text, encoding, error>``: utf-8 first, then gbk (of which gb2312 is a part)."""
-    return _decode(content)
+    return F.pandas_udf(_decode, schemas.DECODED)(content)
 
 
-@F.pandas_udf(schemas.DECODED)
 def _decode(contents: pd.Series) -> pd.DataFrame:
     def decode(data: bytes) -> tuple:
         for encoding in ("utf-8", "gbk"):
