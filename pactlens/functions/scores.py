@@ -42,6 +42,16 @@ def percent(prob: Column) -> Column:
     return F.when((prob > 0) & (prob <= 1), prob * 100).otherwise(prob)
 
 
+def ranked_labels(values: Column, least: float = vocab.RANKED_PERCENT) -> Column:
+    """``ARRAY<STRUCT<label, percent>>`` of the labels that reach ``least`` percent, the largest first, ties by label.
+
+    Sorted inside the row: no shuffle.
+    """
+    entries = F.transform(values, lambda p, i: F.struct((-percent(p)).alias("minus"), i.alias("label")))
+    kept = F.array_sort(F.filter(entries, lambda e: e["minus"] <= -least))
+    return F.transform(kept, lambda e: F.struct(e["label"].alias("label"), (-e["minus"]).alias("percent")))
+
+
 def log_softmax_at(logits: Column, target: Column) -> Column:
     """log p of the target class, shifted by the maximum so that exp cannot overflow."""
     top = F.array_max(logits)

@@ -9,8 +9,6 @@ from pyspark.sql.window import Window
 from pactlens import vocab
 from pactlens.functions import scores
 
-ALL = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
 
 def confusion(df: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:
     """``y, p, n`` over every pair of the labels that occur on either side.
@@ -102,7 +100,8 @@ def recall_gate(
     """Recall of the high-risk labels, whether each reaches the bound, and whether all do."""
     rows = per_class(df).filter(F.col("label").isin(*labels))
     passed = F.col("recall") >= least
-    return rows.select("label", "recall", passed.alias("passed"), F.every(passed).over(ALL).alias("all_passed"))
+    both = Window.partitionBy(F.lit(1))  # a row per high-risk label
+    return rows.select("label", "recall", passed.alias("passed"), F.every(passed).over(both).alias("all_passed"))
 
 
 def metrics_document(df: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlens.plans import document_queries, text_queries  # noqa: F401
+from pactlens.plans import (  # noqa: F401
+    dataset_queries,
+    document_queries,
+    labelling_queries,
+    model_queries,
+    text_queries,
+)
 from pactlens.plans.registry import ORACLES, QUERIES, Query
 
 

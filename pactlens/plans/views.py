@@ -149,6 +149,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return base.select(*[F.expr(e).alias(c) for c, e in _expressions(name, 0).items()])
 
 
+def clause_projection(lineitem: DataFrame) -> DataFrame:
+    """``clause_src`` over any table shaped like lineitem, such as a stream."""
+    return lineitem.select(*[F.expr(e).alias(c) for c, e in PROJECTIONS["clause_src"][1].items()])
+
+
 def contract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``file, page_no, text, error``: the contract lines of eight neighbouring orders make a page."""
     lines = view(spark, sf_dir, "contract_src").withColumn("page", F.expr("CAST(floor(page_no / 8) AS INT)"))
