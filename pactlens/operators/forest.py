@@ -30,33 +30,45 @@ def train(
 
     The rows are kept while the vocabulary, the weights and the forest each pass over them.
     """
-    rows = with_terms(df.select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"))).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    rows = _training_rows(df, text, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        features = vectorizer(fit_vocabulary(rows))
-        weighted = with_balanced_weight(features.transform(rows))
-        forest = RandomForestClassifier(
-            numTrees=trees,
-            maxDepth=depth,
-            featureSubsetStrategy="sqrt",
-            weightCol="weight",
-            seed=seed,
-            cacheNodeIds=False,
-        ).fit(weighted.select("features", "label", "weight"))
+        return _fit(rows, trees, depth, seed)
     finally:
         rows.unpersist()
+
+
+def _training_rows(df: DataFrame, text: str, label: str, *keys: str) -> DataFrame:
+    """Terms and label, spread evenly: every tree level is another pass over these rows, so one shuffle pays off."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    narrow = df.select(*keys, F.col(text).alias("text"), F.col(label).cast("double").alias("label"))
+    return with_terms(narrow.repartition(parts)).drop("text")
+
+
+def _fit(rows: DataFrame, trees: int, depth: int, seed: int) -> PipelineModel:
+    features = vectorizer(fit_vocabulary(rows))
+    weighted = with_balanced_weight(features.transform(rows))
+    forest = RandomForestClassifier(
+        numTrees=trees,
+        maxDepth=depth,
+        featureSubsetStrategy="sqrt",
+        weightCol="weight",
+        seed=seed,
+        maxMemoryInMB=1024,
+    ).fit(weighted.select("features", "label", "weight"))
     return PipelineModel(stages=[*features.stages, forest])
 
 
 def predict(df: DataFrame, model: PipelineModel, text: str = "text", gate: Column | None = None) -> DataFrame:
     """Adds ``prediction INT`` and ``probability ARRAY<DOUBLE>``; rows outside the gate are not tokenized."""
     wanted = F.col(text) if gate is None else F.when(gate, F.col(text)).otherwise("")
-    scored = model.transform(with_terms(df.withColumn("_scored", wanted), "_scored"))
-    probability = vector_to_array("probability")
-    return scored.select(*df.columns, probability.alias("probability")).withColumn(
-        "prediction", scores.argmax(F.col("probability"))
-    )
+    with_scored = with_terms(df.withColumn("_scored", wanted), "_scored")
+    return _apply(with_scored, model).select(*df.columns, "prediction", "probability")
+
+
+def _apply(terms: DataFrame, model: PipelineModel) -> DataFrame:
+    scored = model.transform(terms).withColumn("probability", vector_to_array("probability"))
+    return scored.withColumn("prediction", scores.argmax(F.col("probability")))
 
 
 def score_clauses(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
@@ -124,13 +136,14 @@ def cross_validate(
     depth: int = vocab.FOREST_DEPTH,
 ) -> DataFrame:
     """``fold, macro_f1`` for k stratified folds.  Features are fitted again per fold, so no test row leaks into them."""
-    rows = folds(df.select(key, text, label), k, label, [key]).persist(StorageLevel.MEMORY_AND_DISK)
+    numbered = folds(df.select(key, text, label), k, label, [key])
+    rows = _training_rows(numbered, text, label, "fold").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         results = []
         for fold in range(k):
-            model = train(rows.filter(F.col("fold") != fold), text, label, trees, depth)
-            tested = predict(rows.filter(F.col("fold") == fold), model, text)
-            pairs = tested.select(F.col(label).cast("int").alias("y"), F.col("prediction").alias("p"))
+            model = _fit(rows.filter(F.col("fold") != fold), trees, depth, vocab.SPLIT_SEED)
+            tested = _apply(rows.filter(F.col("fold") == fold), model)
+            pairs = tested.select(F.col("label").cast("int").alias("y"), F.col("prediction").alias("p"))
             results.append((fold, metrics.overall(pairs).first()["f1"]))
     finally:
         rows.unpersist()

@@ -10,15 +10,25 @@ from pactlens import vocab
 from pactlens.functions import scores
 
 
+def _counted(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """The only pass over the rows: at most K x K counts."""
+    return df.groupBy(F.col(truth).alias("y"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+
+
 def confusion(df: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:
     """``y, p, n`` over every pair of the labels that occur on either side.
 
-    The counting is the only pass over the rows; the grid is opened from one array of the few labels.
+    The few counts become one map, and the grid is opened from the label array next to it, so nothing is read twice.
     """
-    counted = df.groupBy(F.col(truth).alias("y"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    labels = counted.agg(F.array_union(F.collect_set("y"), F.collect_set("p")).alias("labels"))
-    grid = labels.select("labels", F.explode("labels").alias("y")).select("y", F.explode("labels").alias("p"))
-    return grid.join(counted, ["y", "p"], "left").select("y", "p", F.coalesce("n", F.lit(0)).alias("n"))
+    pair = F.struct(F.col("y"), F.col("p"))
+    packed = _counted(df, truth, predicted).agg(
+        F.map_from_entries(F.collect_list(F.struct(pair.alias("k"), "n"))).alias("counts"),
+        F.array_union(F.collect_set("y"), F.collect_set("p")).alias("labels"),
+    )
+    grid = packed.select("counts", "labels", F.explode("labels").alias("y")).select(
+        "counts", "y", F.explode("labels").alias("p")
+    )
+    return grid.select("y", "p", F.coalesce(F.try_element_at("counts", pair), F.lit(0)).alias("n"))
 
 
 def normalized_confusion(df: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:
@@ -29,11 +39,12 @@ def normalized_confusion(df: DataFrame, truth: str = "y", predicted: str = "p")
 
 def per_class(df: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:
     """``label, precision, recall, f1, support``; an undefined value is 0."""
-    sides = confusion(df, truth, predicted).select(
-        "n", (F.col("y") == F.col("p")).alias("hit"), F.explode(F.array(
-            F.struct(F.col("y").alias("label"), F.lit(True).alias("is_truth")),
-            F.struct(F.col("p").alias("label"), F.lit(False).alias("is_truth")),
-        )).alias("side"),
+    both = F.array(
+        F.struct(F.col("y").alias("label"), F.lit(True).alias("is_truth")),
+        F.struct(F.col("p").alias("label"), F.lit(False).alias("is_truth")),
+    )
+    sides = _counted(df, truth, predicted).select(
+        "n", (F.col("y") == F.col("p")).alias("hit"), F.explode(both).alias("side")
     )
     n = F.col("n")
     counts = sides.groupBy(F.col("side.label").alias("label")).agg(
@@ -68,20 +79,22 @@ def overall(df: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:
 def report(df: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:
     """Report rows ``name, precision, recall, f1, support``: one per label, then macro avg, weighted avg, accuracy."""
     classes = per_class(df, truth, predicted)
-    named = classes.select(F.col("label").cast("string").alias("name"), "precision", "recall", "f1", "support")
     weighted = [(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"w_{c}") for c in ("precision", "recall", "f1")]
-    totals = classes.agg(
+    one_row = classes.agg(
+        F.collect_list(
+            F.struct(F.col("label").cast("string").alias("name"), "precision", "recall", "f1", "support")
+        ).alias("named"),
         *[F.avg(c).alias(f"m_{c}") for c in ("precision", "recall", "f1")],
         *weighted,
         (F.sum("tp") / F.sum("support")).alias("acc"),
         F.sum("support").alias("support"),
     )
-    rows = totals.select(F.inline(F.array(
+    averages = F.array(
         _row("macro avg", "m_precision", "m_recall", "m_f1"),
         _row("weighted avg", "w_precision", "w_recall", "w_f1"),
         _row("accuracy", "acc", "acc", "acc"),
-    )))
-    return named.unionByName(rows)
+    )
+    return one_row.select(F.inline(F.concat("named", averages)))
 
 
 def _row(name: str, precision: str, recall: str, f1: str):
