@@ -5,36 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HAN = "\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}"
+HAN = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]"
+_WORD = "[\\p{L}\\p{N}_&&[^\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]]"
+# The lookahead captures the token, then one Han character or one whole word is passed over: pairs overlap, words do not.
+_TOKEN = f"(?=({HAN}{{2}}|(?<!{HAN}){HAN}(?!{HAN})|{_WORD}+))(?:{HAN}|{_WORD}+)"
+_LONG_TOKEN = f"(?=({HAN}{{2}}|{_WORD}{{2,}}))(?:{HAN}|{_WORD}{{2,}})"
 
 
 def tokens(text: Column) -> Column:
     """``ARRAY<STRING>`` of tokens in text order.
 
     A Han run of n characters gives its n-1 bigrams (a run of one gives itself); other runs of letters and digits give
-    one lower-cased word each.
+    one lower-cased word each.  One pattern does it all: no lambda over words.
     """
-    spaced = F.regexp_replace(F.lower(text), f"([{HAN}]+)", " $1 ")
-    runs = F.regexp_extract_all(spaced, F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
-
-    def bigrams(run: Column) -> Column:
-        # Overlapping pairs: the lookahead keeps each second character for the next match.
-        return F.regexp_extract_all(run, F.lit("(?s)(?=(..))."), F.lit(1))
-
-    return F.flatten(
-        F.transform(
-            runs,
-            lambda run: F.when((F.length(run) > 2) & run.rlike(f"\\A[{HAN}]"), bigrams(run)).otherwise(F.array(run)),
-        )
-    )
-
-
-def grams(words: Column) -> Column:
-    """Terms for TF-IDF: words of at least two characters, then pairs of neighbouring ones."""
-    long_words = F.filter(words, lambda w: F.length(w) >= 2)
-    pairs = F.zip_with(
-        long_words,
-        F.slice(long_words, 2, F.greatest(F.size(long_words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(long_words, F.filter(pairs, lambda p: p.isNotNull()))
+    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(1))
+
+
+def long_tokens(text: Column) -> Column:
+    """The tokens of at least two characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_LONG_TOKEN), F.lit(1))
+
+
+def pairs_after(words: Column) -> Column:
+    """The words, followed by each two neighbours joined with a space."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(words, pairs)

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pactlens import vocab
-from pactlens.functions.tokens import grams, tokens
+from pactlens.functions.tokens import long_tokens, pairs_after
 
 
 def with_terms(df: DataFrame, text: str = "text", terms: str = "terms") -> DataFrame:
     """Adds the array of one- and two-word terms of a text."""
-    words = df.withColumn("_words", tokens(F.col(text)))
-    return words.withColumn(terms, grams(F.col("_words"))).drop("_words")
+    words = df.withColumn("_words", long_tokens(F.col(text)))
+    return words.withColumn(terms, pairs_after(F.col("_words"))).drop("_words")
 
 
 def term_counts(df: DataFrame, terms: str = "terms") -> DataFrame:

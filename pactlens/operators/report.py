@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pactlens import vocab
 from pactlens.functions import scores
@@ -64,33 +61,6 @@ def report_lines(predictions: DataFrame, contract: str = "file", position: str =
     warnings, 5 advice.  A report stays rows: nothing gathers a contract into one value.  ``write_report`` sorts them.
     """
     label = F.col("risk_label_id")
-    spread = label_distribution(predictions, contract)
-    total = F.sum("n").over(Window.partitionBy(contract))
-    rejected = F.sum(F.when(label < 0, F.col("n")).otherwise(0)).over(Window.partitionBy(contract))
-    counted = spread.select(contract, "risk_label_id", "n", (total - rejected).alias("total"))
-    basics = counted.groupBy(contract).agg(F.max("total").alias("total")).select(
-        contract,
-        F.lit(1).alias("section"),
-        F.lit(0).cast("bigint").alias("place"),
-        F.concat_ws("", F.lit("# "), F.col(contract).cast("string"), F.lit(" 条款数 "), F.col("total").cast("string")).alias("line"),
-    )
-    # Floor of the share in tenths of a percent: whole numbers only, so every engine prints the same digits.
-    tenths = F.floor(F.col("n") * 1000 / F.col("total"))
-    share = F.concat_ws("", F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
-    accepted = counted.filter(label >= 0)
-    distribution = accepted.select(
-        contract,
-        F.lit(3).alias("section"),
-        label.cast("bigint").alias("place"),
-        F.concat_ws(" ", F.lit("-"), scores.risk_type(label), F.col("n").cast("string"), share).alias("line"),
-    )
-    advice_map = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
-    advice = accepted.filter(label > 0).select(
-        contract,
-        F.lit(5).alias("section"),
-        label.cast("bigint").alias("place"),
-        F.concat_ws(" ", F.lit("-"), scores.risk_type(label), F.element_at(advice_map, label)).alias("line"),
-    )
     item = F.concat_ws(" ", F.lit("-"), F.col("risk_level"), F.col("risk_type"), F.col("text"))
     # A clause at risk is listed once, and once more as a warning when its label is high-risk.
     sections = F.when(label.isin(*vocab.HIGH_RISK_LABELS), F.array(F.lit(2), F.lit(4))).otherwise(F.array(F.lit(2)))
@@ -100,7 +70,35 @@ def report_lines(predictions: DataFrame, contract: str = "file", position: str =
         F.col(position).cast("bigint").alias("place"),
         item.alias("line"),
     )
-    return reduce(lambda a, b: a.unionByName(b), [basics, clauses, distribution, advice])
+    return summary_lines(predictions, contract).unionByName(clauses)
+
+
+def summary_lines(predictions: DataFrame, contract: str) -> DataFrame:
+    """Sections 1, 3 and 5: opened from one array of at most six label counts per contract."""
+    counted = summarize_risks(predictions, contract).select(
+        contract, "total", F.map_entries("risk_distribution").alias("counts")
+    )
+    advice = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
+
+    def line(section: int, place: Column, *words: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), place.cast("bigint").alias("place"), F.concat_ws(" ", *words).alias("line")
+        )
+
+    title = line(1, F.lit(0), F.lit("#"), F.col(contract).cast("string"), F.lit("条款数"), F.col("total").cast("string"))
+
+    def share(e: Column) -> Column:
+        # Floor of the share in tenths of a percent: whole numbers only, so every engine prints the same digits.
+        tenths = F.floor(e["value"] * 1000 / F.col("total"))
+        digits = F.concat_ws("", F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
+        return line(3, e["key"], F.lit("-"), scores.risk_type(e["key"]), e["value"].cast("string"), digits)
+
+    def advise(e: Column) -> Column:
+        return line(5, e["key"], F.lit("-"), scores.risk_type(e["key"]), F.element_at(advice, e["key"]))
+
+    at_risk = F.filter("counts", lambda e: e["key"] > 0)
+    lines = F.concat(F.array(title), F.transform("counts", share), F.transform(at_risk, advise))
+    return counted.select(contract, F.inline(lines))
 
 
 def write_report(lines: DataFrame, path: str, contract: str = "file") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pactlens import vocab
@@ -10,7 +11,7 @@ from pactlens.functions import text as text_functions
 from pactlens.operators import dataset, documents, features, forest, metrics, report, retrieval
 from pactlens.plans import oracle_sql as o
 from pactlens.plans.registry import register
-from pactlens.plans.views import contract_pages, cte, probabilities, table, view
+from pactlens.plans.views import clause_projection, contract_pages, cte, probabilities, table, view
 from pactlens.session import scratch_path
 from pactlens.sources import samples as files
 from pactlens.streaming import scoring
@@ -140,7 +141,7 @@ def b14_confidence(spark, sf_dir):
 
 @register(
     "b19_percent",
-    f"{cte('probabilities')} SELECT vec_id, k - 1 AS label, round(CASE WHEN x > 0 AND x <= 1 THEN x * 100 ELSE x END, 6) AS percent FROM "
+    f"{cte('probabilities')} SELECT vec_id, CAST(k - 1 AS INT) AS label, round(CASE WHEN x > 0 AND x <= 1 THEN x * 100 ELSE x END, 6) AS percent FROM "
     "(SELECT vec_id, unnest(logits) AS x, generate_subscripts(logits, 1) AS k FROM probabilities)",
 )
 def b19_percent(spark, sf_dir):
@@ -150,8 +151,8 @@ def b19_percent(spark, sf_dir):
 
 @register(
     "i1_ranked_probabilities",
-    f"{cte('probabilities')} SELECT vec_id, label, round(percent, 6) AS percent, row_number() OVER (PARTITION BY vec_id ORDER BY percent DESC, label) "
-    "AS rank FROM (SELECT vec_id, k - 1 AS label, x * 100 AS percent FROM (SELECT vec_id, unnest(probability) AS x, "
+    f"{cte('probabilities')} SELECT vec_id, label, round(percent, 6) AS percent, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY percent DESC, label) "
+    "AS INT) AS rank FROM (SELECT vec_id, CAST(k - 1 AS INT) AS label, x * 100 AS percent FROM (SELECT vec_id, unnest(probability) AS x, "
     "generate_subscripts(probability, 1) AS k FROM probabilities)) WHERE percent >= 30",
 )
 def i1_ranked_probabilities(spark, sf_dir):
@@ -275,12 +276,28 @@ def j1_tfidf(spark, sf_dir):
     return _rounded(features.transform_long(rows, features.fit_vocabulary(rows), "doc_id"), "tfidf")
 
 
+@register(
+    "j1_vectors",
+    f"WITH {_DOC_VOCABULARY}, r AS (SELECT doc_id, term, count(*) * any_value(idf) AS raw FROM g JOIN voc USING (term) GROUP BY doc_id, term) "
+    "SELECT doc_id, CAST(count(raw) AS INT) AS n_terms, coalesce(round(max(raw) / sqrt(sum(raw * raw)), 6), 0) AS top FROM documents "
+    "LEFT JOIN r USING (doc_id) GROUP BY doc_id",
+)
+def j1_vectors(spark, sf_dir):
+    """The narrow vector form: how many terms a document has, and its largest weight."""
+    rows = _terms(spark, sf_dir)
+    vectors = features.vectorizer(features.fit_vocabulary(rows)).transform(rows)
+    weights = vectors.select("doc_id", vector_to_array("features").alias("w"))
+    return weights.select(
+        "doc_id", F.size(F.array_remove("w", F.lit(0.0))).alias("n_terms"), F.round(F.array_max("w"), 6).alias("top")
+    )
+
+
 @register(
     "i2_retrieval",
     "WITH q AS (SELECT label, list(m ORDER BY k) AS vec FROM (SELECT label, k, avg(x::DOUBLE) AS m FROM (SELECT label, "
     "unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY label, k) GROUP BY label), "
-    "s AS (SELECT q.label AS query_id, vec_id AS chunk_id, list_cosine_similarity(vec, list_transform(embedding, lambda x: x::DOUBLE)) AS score "
-    "FROM q CROSS JOIN embeddings) SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER "
+    "s AS (SELECT CAST(q.label AS BIGINT) AS query_id, vec_id AS chunk_id, list_cosine_similarity(vec, list_transform(embedding, lambda x: x::DOUBLE)) AS score "
+    "FROM q CROSS JOIN embeddings) SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER "
     "(PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 3",
 )
 def i2_retrieval(spark, sf_dir):
@@ -333,11 +350,11 @@ def j5_file_scoring(spark, sf_dir):
 )
 def j7_stream_labels(spark, sf_dir):
     """Order lines arrive as files and leave as labelled clauses."""
-    from pactlens.plans.views import clause_projection
-
     output = scratch_path(spark, "stream")
-    base = scoring.clause_stream(spark, sf_dir, table(spark, sf_dir, "lineitem").schema, "parquet", "lineitem.parquet")
-    clauses = clause_projection(base)
+    schema = table(spark, sf_dir, "lineitem").schema
+    base = scoring.clause_stream(spark, sf_dir, schema, "parquet", "lineitem.parquet")
+    # One file is one task of the micro-batch; a folder of many files needs no repartition.
+    clauses = clause_projection(base.repartition(spark.sparkContext.defaultParallelism))
     query = scoring.start_scoring(
         clauses,
         lambda df: df.select("id", rules.strict_label(F.col("text")).alias("label")),
