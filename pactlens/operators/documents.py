@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from pactlens import vocab
 from pactlens.functions import rules, text
@@ -73,8 +73,27 @@ def drop_repeated_lines(lines: DataFrame) -> DataFrame:
     return trimmed.groupBy("file", "line").agg(F.min("pos").alias("pos")).select("file", "pos", "line")
 
 
-def _with_chunk(lines: DataFrame, chunk_bits: int) -> DataFrame:
-    return lines.withColumn("chunk", F.shiftright(F.col("pos").cast("bigint"), chunk_bits))
+def _by_chunk(lines: DataFrame, chunk_bits: int) -> DataFrame:
+    """The lines shuffled by (file, chunk).
+
+    Everything else is derived above this exchange, so the branch that summarizes chunks and the branch that reads the
+    summaries share it: the lines move once.
+    """
+    chunk = F.shiftright(F.col("pos").cast("bigint"), chunk_bits)
+    return lines.select("file", "pos", "line", chunk.alias("chunk")).repartition("file", "chunk")
+
+
+def _upto(last: int) -> WindowSpec:
+    return Window.partitionBy("file", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, last)
+
+
+def _over_earlier_chunks(value: Column) -> Column:
+    """Over the chunk summaries of a file: one row per 4,096 pages."""
+    return value.over(Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _last_event() -> Column:
+    return F.max_by("event", F.when(F.col("event").isNotNull(), F.col("pos")))
 
 
 def with_section_state(lines: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
@@ -83,16 +102,12 @@ def with_section_state(lines: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFr
     Inside a chunk the last event comes from a window; the state at the start of a chunk comes from one row per chunk
     with the last event of the earlier ones.
     """
-    tagged = _with_chunk(lines, chunk_bits).withColumn("event", text.section_event(F.col("line")))
-    per_chunk = tagged.groupBy("file", "chunk").agg(
-        F.max_by("event", F.when(F.col("event").isNotNull(), F.col("pos"))).alias("last_event")
-    )
-    earlier = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tagged = _by_chunk(lines, chunk_bits).withColumn("event", text.section_event(F.col("line")))
+    per_chunk = tagged.groupBy("file", "chunk").agg(_last_event().alias("last_event"))
     carried = per_chunk.select(
-        "file", "chunk", F.last("last_event", ignorenulls=True).over(earlier).alias("_carried")
+        "file", "chunk", _over_earlier_chunks(F.last("last_event", ignorenulls=True)).alias("_carried")
     )
-    upto = Window.partitionBy("file", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    inside = tagged.withColumn("_inside", F.last("event", ignorenulls=True).over(upto))
+    inside = tagged.withColumn("_inside", F.last("event", ignorenulls=True).over(_upto(0)))
     return inside.join(carried, ["file", "chunk"], "left").select(
         "file",
         "pos",
@@ -145,42 +160,62 @@ def _pieces(df: DataFrame, source: str, pattern: str, keep: Callable[[Column], C
 
 
 def contract_clauses(
-    lines: DataFrame, band: tuple[int, int] = vocab.CLAUSE_BAND, chunk_bits: int = CHUNK_BITS
+    lines: DataFrame,
+    band: tuple[int, int] = vocab.CLAUSE_BAND,
+    chunk_bits: int = CHUNK_BITS,
+    select_lines: bool = True,
 ) -> DataFrame:
     """``file, clause_no, clause``: what splitting the joined text of a file gives, without joining it.
 
+    ``lines`` must be trimmed and nonempty.  With ``select_lines`` skipped sections and irrelevant lines are left out, as
+    in ``contract_lines``.
+
     No separator spans two lines, so a clause is the run of line fragments with the same number of separators before
-    them.  The running count works per chunk plus the totals of earlier chunks.  The fragments of a clause are gathered
-    first per chunk (still in place, no shuffle); one that is already too long there goes on as a length without text,
-    so no group ever grows beyond a chunk.  ``lines`` must be trimmed and nonempty.
+    them.  The running count works per chunk plus the totals of earlier chunks.  Which lines count depends on the
+    section state at the start of the chunk, so a chunk keeps two totals: lines that count in any case, and lines before
+    its first section event, which count only when the state carried in is off.
     """
-    cut = _with_chunk(lines, chunk_bits).withColumn("fragments", F.split("line", vocab.CLAUSE_SEPARATOR))
-    cut = cut.withColumn("cuts", (F.size("fragments") - 1).cast("bigint"))
-    per_chunk = cut.groupBy("file", "chunk").agg(F.sum("cuts").alias("_cuts"))
-    earlier = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chunk.select(
-        "file", "chunk", F.coalesce(F.sum("_cuts").over(earlier), F.lit(0)).alias("_offset")
+    line = F.col("line")
+    marked = _by_chunk(lines, chunk_bits)
+    if select_lines:
+        relevant = text.keep_paragraph(line) & ~text.is_keep_heading(line)
+        marked = marked.withColumns({"event": text.section_event(line), "relevant": relevant})
+    else:
+        marked = marked.withColumns({"event": F.lit(None).cast("boolean"), "relevant": F.lit(True)})
+    cuts = F.when(F.col("relevant"), F.size(F.split(line, vocab.CLAUSE_SEPARATOR)) - 1).otherwise(0).cast("bigint")
+    counted = (
+        marked.withColumn("cuts", cuts)
+        .withColumn("inside", F.last("event", ignorenulls=True).over(_upto(0)))
+        .withColumn("sure", F.when(F.col("inside") == F.lit(False), F.col("cuts")).otherwise(0))
+        .withColumn("open", F.when(F.col("inside").isNull(), F.col("cuts")).otherwise(0))
+    )
+    per_chunk = counted.groupBy("file", "chunk").agg(
+        _last_event().alias("last_event"), F.sum("sure").alias("n_sure"), F.sum("open").alias("n_open")
+    )
+    skipped = F.coalesce(_over_earlier_chunks(F.last("last_event", ignorenulls=True)), F.lit(False))
+    total = F.col("n_sure") + F.when(F.col("carried"), 0).otherwise(F.col("n_open"))
+    state = per_chunk.withColumn("carried", skipped).select(
+        "file", "chunk", "carried", F.coalesce(_over_earlier_chunks(F.sum(total)), F.lit(0)).alias("offset")
+    )
+    running = counted.withColumns(
+        {c: F.coalesce(F.sum(c).over(_upto(-1)), F.lit(0)) for c in ("sure", "open")}
     )
-    before = Window.partitionBy("file", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = cut.withColumn("_local", F.coalesce(F.sum("cuts").over(before), F.lit(0)))
-    fragments = (
-        numbered.join(offsets, ["file", "chunk"])
-        .select(
-            "file",
-            "chunk",
-            "pos",
-            (F.col("_offset") + F.col("_local")).alias("base"),
-            F.posexplode("fragments").alias("k", "fragment"),
-        )
-        .select(
-            "file",
-            "chunk",
-            "pos",
-            (F.col("base") + F.col("k")).alias("clause_no"),
-            text.strip(F.col("fragment")).alias("f"),
-        )
-        .filter(F.col("f") != "")
+    base = F.col("offset") + F.col("sure") + F.when(F.col("carried"), 0).otherwise(F.col("open"))
+    kept = running.join(state, ["file", "chunk"]).filter(
+        F.col("relevant") & ~F.coalesce("inside", "carried")
     )
+    fragments = kept.select(
+        "file", "chunk", "pos", base.alias("base"), F.posexplode(F.split(line, vocab.CLAUSE_SEPARATOR)).alias("k", "raw")
+    ).select("file", "chunk", "pos", (F.col("base") + F.col("k")).alias("clause_no"), text.strip(F.col("raw")).alias("f"))
+    return _gather_clauses(fragments.filter(F.col("f") != ""), band)
+
+
+def _gather_clauses(fragments: DataFrame, band: tuple[int, int]) -> DataFrame:
+    """Clauses from ``file, chunk, pos, clause_no, f``.
+
+    Gathered first per chunk, in place; a part that is already too long there goes on as a length without text, so no
+    group ever grows beyond a chunk.
+    """
     in_chunk = fragments.groupBy("file", "chunk", "clause_no").agg(
         F.sum(F.length("f")).alias("chars"),
         F.count("*").alias("n"),
@@ -208,7 +243,7 @@ def contract_samples(
 ) -> DataFrame:
     """Cleaned lines of contract files to labelled samples ``file, clause_no, text, label, confidence, source``."""
     usable = lines.filter(~text.skip_file(F.col("file")) & known_format(F.col("file")))
-    clauses = contract_clauses(contract_lines(usable, chunk_bits), chunk_bits=chunk_bits)
+    clauses = contract_clauses(drop_repeated_lines(usable), chunk_bits=chunk_bits)
     labelled = clauses.select(
         "file", "clause_no", F.col("clause").alias("text"), rules.base_label(F.col("clause"), pack).alias("label")
     )

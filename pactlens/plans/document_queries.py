@@ -128,7 +128,7 @@ def e5_clauses(spark, sf_dir):
     f"({_clauses('(' + _joined('contract_src') + ')', 'file')})) WHERE length(clause) BETWEEN 15 AND 130",
 )
 def e5_contract_clauses(spark, sf_dir):
-    return documents.contract_clauses(documents.contract_lines(_lines(spark, sf_dir), _chunked()), chunk_bits=_chunked())
+    return documents.contract_clauses(documents.drop_repeated_lines(_lines(spark, sf_dir)), chunk_bits=_chunked())
 
 
 @register(

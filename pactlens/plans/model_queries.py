@@ -352,9 +352,8 @@ def j7_stream_labels(spark, sf_dir):
     """Order lines arrive as files and leave as labelled clauses."""
     output = scratch_path(spark, "stream")
     schema = table(spark, sf_dir, "lineitem").schema
-    base = scoring.clause_stream(spark, sf_dir, schema, "parquet", "lineitem.parquet")
-    # One file is one task of the micro-batch; a folder of many files needs no repartition.
-    clauses = clause_projection(base.repartition(spark.sparkContext.defaultParallelism))
+    # A glob, because a stream takes a folder or a pattern but no single file.
+    clauses = clause_projection(scoring.clause_stream(spark, f"{sf_dir}/lineitem.parque[t]", schema, "parquet"))
     query = scoring.start_scoring(
         clauses,
         lambda df: df.select("id", rules.strict_label(F.col("text")).alias("label")),

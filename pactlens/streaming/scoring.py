@@ -6,14 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
-def clause_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "json", glob: str | None = None) -> DataFrame:
+def clause_stream(spark: SparkSession, folder: str, schema: str | StructType, fmt: str = "json") -> DataFrame:
     """The files that arrive in a folder."""
-    reader = spark.readStream.schema(schema).format(fmt)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folder)
+    return spark.readStream.schema(schema).format(fmt).load(folder)
 
 
 def start_scoring(
