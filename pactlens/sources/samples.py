@@ -52,12 +52,12 @@ def training_rows(dataset: DataFrame) -> DataFrame:
 
 
 def write_dataset(dataset: DataFrame, path: str) -> None:
-    """Dataset CSV with header and quoted fields (UTF-8 without byte-order mark)."""
-    ordered = dataset.select(*vocab.DATASET_COLUMNS)
-    # An empty text must come back as an empty text, not as null.
-    ordered.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option(
-        "emptyValue", '""'
-    ).csv(path)
+    """Dataset CSV with header and quoted fields (UTF-8 without byte-order mark).
+
+    CSV has no null of its own: an empty text reads back as null, as it does in any reader of the format.
+    """
+    writer = dataset.select(*vocab.DATASET_COLUMNS).write.mode("overwrite").option("header", True)
+    writer.option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def write_splits(rows: DataFrame, path: str) -> None:
