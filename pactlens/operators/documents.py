@@ -16,6 +16,7 @@ from pactlens.functions import rules, text
 # window over a whole file, so a file may be any share of the data.
 PAGE_BITS = 32
 CHUNK_BITS = PAGE_BITS + 12
+PART_PAGES = 4096
 
 
 def explode_lines(df: DataFrame, source: str = "text", pos: str = "pos", line: str = "line") -> DataFrame:
@@ -24,10 +25,12 @@ def explode_lines(df: DataFrame, source: str = "text", pos: str = "pos", line: s
     return df.select(*others, F.posexplode(F.split(F.col(source), "\n")).alias(pos, line))
 
 
-def assemble_pages(pages: DataFrame, clean: bool = False) -> DataFrame:
-    """One row per file: nonblank pages joined by newlines in page order; status ``no_text`` where nothing is left.
+def assemble_pages(pages: DataFrame, clean: bool = False, part_pages: int = PART_PAGES) -> DataFrame:
+    """``file, part, text, status``: nonblank pages joined by newlines in page order.
 
-    ``clean`` runs every page through the cleaning chain.  Without it a failed page leaves a warning line.
+    ``status`` is ``no_text`` where nothing is left.  ``clean`` runs every page through the cleaning chain; without it a
+    failed page leaves a warning line.  A file of up to ``part_pages`` pages is one part; a longer one has further
+    parts, in order, so that no task ever holds a whole file of any size.
     """
     raw = F.coalesce(F.col("text"), F.lit(""))
     bodies = pages.select("file", "page_no", "error", (text.clean_text(raw) if clean else raw).alias("body"))
@@ -39,14 +42,16 @@ def assemble_pages(pages: DataFrame, clean: bool = False) -> DataFrame:
         kept = F.when(F.col("error").isNotNull(), warning).otherwise(nonblank)
     # Blank pages are null structs and never enter the list.
     part = F.when(F.col("kept").isNotNull(), F.struct("page_no", "kept"))
-    grouped = bodies.select("file", "page_no", kept.alias("kept")).groupBy("file").agg(
-        F.sort_array(F.collect_list(part)).alias("parts")
+    number = F.floor(F.col("page_no") / part_pages).alias("part")
+    grouped = bodies.select("file", "page_no", kept.alias("kept")).groupBy("file", number).agg(
+        F.sort_array(F.collect_list(part)).alias("found")
     )
-    joined = F.array_join(F.transform("parts", lambda p: p["kept"]), "\n")
+    joined = F.array_join(F.transform("found", lambda p: p["kept"]), "\n")
     return grouped.select(
         "file",
+        "part",
         joined.alias("text"),
-        F.when(F.size("parts") > 0, "ok").otherwise("no_text").alias("status"),
+        F.when(F.size("found") > 0, "ok").otherwise("no_text").alias("status"),
     )
 
 
@@ -128,13 +133,15 @@ def contract_lines(lines: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     return section_lines(drop_repeated_lines(lines), chunk_bits).filter(text.keep_paragraph(F.col("line")))
 
 
-def join_lines(lines: DataFrame) -> DataFrame:
-    """One row per file: its lines in order with a space between.  A file without lines gives no row.
+def join_lines(lines: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """``file, part, text``: the lines of a file in order with a space between; no row for a file without lines.
 
-    The result is a single value per file by definition; ``contract_clauses`` gives the clauses without building it.
+    A chunk of lines makes a part, so an ordinary file is one row and a huge one several.  A clause may run from one
+    part into the next: ``contract_clauses`` numbers clauses over the whole file without joining it.
     """
+    part = F.shiftright(F.col("pos").cast("bigint"), chunk_bits).alias("part")
     ordered = F.sort_array(F.collect_list(F.struct("pos", "line")))
-    return lines.groupBy("file").agg(F.array_join(F.transform(ordered, lambda p: p["line"]), " ").alias("text"))
+    return lines.groupBy("file", part).agg(F.array_join(F.transform(ordered, lambda p: p["line"]), " ").alias("text"))
 
 
 def split_clauses(df: DataFrame, source: str = "text", band: tuple[int, int] | None = vocab.CLAUSE_BAND) -> DataFrame:

@@ -7,11 +7,18 @@ bucket counts form a small table (groups x 16**digits rows).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKET_DIGITS = 3
+
+
+def bucket_digits(spark: SparkSession) -> int:
+    """Hex digits that give at least four buckets per shuffle partition, and 4,096 at the least."""
+    wanted, digits = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 3
+    while 16**digits < wanted:
+        digits += 1
+    return digits
 
 
 def seeded_hash(seed: int, *keys: Column) -> Column:
@@ -26,7 +33,7 @@ def seeded_rank(
     seed: int,
     rank: str = "rn",
     total: str | None = None,
-    digits: int = BUCKET_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Adds the 1-based rank of each row in its group under the seeded order, and the group size if ``total`` is named.
 
@@ -34,7 +41,7 @@ def seeded_rank(
     be null.
     """
     hashed = df.withColumn("_h", seeded_hash(seed, *[F.col(k) for k in keys]))
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, digits))
+    hashed = hashed.withColumn("_b", F.substring("_h", 1, digits or bucket_digits(df.sparkSession)))
     counts = hashed.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -109,9 +109,13 @@ def e3_section_lines(spark, sf_dir):
     return documents.section_lines(documents.drop_repeated_lines(_lines(spark, sf_dir)), _chunked())
 
 
-@register("e4_joined_lines", f"{cte('contract_src')} {_joined('contract_src')}")
+@register(
+    "e4_joined_lines",
+    f"{cte('contract_src')} SELECT file, pos // {2 ** _chunked()} AS part, string_agg(line, ' ' ORDER BY pos) AS text "
+    f"FROM ({_relevant('contract_src')}) GROUP BY ALL",
+)
 def e4_joined_lines(spark, sf_dir):
-    return documents.join_lines(documents.contract_lines(_lines(spark, sf_dir), _chunked()))
+    return documents.join_lines(documents.contract_lines(_lines(spark, sf_dir), _chunked()), _chunked())
 
 
 @register(
@@ -170,30 +174,33 @@ def c3_file_skip(spark, sf_dir):
     return lines.filter(~text.skip_file(F.col("file"))).groupBy("file").agg(F.count("*").alias("n"))
 
 
+_PART_PAGES = 500  # so that test files have several parts
 _BLANK = f"{o.strip('body')} = ''"
 
 
 @register(
     "a7_page_text",
-    f"{cte('contract_pages')} SELECT file, coalesce(string_agg(part, chr(10) ORDER BY page_no), '') AS text, "
-    "CASE WHEN count(part) > 0 THEN 'ok' ELSE 'no_text' END AS status FROM (SELECT file, page_no, "
+    f"{cte('contract_pages')} SELECT file, CAST(page_no // {_PART_PAGES} AS BIGINT) AS part, "
+    "coalesce(string_agg(body, chr(10) ORDER BY page_no), '') AS text, "
+    "CASE WHEN count(body) > 0 THEN 'ok' ELSE 'no_text' END AS status FROM (SELECT file, page_no, "
     "CASE WHEN error IS NOT NULL THEN chr(10) || '[警告] 第' || CAST(page_no AS VARCHAR) || '页文本抽取失败: ' || error || chr(10) "
-    f"WHEN NOT {_BLANK} THEN body END AS part FROM (SELECT *, coalesce(text, '') AS body FROM contract_pages)) GROUP BY file",
+    f"WHEN NOT {_BLANK} THEN body END AS body FROM (SELECT *, coalesce(text, '') AS body FROM contract_pages)) GROUP BY ALL",
 )
 def a7_page_text(spark, sf_dir):
-    return documents.assemble_pages(contract_pages(spark, sf_dir))
+    return documents.assemble_pages(contract_pages(spark, sf_dir), part_pages=_PART_PAGES)
 
 
 @register(
     "a7_cleaned_page_text",
-    f"{cte('contract_pages')} SELECT file, coalesce(string_agg(cleaned, chr(10) ORDER BY page_no), '') AS text, "
+    f"{cte('contract_pages')} SELECT file, CAST(page_no // {_PART_PAGES} AS BIGINT) AS part, "
+    "coalesce(string_agg(cleaned, chr(10) ORDER BY page_no), '') AS text, "
     "CASE WHEN count(cleaned) > 0 THEN 'ok' ELSE 'no_text' END AS status FROM contract_pages LEFT JOIN "
     f"(SELECT file, page_no, string_agg(line, chr(10) ORDER BY n) AS cleaned FROM "
     f"({o.cleaned_lines('(SELECT * FROM contract_pages WHERE error IS NULL)', 'file, page_no')}) GROUP BY file, page_no) "
-    "USING (file, page_no) GROUP BY file",
+    "USING (file, page_no) GROUP BY ALL",
 )
 def a7_cleaned_page_text(spark, sf_dir):
-    return documents.assemble_pages(contract_pages(spark, sf_dir), clean=True)
+    return documents.assemble_pages(contract_pages(spark, sf_dir), clean=True, part_pages=_PART_PAGES)
 
 
 _CLEAN_LINES = (

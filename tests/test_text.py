@@ -207,3 +207,7 @@ def test_pages(spark):
     assert got == {"a": ("一\n二 \n\n[警告] 第4页文本抽取失败: boom\n", "ok"), "b": ("", "no_text")}
     clean = {r.file: (r.text, r.status) for r in documents.assemble_pages(pages, clean=True).collect()}
     assert clean == {"a": ("一\n二", "ok"), "b": ("", "no_text")}
+    parts = documents.assemble_pages(pages, clean=True, part_pages=2).collect()
+    assert sorted((r.file, r.part, r.text, r.status) for r in parts) == [
+        ("a", 0, "一", "ok"), ("a", 1, "二", "ok"), ("a", 2, "", "no_text"), ("b", 0, "", "no_text"),
+    ]
