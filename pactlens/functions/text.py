@@ -13,7 +13,6 @@ from pactlens import vocab
 SPACE = vocab.SPACES
 SPACE_IN_LINE = SPACE.replace("\n", "")
 
-_NOISE = f"[{vocab.NOISE_SYMBOLS}]+"
 # "." ends at \n only, hence [^\n]; a backslash takes the rest of its line with it when three or more characters follow.
 _PLACEHOLDER = r"_{3,}|…{2,}|\\[^\n]{3,}|…_"
 _PLACEHOLDER_X = "X{2,}|x{2,}"
@@ -65,7 +64,7 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 
 def drop_noise_symbols(text: Column) -> Column:
-    return F.regexp_replace(text, _NOISE, "")
+    return F.translate(text, vocab.NOISE_SYMBOLS, "")
 
 
 def drop_placeholders(text: Column) -> Column:

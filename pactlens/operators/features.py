@@ -22,16 +22,16 @@ def with_terms(df: DataFrame, text: str = "text", terms: str = "terms") -> DataF
 def term_counts(df: DataFrame, terms: str = "terms") -> DataFrame:
     """``term, tf, df`` over the corpus.
 
-    Occurrences and documents are counted in one pass: every occurrence counts for tf, the distinct terms of a row once
-    more for df.  Nothing is grouped by (row, term), so what is shuffled is one partial count per term and task.
+    Occurrences and documents are counted in one pass: a row is opened twice, with all its terms for tf and with its
+    distinct terms for df.  Nothing is grouped by (row, term), so what is shuffled is one partial count per term and
+    task.
     """
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-
-    def marks(values, tf, df_):
-        return F.transform(values, lambda t: F.struct(t.alias("term"), tf.alias("tf"), df_.alias("df")))
-
-    both = F.concat(marks(F.col(terms), one, none), marks(F.array_distinct(terms), none, one))
-    return df.select(F.inline(both)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    views = F.array(
+        F.struct(F.col(terms).alias("terms"), F.lit(1).alias("tf"), F.lit(0).alias("df")),
+        F.struct(F.array_distinct(terms).alias("terms"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
+    )
+    opened = df.select(F.inline(views)).select(F.explode("terms").alias("term"), "tf", "df")
+    return opened.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def fit_vocabulary(

@@ -15,7 +15,7 @@ def strip(x: str) -> str:
 
 
 def noise_symbols(x: str) -> str:
-    return f"translate({x}, '{vocab.NOISE_SYMBOLS}', '')"
+    return f"regexp_replace({x}, '[{vocab.NOISE_SYMBOLS}]+', '', 'g')"
 
 
 def placeholders(x: str) -> str:

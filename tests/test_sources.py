@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pactlens.functions import rules, web
 from pactlens.operators import dataset, documents, fetch, forest, metrics, report
+from pactlens.plans import jobs
 from pactlens.sources import files, samples
 from pactlens.streaming import scoring
 
@@ -110,7 +111,7 @@ def test_csv_round_trip(spark, tmp_path):
 
 def test_jsonl_keeps_null_labels_and_characters(spark, tmp_path):
     samples.write_samples(spark.createDataFrame([("甲方", None)], "text STRING, label STRING"), str(tmp_path / "s"))
-    line = next((tmp_path / "s").glob("part-*")).read_text(encoding="utf-8").strip()
+    line = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "s").glob("part-*")).strip()
     assert json.loads(line) == {"text": "甲方", "label": None} and "甲方" in line
 
 
@@ -242,3 +243,30 @@ def test_docx_lines_feed_the_document_operators(spark, tmp_path):
     lines = files.docx_lines(files.docx_parts(files.list_contracts(spark, str(tmp_path))))
     got = documents.contract_samples(lines).collect()
     assert [(r.text, r.label, r.source) for r in got] == [("待财政拨款后支付合同剩余货款给乙方单位", "1", "gov_bid_file")]
+
+
+def test_jobs_from_contract_folder_to_report(spark, tmp_path):
+    contracts, processed = tmp_path / "contracts", tmp_path / "processed"
+    contracts.mkdir()
+    processed.mkdir()
+    for i in range(3):
+        numbered = "".join(paragraph(f"1.{k}{CLAUSES[k % 3]}第{k}批{i}") for k in range(12))
+        docx(contracts / f"c{i}.docx", numbered)
+    (contracts / "bad.docx").write_bytes(b"?")
+    jobs.parse_folder(spark, str(contracts), str(processed / "bid_contract_samples.jsonl"))
+    labels = [r.label for r in spark.read.json(str(processed / "bid_contract_samples.jsonl")).collect()]
+    assert set(labels) == {"0", "1", "5"}
+    more = [{"text": f"{CLAUSES[i % 3]}另{i}", "label": ("1", "5", "review")[i % 3]} for i in range(60)]
+    (processed / "syn_processed.jsonl").write_text("\n".join(json.dumps(r) for r in more), encoding="utf-8")
+    stats = {(r.kind, r.name): r.n for r in jobs.merge_sources(spark, str(processed), str(tmp_path / "data")).collect()}
+    assert stats["total", None] == len(labels) + 60 and stats["source", "synthetic"] == 60 and stats["label", "review"] == 20
+    jobs.train_baseline(spark, str(tmp_path / "data"), str(tmp_path / "model"), str(tmp_path / "metrics"), trees=10, depth=5)
+    assert spark.read.json(str(tmp_path / "metrics")).first().accuracy > 0.8
+    pages = spark.createDataFrame(
+        [("a.pdf", 1, "。".join(CLAUSES), None)], "file STRING, page_no INT, text STRING, error STRING"
+    )
+    jobs.report_files(pages, str(tmp_path / "model"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "summary")).first().total == 3
+    assert spark.read.text(str(tmp_path / "report" / "text")).filter("value like '# a.pdf%'").count() == 1
+    jobs.parse_pages(pages, str(tmp_path / "parsed"))
+    assert spark.read.schema("text STRING, label STRING").json(str(tmp_path / "parsed")).count() == 1
