@@ -24,16 +24,19 @@ def _clauses(spark, sf_dir):
     return view(spark, sf_dir, "clause_src")
 
 
+_CLEANED = o.squeeze(o.page_marks(o.repeats(o.placeholders(o.noise_symbols("text")))))
+
+
 @register(
     "f1_label_counts",
-    f"{cte('clause_src')} SELECT label, risk_type, risk_level, count(*) AS n FROM clause_src JOIN "
-    f"({o.strict_labels('clause_src')}) USING (text) LEFT JOIN {o.labels_dim()} ON CAST(label_id AS VARCHAR) = label "
-    "GROUP BY label, risk_type, risk_level",
+    f"{cte('clause_src')}, cl AS (SELECT id, {_CLEANED} AS text FROM clause_src) "
+    f"SELECT label, risk_type, risk_level, count(*) AS n FROM cl JOIN ({o.strict_labels('cl')}) USING (text) "
+    f"LEFT JOIN {o.labels_dim()} ON CAST(label_id AS VARCHAR) = label GROUP BY label, risk_type, risk_level",
 )
 def f1_label_counts(spark, sf_dir):
-    cleaned = _clauses(spark, sf_dir).select("id", text.clean_text(F.col("text")).alias("cleaned"), "text")
-    labelled = cleaned.select(rules.strict_label(F.col("text")).alias("label"))
-    counted = labelled.groupBy("label").agg(F.count("*").alias("n"))
+    """Clean, label, count, name."""
+    cleaned = _clauses(spark, sf_dir).select(text.clean_text(F.col("text")).alias("text"))
+    counted = cleaned.groupBy(rules.strict_label(F.col("text")).alias("label")).agg(F.count("*").alias("n"))
     number = F.col("label").try_cast("int")
     return counted.select("label", scores.risk_type(number).alias("risk_type"), scores.risk_level(number).alias("risk_level"), "n")
 
