@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import chat, packing, pieces, quality, simhash, toxicity, warc
+from pactlens.llm import chat, covertree, lines, packing, pieces, quality, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every line that is not alone, and the line of its class that stays."""
+    return lines.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +47,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.packed(docs, docs["doc_id"]).withColumnRenamed("key", "doc_id")
@@ -51,7 +60,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_sentencepiece, op2_warc, op3_quality_rules, op5_toxicity, op6_simhash, op8_packing, op10_chat)}
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (
+        op1_sentencepiece,
+        op2_warc,
+        op3_quality_rules,
+        op4_line_dedup,
+        op5_toxicity,
+        op6_simhash,
+        op7_top_k,
+        op8_packing,
+        op10_chat,
+    )
+}
 
 ORACLES = {
     "op2_warc": """
@@ -62,6 +84,15 @@ ORACLES = {
                CASE WHEN page_id <> first THEN first END AS refers_to, digest AS payload_digest, size AS payload_bytes
         FROM d LEFT JOIN f USING (digest)
     """,
+    "op7_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, d.vec_id,
+                     list_sum(list_transform(list_zip(q.v, d.v), z -> z[1] * z[2]))::BIGINT AS score
+              FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op10_chat": """
         WITH t AS (
             SELECT conv_id, row_number() OVER w AS n, coalesce(role, '') AS r, coalesce(text, '') AS x,
