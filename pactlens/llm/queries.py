@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import chat, covertree, lines, packing, pieces, quality, simhash, toxicity, warc
+from pactlens.llm import chat, covertree, lines, packing, pieces, quality, simhash, substrings, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, docs["doc_id"]).withColumnRenamed("key", "doc_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
         op6_simhash,
         op7_top_k,
         op8_packing,
+        op9_suffix_dedup,
         op10_chat,
     )
 }

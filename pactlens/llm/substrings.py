@@ -14,7 +14,6 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,8 @@ WIDTH = 50
 GRAM = 16
 SPREAD = WIDTH - GRAM  # a string's minimizer starts at most this many bytes behind the string
 BATCH_BYTES = 4 << 20  # texts whose minimizers are found together
-COLLECTION_ROWS = 4096  # distinct strings whose transform is built together
+PART_BYTES = 16 << 20  # text whose minimizers, on average, one task of the middle steps gets
+COLLECTION_ROWS = 4096  # distinct strings whose transform is built together, or one minimizer's, if those are more
 HASHES = {1: np.uint64(0x9E3779B97F4A7C15), 2: np.uint64(0xC2B2AE3D27D4EB4F), 3: np.uint64(0xD6E8FEB86659FD93)}
 
 
@@ -65,71 +65,300 @@ def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, hashes[places]
 
 
-def string_minimizer(hashes: np.ndarray) -> np.ndarray:
-    """The place of the leftmost smallest gram of every WIDTH-byte string, from the gram hashes of one text."""
-    least = _running(hashes, SPREAD + 1, np.minimum)
-    where = np.arange(len(hashes))
-    # A running minimum of (hash, place): doubling keeps the left one of equals.
-    have, values, places = 1, hashes, where
-    while have < SPREAD + 1:
-        step = min(have, SPREAD + 1 - have)
-        left = values[:-step] <= values[step:]
-        places = np.where(left, places[:-step], places[step:])
-        values = np.where(left, values[:-step], values[step:])
-        have += step
-    assert len(least) == len(places)
-    return places
+# --- the transform of one collection ----------------------------------------------------------------------------------
 
 
-# --- the transform of one collection ----------------------------------------------------------------------------------
+def _least_between(prefix: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """min(prefix[low[i] : high[i] + 1]) by a table of minima of power-of-two windows."""
+    span = high - low + 1
+    level = np.frexp(span)[1] - 1
+    out = np.empty(len(low), dtype=prefix.dtype)
+    table = prefix
+    for k in range(int(level.max(initial=0)) + 1):
+        here = np.flatnonzero(level == k)
+        out[here] = np.minimum(table[low[here]], table[high[here] - (1 << k) + 1])
+        table = np.minimum(table[: -(1 << k)], table[1 << k :]) if len(table) > 1 << k else table
+    return out
 
 
 def column_transform(strings: np.ndarray, lengths: np.ndarray, cap: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of a collection in order: (string, start, common prefix with the one before, at most ``cap``).
+    """All suffixes of a collection in order: (string, start, common prefix with the one before it, at most ``cap``).
 
-    ``strings`` is a matrix of bytes, string i has ``lengths[i]`` of them.  In round j the suffixes of length j are
-    inserted, one per string, from the last symbol backwards: the place of the suffix ``c + S`` among those that begin
-    with c follows from how many c stand in the transform before S, which one pass over the transform counts.  Columns
-    (symbol, string, start, common prefix) lie in files that every round reads and writes from front to back.
+    ``strings`` is a matrix of bytes of which row i has ``lengths[i]``; each string ends with a mark of its own, below
+    all bytes.  A round inserts one symbol of every string, from the last one forwards: the transform holds the symbol
+    before each suffix so far, and a suffix extended by that symbol comes where a stable sort by symbol puts it.  The
+    common prefix of two neighbours is one more than the least prefix between their places of the round before, or 0 if
+    their symbols differ.  The four columns lie in files which a round reads and writes from front to back.
     """
-    m, longest = len(strings), int(lengths.max(initial=0))
+    m, longest, total = len(strings), int(lengths.max(initial=0)), int(lengths.sum()) + len(strings)
+    kinds = {"symbol": np.int16, "string": np.int32, "start": np.int32, "prefix": np.uint8}
     with tempfile.TemporaryDirectory() as folder:
-        columns = {"symbol": np.int16, "string": np.int32, "start": np.int32, "prefix": np.uint8}
-        total = int(lengths.sum()) + m
+        files = [{n: np.memmap(f"{folder}/{n}{turn}", dtype=kind, mode="w+", shape=(total,)) for n, kind in kinds.items()} for turn in (0, 1)]
 
-        def column(name: str, turn: int) -> np.ndarray:
-            return np.memmap(f"{folder}/{name}{turn}", dtype=columns[name], mode="w+", shape=(total,))
+        def symbols_before(string: np.ndarray, start: np.ndarray) -> np.ndarray:
+            return np.where(start > 0, strings[string, np.maximum(start - 1, 0)].astype(np.int16), np.int16(-1))
 
-        files = [{name: column(name, turn) for name in columns} for turn in (0, 1)]
-        # Round 0: the empty suffixes, in the order of the strings; each string's end is a symbol of its own below all others.
         now = files[0]
-        now["symbol"][:m] = np.where(lengths > 0, strings[np.arange(m), np.maximum(lengths - 1, 0)].astype(np.int16), -1)
         now["string"][:m], now["start"][:m], now["prefix"][:m] = np.arange(m), lengths, 0
-        size, last = m, np.arange(m, dtype=np.int64)
-        for length in range(1, longest + 1):
-            old, new = files[(length + 1) % 2], files[length % 2]
-            moving = np.flatnonzero(lengths >= length)
-            at = last[moving]
-            symbols = np.asarray(old["symbol"][:size])
-            moved = symbols[at]
-            # Rank of each moved symbol: a stable sort of the transform by symbol maps a place to its suffix's place.
-            order = np.argsort(symbols, kind="stable")
-            rank = np.empty(size, dtype=np.int64)
-            rank[order] = np.arange(size)
-            ends = np.count_nonzero(symbols < 0)
-            # Suffixes known so far that begin with a symbol at all are those that were inserted, and they are in the
-            # order of the symbols that are no longer the latest of their string.
-            latest = np.zeros(size, dtype=bool)
-            latest[at] = True
-            done_before = _inserted_before(symbols, rank, latest, order, ends)
-            target = m + done_before[at]
-            by_target = np.argsort(rank[at], kind="stable")
-            moving, at, moved, target = moving[by_target], at[by_target], moved[by_target], target[by_target]
-            places = target + np.arange(len(target))
-            prefix = _new_prefixes(np.asarray(old["prefix"][:size]), symbols, at, moved, cap)
-            size = _insert(old, new, size, places, moving, lengths[moving] - length, strings, prefix, cap, moved, at)
-            last[moving] = places
-            if len(moving) < m:
-                still = np.setdiff1d(np.arange(m), moving, assume_unique=True)
-                last[still] += np.searchsorted(target, last[still], side="right")
-        return np.array(files[longest % 2]["string"][:size]), np.array(files[longest % 2]["start"][:size]), np.array(files[longest % 2]["prefix"][:size])
+        now["symbol"][:m] = symbols_before(np.arange(m), lengths)
+        size = m
+        for turn in range(1, longest + 1):
+            old, now = files[(turn + 1) % 2], files[turn % 2]
+            symbol = np.asarray(old["symbol"][:size])
+            order = np.argsort(symbol, kind="stable")
+            order = order[np.searchsorted(symbol[order], 0) :]
+            grown = m + len(order)
+            now["string"][:m], now["start"][:m], now["prefix"][:m] = np.arange(m), lengths, 0
+            now["string"][m:grown], now["start"][m:grown] = old["string"][:size][order], old["start"][:size][order] - 1
+            now["symbol"][:grown] = symbols_before(np.asarray(now["string"][:grown]), np.asarray(now["start"][:grown]))
+            prefix = np.zeros(len(order), dtype=np.uint8)
+            same = np.flatnonzero(symbol[order[1:]] == symbol[order[:-1]]) + 1
+            prefix[same] = np.minimum(_least_between(np.asarray(old["prefix"][:size]), order[same - 1] + 1, order[same]), cap - 1) + 1
+            now["prefix"][m:grown] = prefix
+            size = grown
+        return tuple(np.array(now[n][:size]) for n in ("string", "start", "prefix"))
+
+
+def first_owners(windows: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
+    """For every start of a WIDTH-byte string in every window: the smallest owner of a window that has the string."""
+    lengths = np.array([len(w) for w in windows], dtype=np.int64)
+    strings = np.zeros((len(windows), int(lengths.max())), dtype=np.uint8)
+    for row, w in enumerate(windows):
+        strings[row, : len(w)] = np.frombuffer(w, dtype=np.uint8)
+    string, start, prefix = column_transform(strings, lengths)
+    whole = lengths[string] - start >= WIDTH
+    # Shorter suffixes never stand between two longer ones with a common prefix of WIDTH, so they can go first.
+    string, start, joined = string[whole], start[whole], prefix[whole] >= WIDTH
+    out = [np.empty(max(0, n - WIDTH + 1), dtype=np.int64) for n in lengths.tolist()]
+    if len(string):
+        joined[0] = False
+        heads = np.flatnonzero(~joined)
+        least = np.minimum.reduceat(owners[string], heads)[np.cumsum(~joined) - 1]
+        flat = np.concatenate(out)
+        offsets = np.cumsum([0, *(len(o) for o in out)])[:-1]
+        flat[offsets[string] + start] = least
+        out = np.split(flat, offsets[1:])
+    return out
+
+
+# --- the steps on Spark -----------------------------------------------------------------------------------------------
+
+
+def _parts(values: np.ndarray, n_parts: int) -> np.ndarray:
+    return ((values >> np.uint64(20)) % np.uint64(n_parts)).astype(np.int64)
+
+
+def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def places_of_minimizers(docs: DataFrame, n_parts: int) -> DataFrame:
+    """``part`` and, packed, the hash, document and place of every minimizer; a row holds those of some MB of text."""
+    schema = pa.schema([("part", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary()), ("places", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(found: list) -> pa.RecordBatch:
+            hashes, owners, places = (np.concatenate(c) for c in zip(*found, strict=True))
+            part = _parts(hashes, n_parts)
+            order = np.argsort(part, kind="stable")
+            keys, first = np.unique(part[order], return_index=True)
+            cut = [np.split(c[order], first[1:]) for c in (hashes, owners, places)]
+            return _rows(schema, keys, *([x.tobytes() for x in c] for c in cut))
+
+        found, held = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
+                places, hashes = minimizers(data)
+                found.append((hashes, np.full(len(places), doc_id, dtype=np.int64), places.astype(np.int32)))
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    yield packed(found)
+                    found, held = [], 0
+        if found:
+            yield packed(found)
+
+    return docs.where(F.octet_length("text") >= WIDTH).mapInArrow(run, "part long, hashes binary, owners binary, places binary")
+
+
+def shared_places(packed: DataFrame) -> DataFrame:
+    """``doc_id, place, hash`` of the minimizers that at least two documents have."""
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int32()), ("hash", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, owners, places = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=k) for c, k in (("hashes", np.uint64), ("owners", np.int64), ("places", np.int32)))
+        order = np.argsort(hashes, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(hashes[order]) != 0]) if len(order) else order
+        if not len(order):
+            return schema.empty_table()
+        several = np.minimum.reduceat(owners[order], first) != np.maximum.reduceat(owners[order], first)
+        keep = order[np.repeat(several, np.diff(np.r_[first, len(order)]))]
+        return pa.table([owners[keep], places[keep], hashes[keep].view(np.int64)], schema=schema)
+
+    return packed.groupBy("part").applyInArrow(run, "doc_id long, place int, hash long")
+
+
+def windows_of(docs: DataFrame, shared: DataFrame, n_parts: int) -> DataFrame:
+    """``part`` and, packed, the bytes around every shared place with their owners; equal ones of a batch stand once."""
+    schema = pa.schema([
+        ("part", pa.int64()), ("hash", pa.list_(pa.int64())), ("window", pa.list_(pa.binary())), ("owner", pa.list_(pa.list_(pa.int64()))), ("begin", pa.list_(pa.list_(pa.int32()))),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(found: dict) -> pa.RecordBatch:
+            by_part: dict[int, list] = {}
+            for (value, window), owned in found.items():
+                by_part.setdefault((value >> 20) % n_parts, []).append((value, window, owned))
+            columns = [list(by_part), [], [], [], []]
+            for rows in by_part.values():
+                columns[1].append([v - (1 << 64) if v >> 63 else v for v, _, _ in rows])
+                columns[2].append([w for _, w, _ in rows])
+                columns[3].append([[d for d, _ in owned] for _, _, owned in rows])
+                columns[4].append([[b for _, b in owned] for _, _, owned in rows])
+            return _rows(schema, *columns)
+
+        found, held = {}, 0
+        for batch in batches:
+            for doc_id, text, places, values in zip(batch["doc_id"].to_pylist(), batch["text"], batch["places"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
+                data = text.as_buffer().to_pybytes()
+                for place, value in zip(places, values, strict=True):
+                    begin = max(0, place - SPREAD)
+                    found.setdefault((value & 0xFFFFFFFFFFFFFFFF, data[begin : place + WIDTH]), []).append((doc_id, begin))
+                held += len(places)
+                if held >= 50_000:
+                    yield packed(found)
+                    found, held = {}, 0
+        if found:
+            yield packed(found)
+
+    own = shared.groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list("hash").alias("hashes"))
+    rows = docs.join(own, "doc_id").select("doc_id", "text", "places", "hashes")
+    return rows.mapInArrow(run, "part long, hash array<long>, window array<binary>, owner array<array<long>>, begin array<array<int>>")
+
+
+def repeated_spans(packed: DataFrame) -> DataFrame:
+    """``doc_id, spans``: packed pairs (from, to) of bytes that a string of a smaller document covers."""
+    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        owned: dict[int, dict[bytes, list]] = {}
+        for name in range(table.num_rows):
+            row = {c: table[c][name].as_py() for c in ("hash", "window", "owner", "begin")}
+            for value, window, owner, begin in zip(row["hash"], row["window"], row["owner"], row["begin"], strict=True):
+                owned.setdefault(value, {}).setdefault(window, []).extend(zip(owner, begin, strict=True))
+        spans: dict[int, list[int]] = {}
+
+        def covered(windows: list[tuple[bytes, list]], least: list[np.ndarray]) -> None:
+            for (_, owners), first in zip(windows, least, strict=True):
+                for doc, begin in owners:
+                    later = np.flatnonzero(first < doc)
+                    if len(later):
+                        cut = np.flatnonzero(np.diff(later) > WIDTH) + 1
+                        starts, ends = later[np.r_[0, cut]], later[np.r_[cut - 1, -1]]
+                        spans.setdefault(doc, []).extend(np.stack([begin + starts, begin + ends + WIDTH], axis=1).ravel().tolist())
+
+        group: list[tuple[bytes, list]] = []
+
+        def build() -> None:
+            if group:
+                covered(group, first_owners([w for w, _ in group], np.array([min(d for d, _ in o) for _, o in group])))
+                group.clear()
+
+        for windows in owned.values():
+            if len(windows) == 1:  # the places have the same bytes all around: the smallest document has all their strings
+                (window, owners), least = next(iter(windows.items())), min(d for d, _ in next(iter(windows.values())))
+                for doc, begin in owners:
+                    if doc > least and len(window) >= WIDTH:
+                        spans.setdefault(doc, []).extend((begin, begin + len(window)))
+                continue
+            group.extend(windows.items())
+            if len(group) >= COLLECTION_ROWS:
+                build()
+        build()
+        return pa.table([list(spans), [np.array(s, dtype=np.int32).tobytes() for s in spans.values()]], schema=schema)
+
+    return packed.groupBy("part").applyInArrow(run, "doc_id long, spans binary")
+
+
+def removed_spans(docs: DataFrame) -> DataFrame:
+    """``doc_id, spans`` (lists of packed pairs) of the bytes to remove; several rows of a ``doc_id`` are one document."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_parts = max(8, -(-total // PART_BYTES))
+    shared = stored(shared_places(places_of_minimizers(docs, n_parts).repartition(n_parts, "part")), "shared-minimizers")
+    free_shuffles(spark)
+    spans = stored(repeated_spans(windows_of(docs, shared, n_parts).repartition(n_parts, "part")), "repeated-spans")
+    drop_stored(shared)
+    free_shuffles(spark)
+    return spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+
+
+def _cut(raw: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
+    """What is left of a text, the number of bytes removed and of maximal removed runs."""
+    if not spans:
+        return raw, 0, 0
+    pairs = np.frombuffer(b"".join(spans), dtype=np.int32).reshape(-1, 2)
+    change = np.zeros(len(raw) + 1, dtype=np.int64)
+    np.add.at(change, pairs[:, 0], 1)
+    np.add.at(change, pairs[:, 1], -1)
+    gone = np.cumsum(change[:-1]) > 0
+    runs = np.count_nonzero(gone[1:] & ~gone[:-1]) + int(gone[:1].sum())
+    return np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), int(runs)
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``docs``.
+
+    Defined cases: a null text is empty; texts under WIDTH bytes lose nothing; rows without ``doc_id`` are no document, lose
+    nothing and give nothing; of rows that share a ``doc_id`` none counts as smaller; an empty table gives no rows; further
+    columns are ignored.
+    """
+    rows = columns_of(docs, "doc_id", "text")
+    spans = removed_spans(rows.where("doc_id IS NOT NULL"))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text, own in zip(batch["text"], batch["spans"], strict=True):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                kept, removed, runs = _cut(raw, own.as_py())
+                found.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
+            yield _rows(schema, batch["doc_id"].cast(pa.int64()), *(zip(*found, strict=True) if found else ([],) * 4))
+
+    joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` without the bytes that smaller documents have; ``n_chars``, if there is one, is counted again.
+
+    As :func:`report`, but a cut never splits a character: bytes of a character that is only partly covered stay.
+    """
+    spans = removed_spans(columns_of(docs, "doc_id", "text").where("doc_id IS NOT NULL"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [text.as_py() if text.is_valid and not own.is_valid else _cut_text(text, own) for text, own in zip(batch["text"], batch["spans"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], ["row", "text"])
+
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(*others).alias("row")).join(spans, "doc_id", "left").select("row", "text", "spans")
+    cut = rows.mapInArrow(run, rows.select("row", "text").schema)
+    n_chars = {"n_chars": F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in others else {}
+    return cut.select(*("text" if c == "text" else n_chars.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
+def _cut_text(text, own) -> str | None:
+    if not text.is_valid:
+        return None
+    raw = text.as_buffer().to_pybytes()
+    pairs = np.frombuffer(b"".join(own.as_py()), dtype=np.int32).reshape(-1, 2)
+    change = np.zeros(len(raw) + 1, dtype=np.int64)
+    np.add.at(change, pairs[:, 0], 1)
+    np.add.at(change, pairs[:, 1], -1)
+    gone = np.cumsum(change[:-1]) > 0
+    data = np.frombuffer(raw, dtype=np.uint8)
+    heads = np.flatnonzero((data & 0xC0) != 0x80)
+    whole = np.logical_and.reduceat(gone, heads) if len(heads) else gone
+    return data[~np.repeat(whole, np.diff(np.r_[heads, len(data)]))].tobytes().decode()
