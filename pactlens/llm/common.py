@@ -20,16 +20,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files behind a table made by :func:`stored` that no later step reads."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if root.removeprefix("file://") in folder:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's context cleaner delete the shuffle files of finished steps now instead of at some later collection."""
     gc.collect()

@@ -2,9 +2,10 @@
 
 Sorting all suffixes of a corpus column by column would take as many passes over it as its longest text has bytes.  So
 Spark first deals the corpus into collections of short strings that can be sorted on their own: strings of 50 bytes
-that are equal have equal minimizers (the smallest hash among their 16-byte grams), and a minimizer that only one place
-has cannot be in a repeated string.  For the others the bytes around each place are sent to the minimizer's collection,
-whose Burrows-Wheeler transform and common prefixes are built by inserting one symbol of every string per round.
+that are equal have equal minimizers (the smallest hash among their 16-byte grams), and a minimizer that one document
+alone has cannot be in a repeated string.  Places whose bytes all around are equal are settled by that.  For the others
+the bytes around each place are sent to the minimizer's collection, whose Burrows-Wheeler transform and common prefixes
+are built by inserting one symbol of every string per round.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.llm.common import columns_of, drop_stored, free_shuffles, stored
+from pactlens.llm.common import columns_of, free_shuffles, stored
 
 WIDTH = 50
 GRAM = 16
 SPREAD = WIDTH - GRAM  # a string's minimizer starts at most this many bytes behind the string
 BATCH_BYTES = 4 << 20  # texts whose minimizers are found together
 PART_BYTES = 16 << 20  # text whose minimizers, on average, one task of the middle steps gets
-COLLECTION_ROWS = 4096  # distinct strings whose transform is built together, or one minimizer's, if those are more
+COLLECTION_ROWS = 2048  # distinct strings whose transform is built together, or one minimizer's, if those are more
 HASHES = {1: np.uint64(0x9E3779B97F4A7C15), 2: np.uint64(0xC2B2AE3D27D4EB4F), 3: np.uint64(0xD6E8FEB86659FD93)}
 
 
@@ -65,20 +66,70 @@ def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, hashes[places]
 
 
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_INVERSE = np.uint64(pow(int(HASHES[1]), -1, 1 << 64))
+_BYTE_VALUES = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The powers of the multiplier and of its inverse, up to at least n - 1; kept, and grown when a longer text comes."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((HASHES[1], _INVERSE)):
+            factors = np.full(2 * n, base, dtype=np.uint64)
+            factors[0] = 1
+            _POWERS[i] = np.cumprod(factors, dtype=np.uint64)
+    return _POWERS
+
+
+def span_hashes(data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """64-bit hashes of the bytes [from, to) of ``data``, for each list of spans, by differences of one running sum."""
+    power, inverse = _powers(len(data) + 1)
+    running = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * power[: len(data)], dtype=np.uint64, out=running[1:])
+    out = []
+    for begin, end in spans:
+        mixed = (running[end] - running[begin]) * inverse[begin] + (end - begin).astype(np.uint64)
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= HASHES[2]
+        out.append(mixed ^ (mixed >> np.uint64(29)))
+    return out
+
+
+HALF = SPREAD // 2  # of a string's bytes beyond its gram, at least so many lie on one side of it
+
+
+def surroundings(data: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """Hashes of all bytes that a string with its minimizer at the place can have, and 32 bits each of the gram with HALF
+    bytes before it and behind it; 0 where the text ends before."""
+    n = len(data)
+    around, left, right = span_hashes(
+        data,
+        [
+            (np.maximum(places - SPREAD, 0), np.minimum(places + WIDTH, n)),
+            (np.maximum(places - HALF, 0), places + GRAM),
+            (places, np.minimum(places + GRAM + HALF, n)),
+        ],
+    )
+    left = np.where(places >= HALF, (left >> np.uint64(32)) | np.uint64(1), np.uint64(0))
+    right = np.where(places + GRAM + HALF <= n, (right >> np.uint64(32)) | np.uint64(1), np.uint64(0))
+    return [around, left.astype(np.uint32), right.astype(np.uint32)]
+
+
 # --- the transform of one collection ----------------------------------------------------------------------------------
 
 
 def _least_between(prefix: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """min(prefix[low[i] : high[i] + 1]) by a table of minima of power-of-two windows."""
+    """min(prefix[low[i] : high[i] + 1]) by the minima of power-of-two windows, all levels in one table."""
     span = high - low + 1
-    level = np.frexp(span)[1] - 1
-    out = np.empty(len(low), dtype=prefix.dtype)
-    table = prefix
-    for k in range(int(level.max(initial=0)) + 1):
-        here = np.flatnonzero(level == k)
-        out[here] = np.minimum(table[low[here]], table[high[here] - (1 << k) + 1])
-        table = np.minimum(table[: -(1 << k)], table[1 << k :]) if len(table) > 1 << k else table
-    return out
+    level = (span.astype(np.float64).view(np.int64) >> 52) - 1023  # the exponent: the power of two that is in the span
+    n, levels = len(prefix), int(level.max(initial=0)) + 1
+    table = np.zeros((levels, n), dtype=prefix.dtype)
+    table[0] = prefix
+    for k in range(1, levels):
+        half = 1 << (k - 1)
+        np.minimum(table[k - 1, : n - half], table[k - 1, half:], out=table[k, : n - half])
+    flat, row = table.ravel(), level * n
+    return np.minimum(flat[row + low], flat[row + high + 1 - (1 << level)])
 
 
 def column_transform(strings: np.ndarray, lengths: np.ndarray, cap: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,35 +139,37 @@ def column_transform(strings: np.ndarray, lengths: np.ndarray, cap: int = WIDTH)
     all bytes.  A round inserts one symbol of every string, from the last one forwards: the transform holds the symbol
     before each suffix so far, and a suffix extended by that symbol comes where a stable sort by symbol puts it.  The
     common prefix of two neighbours is one more than the least prefix between their places of the round before, or 0 if
-    their symbols differ.  The four columns lie in files which a round reads and writes from front to back.
+    their symbols differ.  The columns (symbol, suffix, prefix) lie in files which a round reads and writes from front
+    to back.
     """
     m, longest, total = len(strings), int(lengths.max(initial=0)), int(lengths.sum()) + len(strings)
-    kinds = {"symbol": np.int16, "string": np.int32, "start": np.int32, "prefix": np.uint8}
+    before = np.full((m, strings.shape[1] + 1), -1, dtype=np.int16)  # the symbol before each suffix; none before a whole string
+    before[:, 1:] = strings
+    width, before = before.shape[1], before.ravel()
+    whole = np.arange(m, dtype=np.int64) * width + lengths  # the empty suffixes: string and start in one number
+    kinds = {"symbol": np.int16, "suffix": np.int64, "prefix": np.uint8}
     with tempfile.TemporaryDirectory() as folder:
         files = [{n: np.memmap(f"{folder}/{n}{turn}", dtype=kind, mode="w+", shape=(total,)) for n, kind in kinds.items()} for turn in (0, 1)]
-
-        def symbols_before(string: np.ndarray, start: np.ndarray) -> np.ndarray:
-            return np.where(start > 0, strings[string, np.maximum(start - 1, 0)].astype(np.int16), np.int16(-1))
-
-        now = files[0]
-        now["string"][:m], now["start"][:m], now["prefix"][:m] = np.arange(m), lengths, 0
-        now["symbol"][:m] = symbols_before(np.arange(m), lengths)
-        size = m
+        for file in files:
+            file["suffix"][:m], file["symbol"][:m], file["prefix"][:m] = whole, before[whole], 0
+        now, size = files[0], m
         for turn in range(1, longest + 1):
             old, now = files[(turn + 1) % 2], files[turn % 2]
-            symbol = np.asarray(old["symbol"][:size])
+            symbol, suffix, common = (np.asarray(old[n][:size]) for n in kinds)
             order = np.argsort(symbol, kind="stable")
-            order = order[np.searchsorted(symbol[order], 0) :]
-            grown = m + len(order)
-            now["string"][:m], now["start"][:m], now["prefix"][:m] = np.arange(m), lengths, 0
-            now["string"][m:grown], now["start"][m:grown] = old["string"][:size][order], old["start"][:size][order] - 1
-            now["symbol"][:grown] = symbols_before(np.asarray(now["string"][:grown]), np.asarray(now["start"][:grown]))
+            order = order[np.count_nonzero(symbol < 0) :]
+            size = m + len(order)
+            grown, sorted_symbols = suffix[order] - 1, symbol[order]
+            now["suffix"][m:size], now["symbol"][m:size] = grown, before[grown]
             prefix = np.zeros(len(order), dtype=np.uint8)
-            same = np.flatnonzero(symbol[order[1:]] == symbol[order[:-1]]) + 1
-            prefix[same] = np.minimum(_least_between(np.asarray(old["prefix"][:size]), order[same - 1] + 1, order[same]), cap - 1) + 1
-            now["prefix"][m:grown] = prefix
-            size = grown
-        return tuple(np.array(now[n][:size]) for n in ("string", "start", "prefix"))
+            low, high = order[:-1] + 1, order[1:].copy()
+            other = np.flatnonzero(sorted_symbols[1:] != sorted_symbols[:-1])
+            high[other] = low[other]
+            prefix[1:] = np.minimum(_least_between(common, np.minimum(low, len(common) - 1), np.minimum(high, len(common) - 1)), cap - 1) + 1
+            prefix[1:][other] = 0
+            now["prefix"][m:size] = prefix
+        suffix, prefix = np.array(now["suffix"][:size]), np.array(now["prefix"][:size])
+    return suffix // width, suffix % width, prefix
 
 
 def first_owners(windows: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
@@ -152,25 +205,27 @@ def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+PLACES = {"hashes": np.uint64, "around": np.uint64, "left": np.uint32, "right": np.uint32, "owners": np.int64, "places": np.int32}
+
+
 def places_of_minimizers(docs: DataFrame, n_parts: int) -> DataFrame:
-    """``part`` and, packed, the hash, document and place of every minimizer; a row holds those of some MB of text."""
-    schema = pa.schema([("part", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary()), ("places", pa.binary())])
+    """``part`` and, packed, hash, surroundings, document and place of every minimizer; a row holds those of some MB of text."""
+    schema = pa.schema([("part", pa.int64()), *((name, pa.binary()) for name in PLACES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(found: list) -> pa.RecordBatch:
-            hashes, owners, places = (np.concatenate(c) for c in zip(*found, strict=True))
-            part = _parts(hashes, n_parts)
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            part = _parts(columns[0], n_parts)
             order = np.argsort(part, kind="stable")
             keys, first = np.unique(part[order], return_index=True)
-            cut = [np.split(c[order], first[1:]) for c in (hashes, owners, places)]
-            return _rows(schema, keys, *([x.tobytes() for x in c] for c in cut))
+            return _rows(schema, keys, *([x.tobytes() for x in np.split(c[order], first[1:])] for c in columns))
 
         found, held = [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
                 places, hashes = minimizers(data)
-                found.append((hashes, np.full(len(places), doc_id, dtype=np.int64), places.astype(np.int32)))
+                found.append((hashes, *surroundings(data, places), np.full(len(places), doc_id, dtype=np.int64), places.astype(np.int32)))
                 held += len(data)
                 if held >= BATCH_BYTES:
                     yield packed(found)
@@ -178,24 +233,59 @@ def places_of_minimizers(docs: DataFrame, n_parts: int) -> DataFrame:
         if found:
             yield packed(found)
 
-    return docs.where(F.octet_length("text") >= WIDTH).mapInArrow(run, "part long, hashes binary, owners binary, places binary")
+    columns = ", ".join(f"{name} binary" for name in PLACES)
+    return docs.where(F.octet_length("text") >= WIDTH).mapInArrow(run, f"part long, {columns}")
+
+
+def _several(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Whether each key is one that different owners have."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+    several = np.minimum.reduceat(owners[order], first) != np.maximum.reduceat(owners[order], first)
+    out = np.empty(len(keys), dtype=bool)
+    out[order] = np.repeat(several, np.diff(np.r_[first, len(keys)]))
+    return out
 
 
 def shared_places(packed: DataFrame) -> DataFrame:
-    """``doc_id, place, hash`` of the minimizers that at least two documents have."""
-    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int32()), ("hash", pa.int64())])
+    """``doc_id, open, places, hashes, sides`` (packed): the places of minimizers that may lie in a string of two documents.
+
+    Such a string has HALF bytes beyond the gram on one side at least, so a place that shares neither side with another
+    document is dropped.  If all that is left of a minimizer has the same bytes all around, its places beyond the
+    smallest document's are settled: those bytes go (``open`` is false).  The rest is to be sorted (``open``);
+    ``sides`` tells which side is shared (1 before, 2 behind), for no more than HALF - 1 bytes count on the other.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("open", pa.bool_()), ("places", pa.binary()), ("hashes", pa.binary()), ("sides", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, owners, places = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=k) for c, k in (("hashes", np.uint64), ("owners", np.int64), ("places", np.int32)))
-        order = np.argsort(hashes, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(hashes[order]) != 0]) if len(order) else order
-        if not len(order):
+        hashes, around, left, right, owners, places = (np.frombuffer(b"".join(table[n].to_pylist()), dtype=kind) for n, kind in PLACES.items())
+        mixed = hashes * HASHES[3]
+        sides = np.zeros(len(hashes), dtype=np.uint8)
+        for side, salt, bit in ((left, HASHES[1], 1), (right, HASHES[2], 2)):
+            there = np.flatnonzero(side)
+            if len(there):
+                sides[there] |= np.uint8(bit) * _several(mixed[there] + side[there].astype(np.uint64) * salt, owners[there])
+        keep = np.flatnonzero(sides)
+        order = keep[np.argsort(hashes[keep], kind="stable")]
+        hashes, around, owners, places, sides = (c[order] for c in (hashes, around, owners, places, sides))
+        if not len(hashes):
             return schema.empty_table()
-        several = np.minimum.reduceat(owners[order], first) != np.maximum.reduceat(owners[order], first)
-        keep = order[np.repeat(several, np.diff(np.r_[first, len(order)]))]
-        return pa.table([owners[keep], places[keep], hashes[keep].view(np.int64)], schema=schema)
-
-    return packed.groupBy("part").applyInArrow(run, "doc_id long, place int, hash long")
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        sizes = np.diff(np.r_[first, len(hashes)])
+        least = np.repeat(np.minimum.reduceat(owners, first), sizes)
+        opened = np.repeat(np.minimum.reduceat(around, first) != np.maximum.reduceat(around, first), sizes)
+        out: list[list] = [[], [], [], [], []]
+        for state, rows in ((False, np.flatnonzero(~opened & (owners > least))), (True, np.flatnonzero(opened))):
+            rows = rows[np.argsort(owners[rows], kind="stable")]
+            docs, cut = np.unique(owners[rows], return_index=True)
+            out[0] += docs.tolist()
+            out[1] += [state] * len(docs)
+            out[2] += [x.tobytes() for x in np.split(places[rows], cut[1:])] if len(docs) else []
+            for column, values in ((out[3], hashes), (out[4], sides)):
+                column += [x.tobytes() for x in np.split(values[rows], cut[1:])] if state and len(docs) else [b""] * len(docs)
+        return pa.table(out, schema=schema)
+
+    return packed.groupBy("part").applyInArrow(run, "doc_id long, open boolean, places binary, hashes binary, sides binary")
 
 
 def windows_of(docs: DataFrame, shared: DataFrame, n_parts: int) -> DataFrame:
@@ -219,11 +309,13 @@ def windows_of(docs: DataFrame, shared: DataFrame, n_parts: int) -> DataFrame:
 
         found, held = {}, 0
         for batch in batches:
-            for doc_id, text, places, values in zip(batch["doc_id"].to_pylist(), batch["text"], batch["places"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
+            for doc_id, text, *own in zip(batch["doc_id"].to_pylist(), *(batch[c] for c in ("text", "places", "hashes", "sides")), strict=True):
                 data = text.as_buffer().to_pybytes()
-                for place, value in zip(places, values, strict=True):
-                    begin = max(0, place - SPREAD)
-                    found.setdefault((value & 0xFFFFFFFFFFFFFFFF, data[begin : place + WIDTH]), []).append((doc_id, begin))
+                places, values, sides = (np.frombuffer(b"".join(x.as_py()), dtype=kind) for x, kind in zip(own, (np.int32, np.uint64, np.uint8), strict=True))
+                begins = np.maximum(0, places - np.where(sides & 1, SPREAD, HALF - 1))
+                ends = places + np.where(sides & 2, WIDTH, GRAM + HALF - 1)
+                for value, begin, end in zip(values.tolist(), begins.tolist(), ends.tolist(), strict=True):
+                    found.setdefault((value, data[begin:end]), []).append((doc_id, begin))
                 held += len(places)
                 if held >= 50_000:
                     yield packed(found)
@@ -231,8 +323,8 @@ def windows_of(docs: DataFrame, shared: DataFrame, n_parts: int) -> DataFrame:
         if found:
             yield packed(found)
 
-    own = shared.groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list("hash").alias("hashes"))
-    rows = docs.join(own, "doc_id").select("doc_id", "text", "places", "hashes")
+    own = shared.where("open").groupBy("doc_id").agg(F.collect_list("places").alias("places"), F.collect_list("hashes").alias("hashes"), F.collect_list("sides").alias("sides"))
+    rows = docs.join(own, "doc_id").select("doc_id", "text", "places", "hashes", "sides")
     return rows.mapInArrow(run, "part long, hash array<long>, window array<binary>, owner array<array<long>>, begin array<array<int>>")
 
 
@@ -265,7 +357,7 @@ def repeated_spans(packed: DataFrame) -> DataFrame:
                 group.clear()
 
         for windows in owned.values():
-            if len(windows) == 1:  # the places have the same bytes all around: the smallest document has all their strings
+            if len(windows) == 1:  # equal bytes: the smallest document has all their strings
                 (window, owners), least = next(iter(windows.items())), min(d for d, _ in next(iter(windows.values())))
                 for doc, begin in owners:
                     if doc > least and len(window) >= WIDTH:
@@ -288,22 +380,21 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     shared = stored(shared_places(places_of_minimizers(docs, n_parts).repartition(n_parts, "part")), "shared-minimizers")
     free_shuffles(spark)
     spans = stored(repeated_spans(windows_of(docs, shared, n_parts).repartition(n_parts, "part")), "repeated-spans")
-    drop_stored(shared)
     free_shuffles(spark)
-    return spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    settled = shared.where("NOT open").select("doc_id", "places", F.lit(None).cast("binary").alias("spans"))
+    both = settled.unionByName(spans.select("doc_id", F.lit(None).cast("binary").alias("places"), "spans"))
+    return both.groupBy("doc_id").agg(F.struct(F.collect_list("places").alias("places"), F.collect_list("spans").alias("spans")).alias("spans"))
 
 
-def _cut(raw: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
-    """What is left of a text, the number of bytes removed and of maximal removed runs."""
-    if not spans:
-        return raw, 0, 0
-    pairs = np.frombuffer(b"".join(spans), dtype=np.int32).reshape(-1, 2)
-    change = np.zeros(len(raw) + 1, dtype=np.int64)
-    np.add.at(change, pairs[:, 0], 1)
-    np.add.at(change, pairs[:, 1], -1)
-    gone = np.cumsum(change[:-1]) > 0
-    runs = np.count_nonzero(gone[1:] & ~gone[:-1]) + int(gone[:1].sum())
-    return np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), int(runs)
+def _gone(size: int, own: dict | None) -> np.ndarray:
+    """Which of the ``size`` bytes of a text go, by its settled places and its spans."""
+    change = np.zeros(size + 1, dtype=np.int64)
+    if own:
+        places = np.frombuffer(b"".join(own["places"]), dtype=np.int32)
+        pairs = np.frombuffer(b"".join(own["spans"]), dtype=np.int32).reshape(-1, 2)
+        np.add.at(change, np.r_[np.maximum(places - SPREAD, 0), pairs[:, 0]], 1)
+        np.add.at(change, np.r_[np.minimum(places + WIDTH, size), pairs[:, 1]], -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -322,8 +413,10 @@ def report(docs: DataFrame) -> DataFrame:
             found = []
             for text, own in zip(batch["text"], batch["spans"], strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                kept, removed, runs = _cut(raw, own.as_py())
-                found.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
+                gone = _gone(len(raw), own.as_py())
+                runs = np.count_nonzero(gone[1:] & ~gone[:-1]) + int(gone[:1].sum())
+                kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
+                found.append((len(raw), int(gone.sum()), int(runs), hashlib.sha256(kept).hexdigest()))
             yield _rows(schema, batch["doc_id"].cast(pa.int64()), *(zip(*found, strict=True) if found else ([],) * 4))
 
     joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
@@ -353,11 +446,7 @@ def _cut_text(text, own) -> str | None:
     if not text.is_valid:
         return None
     raw = text.as_buffer().to_pybytes()
-    pairs = np.frombuffer(b"".join(own.as_py()), dtype=np.int32).reshape(-1, 2)
-    change = np.zeros(len(raw) + 1, dtype=np.int64)
-    np.add.at(change, pairs[:, 0], 1)
-    np.add.at(change, pairs[:, 1], -1)
-    gone = np.cumsum(change[:-1]) > 0
+    gone = _gone(len(raw), own.as_py())
     data = np.frombuffer(raw, dtype=np.uint8)
     heads = np.flatnonzero((data & 0xC0) != 0x80)
     whole = np.logical_and.reduceat(gone, heads) if len(heads) else gone
