@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's context cleaner delete the shuffle files of finished steps now instead of at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the driver's Python lets go first, then its JVM, then the cleaner works beside us
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def columns_of(df: DataFrame, *names: str) -> DataFrame:

@@ -118,80 +118,57 @@ def surroundings(data: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
 # --- the transform of one collection ----------------------------------------------------------------------------------
 
 
-def _least_between(prefix: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """min(prefix[low[i] : high[i] + 1]) by the minima of power-of-two windows, all levels in one table."""
-    span = high - low + 1
-    level = (span.astype(np.float64).view(np.int64) >> 52) - 1023  # the exponent: the power of two that is in the span
-    n, levels = len(prefix), int(level.max(initial=0)) + 1
-    table = np.zeros((levels, n), dtype=prefix.dtype)
-    table[0] = prefix
-    for k in range(1, levels):
-        half = 1 << (k - 1)
-        np.minimum(table[k - 1, : n - half], table[k - 1, half:], out=table[k, : n - half])
-    flat, row = table.ravel(), level * n
-    return np.minimum(flat[row + low], flat[row + high + 1 - (1 << level)])
-
-
-def column_transform(strings: np.ndarray, lengths: np.ndarray, cap: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of a collection in order: (string, start, common prefix with the one before it, at most ``cap``).
+def column_transform(strings: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of a collection in order: (string, start).
 
     ``strings`` is a matrix of bytes of which row i has ``lengths[i]``; each string ends with a mark of its own, below
     all bytes.  A round inserts one symbol of every string, from the last one forwards: the transform holds the symbol
     before each suffix so far, and a suffix extended by that symbol comes where a stable sort by symbol puts it.  The
-    common prefix of two neighbours is one more than the least prefix between their places of the round before, or 0 if
-    their symbols differ.  The columns (symbol, suffix, prefix) lie in files which a round reads and writes from front
-    to back.
+    two columns (symbol, suffix) lie in files which a round reads and writes from front to back.
     """
     m, longest, total = len(strings), int(lengths.max(initial=0)), int(lengths.sum()) + len(strings)
     before = np.full((m, strings.shape[1] + 1), -1, dtype=np.int16)  # the symbol before each suffix; none before a whole string
     before[:, 1:] = strings
     width, before = before.shape[1], before.ravel()
     whole = np.arange(m, dtype=np.int64) * width + lengths  # the empty suffixes: string and start in one number
-    kinds = {"symbol": np.int16, "suffix": np.int64, "prefix": np.uint8}
+    kinds = {"symbol": np.int16, "suffix": np.int64}
     with tempfile.TemporaryDirectory() as folder:
         files = [{n: np.memmap(f"{folder}/{n}{turn}", dtype=kind, mode="w+", shape=(total,)) for n, kind in kinds.items()} for turn in (0, 1)]
         for file in files:
-            file["suffix"][:m], file["symbol"][:m], file["prefix"][:m] = whole, before[whole], 0
+            file["suffix"][:m], file["symbol"][:m] = whole, before[whole]
         now, size = files[0], m
         for turn in range(1, longest + 1):
             old, now = files[(turn + 1) % 2], files[turn % 2]
-            symbol, suffix, common = (np.asarray(old[n][:size]) for n in kinds)
-            order = np.argsort(symbol, kind="stable")
-            order = order[np.count_nonzero(symbol < 0) :]
+            symbol, suffix = np.asarray(old["symbol"][:size]), np.asarray(old["suffix"][:size])
+            order = np.argsort(symbol, kind="stable")[np.count_nonzero(symbol < 0) :]
             size = m + len(order)
-            grown, sorted_symbols = suffix[order] - 1, symbol[order]
+            grown = suffix[order] - 1
             now["suffix"][m:size], now["symbol"][m:size] = grown, before[grown]
-            prefix = np.zeros(len(order), dtype=np.uint8)
-            low, high = order[:-1] + 1, order[1:].copy()
-            other = np.flatnonzero(sorted_symbols[1:] != sorted_symbols[:-1])
-            high[other] = low[other]
-            prefix[1:] = np.minimum(_least_between(common, np.minimum(low, len(common) - 1), np.minimum(high, len(common) - 1)), cap - 1) + 1
-            prefix[1:][other] = 0
-            now["prefix"][m:size] = prefix
-        suffix, prefix = np.array(now["suffix"][:size]), np.array(now["prefix"][:size])
-    return suffix // width, suffix % width, prefix
+        suffix = np.array(now["suffix"][:size])
+    return suffix // width, suffix % width
 
 
 def first_owners(windows: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For every start of a WIDTH-byte string in every window: the smallest owner of a window that has the string."""
+    """For every start of a WIDTH-byte string in every window: the smallest owner of a window that has the string.
+
+    Suffixes with a common prefix of WIDTH bytes are neighbours in the transform.  Common prefixes are compared once,
+    there; carrying them through the rounds took more time than all the rest.
+    """
     lengths = np.array([len(w) for w in windows], dtype=np.int64)
     strings = np.zeros((len(windows), int(lengths.max())), dtype=np.uint8)
     for row, w in enumerate(windows):
         strings[row, : len(w)] = np.frombuffer(w, dtype=np.uint8)
-    string, start, prefix = column_transform(strings, lengths)
+    string, start = column_transform(strings, lengths)
     whole = lengths[string] - start >= WIDTH
-    # Shorter suffixes never stand between two longer ones with a common prefix of WIDTH, so they can go first.
-    string, start, joined = string[whole], start[whole], prefix[whole] >= WIDTH
-    out = [np.empty(max(0, n - WIDTH + 1), dtype=np.int64) for n in lengths.tolist()]
+    string, start = string[whole], start[whole]
+    offsets = np.cumsum(np.maximum(0, lengths - WIDTH + 1))
+    flat = np.empty(offsets[-1], dtype=np.int64)
     if len(string):
-        joined[0] = False
-        heads = np.flatnonzero(~joined)
-        least = np.minimum.reduceat(owners[string], heads)[np.cumsum(~joined) - 1]
-        flat = np.concatenate(out)
-        offsets = np.cumsum([0, *(len(o) for o in out)])[:-1]
-        flat[offsets[string] + start] = least
-        out = np.split(flat, offsets[1:])
-    return out
+        texts = np.lib.stride_tricks.sliding_window_view(strings, WIDTH, axis=1)[string, start]
+        new = np.r_[True, (texts[1:] != texts[:-1]).any(axis=1)]
+        least = np.minimum.reduceat(owners[string], np.flatnonzero(new))[np.cumsum(new) - 1]
+        flat[np.r_[0, offsets[:-1]][string] + start] = least
+    return np.split(flat, offsets[:-1])
 
 
 # --- the steps on Spark -----------------------------------------------------------------------------------------------
