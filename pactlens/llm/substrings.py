@@ -148,27 +148,24 @@ def column_transform(strings: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarr
     return suffix // width, suffix % width
 
 
-def first_owners(windows: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For every start of a WIDTH-byte string in every window: the smallest owner of a window that has the string.
+def first_owners(strings: np.ndarray, lengths: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """For every start of a WIDTH-byte string in every row of ``strings``, one row after the other: the smallest owner of
+    a row that has the string.
 
     Suffixes with a common prefix of WIDTH bytes are neighbours in the transform.  Common prefixes are compared once,
     there; carrying them through the rounds took more time than all the rest.
     """
-    lengths = np.array([len(w) for w in windows], dtype=np.int64)
-    strings = np.zeros((len(windows), int(lengths.max())), dtype=np.uint8)
-    for row, w in enumerate(windows):
-        strings[row, : len(w)] = np.frombuffer(w, dtype=np.uint8)
     string, start = column_transform(strings, lengths)
     whole = lengths[string] - start >= WIDTH
     string, start = string[whole], start[whole]
-    offsets = np.cumsum(np.maximum(0, lengths - WIDTH + 1))
-    flat = np.empty(offsets[-1], dtype=np.int64)
+    sizes = np.maximum(0, lengths - WIDTH + 1)
+    out = np.empty(int(sizes.sum()), dtype=np.int64)
     if len(string):
         texts = np.lib.stride_tricks.sliding_window_view(strings, WIDTH, axis=1)[string, start]
         new = np.r_[True, (texts[1:] != texts[:-1]).any(axis=1)]
         least = np.minimum.reduceat(owners[string], np.flatnonzero(new))[np.cumsum(new) - 1]
-        flat[np.r_[0, offsets[:-1]][string] + start] = least
-    return np.split(flat, offsets[:-1])
+        out[(np.cumsum(sizes) - sizes)[string] + start] = least
+    return out
 
 
 # --- the steps on Spark -----------------------------------------------------------------------------------------------
@@ -224,15 +221,16 @@ def _several(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
     return out
 
 
-def shared_places(packed: DataFrame) -> DataFrame:
-    """``doc_id, open, places, hashes, sides`` (packed): the places of minimizers that may lie in a string of two documents.
+def shared_places(packed: DataFrame, n_parts: int) -> DataFrame:
+    """``part`` (of documents) and, packed, ``owners, places, sides, hashes`` of places that may lie in a string of two
+    documents.
 
     Such a string has HALF bytes beyond the gram on one side at least, so a place that shares neither side with another
     document is dropped.  If all that is left of a minimizer has the same bytes all around, its places beyond the
-    smallest document's are settled: those bytes go (``open`` is false).  The rest is to be sorted (``open``);
-    ``sides`` tells which side is shared (1 before, 2 behind), for no more than HALF - 1 bytes count on the other.
+    smallest document's are settled: those bytes go (``sides`` is 0).  The rest is to be sorted; ``sides`` tells which side
+    is shared (1 before, 2 behind), for no more than HALF - 1 bytes count on the other.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("open", pa.bool_()), ("places", pa.binary()), ("hashes", pa.binary()), ("sides", pa.binary())])
+    schema = pa.schema([("part", pa.int64()), *((n, pa.binary()) for n in ("owners", "places", "sides", "hashes"))])
 
     def run(table: pa.Table) -> pa.Table:
         hashes, around, left, right, owners, places = (np.frombuffer(b"".join(table[n].to_pylist()), dtype=kind) for n, kind in PLACES.items())
@@ -251,44 +249,61 @@ def shared_places(packed: DataFrame) -> DataFrame:
         sizes = np.diff(np.r_[first, len(hashes)])
         least = np.repeat(np.minimum.reduceat(owners, first), sizes)
         opened = np.repeat(np.minimum.reduceat(around, first) != np.maximum.reduceat(around, first), sizes)
-        out: list[list] = [[], [], [], [], []]
-        for state, rows in ((False, np.flatnonzero(~opened & (owners > least))), (True, np.flatnonzero(opened))):
-            rows = rows[np.argsort(owners[rows], kind="stable")]
-            docs, cut = np.unique(owners[rows], return_index=True)
-            out[0] += docs.tolist()
-            out[1] += [state] * len(docs)
-            out[2] += [x.tobytes() for x in np.split(places[rows], cut[1:])] if len(docs) else []
-            for column, values in ((out[3], hashes), (out[4], sides)):
-                column += [x.tobytes() for x in np.split(values[rows], cut[1:])] if state and len(docs) else [b""] * len(docs)
-        return pa.table(out, schema=schema)
-
-    return packed.groupBy("part").applyInArrow(run, "doc_id long, open boolean, places binary, hashes binary, sides binary")
-
-
-def windows_of(docs: DataFrame, shared: DataFrame, n_parts: int) -> DataFrame:
-    """``part`` and, packed, the bytes around every shared place with their owners; equal ones of a batch stand once."""
-    schema = pa.schema([
-        ("part", pa.int64()), ("hash", pa.list_(pa.int64())), ("window", pa.list_(pa.binary())), ("owner", pa.list_(pa.list_(pa.int64()))), ("begin", pa.list_(pa.list_(pa.int32()))),
-    ])
+        rows = np.flatnonzero(opened | (owners > least))
+        bucket = owners[rows] % n_parts
+        rows = rows[np.argsort(bucket, kind="stable")]
+        keys, cut = np.unique(np.sort(bucket), return_index=True)
+        columns = (owners, places, np.where(opened, sides, 0).astype(np.uint8), hashes)
+        return pa.table([keys, *([x.tobytes() for x in np.split(c[rows], cut[1:])] for c in columns)], schema=schema)
+
+    return packed.groupBy("part").applyInArrow(run, "part long, owners binary, places binary, sides binary, hashes binary")
+
+
+def places_by_document(packed: DataFrame) -> DataFrame:
+    """``doc_id`` and, packed, its ``settled`` places, and ``places, sides, hashes`` of the open ones; one row a document."""
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.binary()) for n in ("settled", "places", "sides", "hashes"))])
+
+    def run(table: pa.Table) -> pa.Table:
+        owners, places, sides, hashes = (
+            np.frombuffer(b"".join(table[n].to_pylist()), dtype=k) for n, k in (("owners", np.int64), ("places", np.int32), ("sides", np.uint8), ("hashes", np.uint64))
+        )
+        order = np.lexsort((sides == 0, owners))  # a document's open places, then its settled ones
+        docs, first = np.unique(owners[order], return_index=True)
+        ends = np.r_[first[1:], len(order)]
+        middle = first + np.add.reduceat(sides[order] > 0, first) if len(docs) else first
+        spans = list(zip(first.tolist(), middle.tolist(), ends.tolist(), strict=True))
+        places, sides, hashes = places[order], sides[order], hashes[order]
+        settled = [places[m:e].tobytes() for _, m, e in spans]
+        return pa.table([docs, settled, *([c[f:m].tobytes() for f, m, _ in spans] for c in (places, sides, hashes))], schema=schema)
+
+    return packed.groupBy("part").applyInArrow(run, "doc_id long, settled binary, places binary, sides binary, hashes binary")
+
+
+WINDOWS = {"hashes": np.uint64, "lengths": np.int32, "bytes": np.uint8, "counts": np.int32, "owners": np.int64, "begins": np.int32}
+
+
+def windows_of(docs: DataFrame, places: DataFrame, n_parts: int) -> DataFrame:
+    """``part`` and, packed, the bytes around every open place with their owners; equal ones of a batch stand once."""
+    schema = pa.schema([("part", pa.int64()), *((n, pa.binary()) for n in WINDOWS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(found: dict) -> pa.RecordBatch:
             by_part: dict[int, list] = {}
             for (value, window), owned in found.items():
                 by_part.setdefault((value >> 20) % n_parts, []).append((value, window, owned))
-            columns = [list(by_part), [], [], [], []]
+            columns: list[list] = [list(by_part), *([] for _ in WINDOWS)]
             for rows in by_part.values():
-                columns[1].append([v - (1 << 64) if v >> 63 else v for v, _, _ in rows])
-                columns[2].append([w for _, w, _ in rows])
-                columns[3].append([[d for d, _ in owned] for _, _, owned in rows])
-                columns[4].append([[b for _, b in owned] for _, _, owned in rows])
+                flat = [o for _, _, owned in rows for o in owned]
+                values = [v for v, _, _ in rows], [len(w) for _, w, _ in rows], None, [len(o) for _, _, o in rows], [d for d, _ in flat], [b for _, b in flat]
+                for column, found_values, kind in zip(columns[1:], values, WINDOWS.values(), strict=True):
+                    column.append(b"".join(w for _, w, _ in rows) if found_values is None else np.array(found_values, dtype=kind).tobytes())
             return _rows(schema, *columns)
 
         found, held = {}, 0
         for batch in batches:
             for doc_id, text, *own in zip(batch["doc_id"].to_pylist(), *(batch[c] for c in ("text", "places", "hashes", "sides")), strict=True):
                 data = text.as_buffer().to_pybytes()
-                places, values, sides = (np.frombuffer(b"".join(x.as_py()), dtype=kind) for x, kind in zip(own, (np.int32, np.uint64, np.uint8), strict=True))
+                places, values, sides = (np.frombuffer(x.as_buffer(), dtype=kind) for x, kind in zip(own, (np.int32, np.uint64, np.uint8), strict=True))
                 begins = np.maximum(0, places - np.where(sides & 1, SPREAD, HALF - 1))
                 ends = places + np.where(sides & 2, WIDTH, GRAM + HALF - 1)
                 for value, begin, end in zip(values.tolist(), begins.tolist(), ends.tolist(), strict=True):
@@ -300,77 +315,90 @@ def windows_of(docs: DataFrame, shared: DataFrame, n_parts: int) -> DataFrame:
         if found:
             yield packed(found)
 
-    own = shared.where("open").groupBy("doc_id").agg(F.collect_list("places").alias("places"), F.collect_list("hashes").alias("hashes"), F.collect_list("sides").alias("sides"))
-    rows = docs.join(own, "doc_id").select("doc_id", "text", "places", "hashes", "sides")
-    return rows.mapInArrow(run, "part long, hash array<long>, window array<binary>, owner array<array<long>>, begin array<array<int>>")
+    rows = docs.join(places.where("octet_length(places) > 0"), "doc_id").select("doc_id", "text", "places", "hashes", "sides")
+    return rows.mapInArrow(run, "part long, " + ", ".join(f"{n} binary" for n in WINDOWS))
+
+
+def repeated_spans(packed: DataFrame, n_parts: int) -> DataFrame:
+    """``part`` (of documents) and, packed, documents with the bytes [begin, end) that a string of a smaller one covers."""
+    schema = pa.schema([("part", pa.int64()), *((n, pa.binary()) for n in ("owners", "begins", "ends"))])
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, lengths, data, counts, owners, begins = (np.frombuffer(b"".join(table[n].to_pylist()), dtype=k) for n, k in WINDOWS.items())
+        if not len(hashes):
+            return schema.empty_table()
+        # Equal windows of one minimizer become one: rows of hash, length and padded bytes are sorted as they are.
+        width = SPREAD + WIDTH
+        rows = np.zeros((len(hashes), 12 + width), dtype=np.uint8)
+        rows[:, :8], rows[:, 8:12] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8), lengths.astype(">i4").view(np.uint8).reshape(-1, 4)
+        rows[:, 12:][np.arange(width) < lengths[:, None]] = data
+        _, kept, window = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        window = np.repeat(window, counts)  # the window of each owner
+        least = np.full(len(kept), np.iinfo(np.int64).max)
+        np.minimum.at(least, window, owners)
+        strings, sizes, group = rows[kept, 12:], lengths[kept].astype(np.int64), hashes[kept]
+        heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        cuts, taken = [0], 0
+        for head in np.r_[heads[1:], len(kept)].tolist():  # a minimizer's windows stay together
+            if head - taken >= COLLECTION_ROWS or head == len(kept):
+                cuts.append(head)
+                taken = head
+        first = np.concatenate([first_owners(strings[a:b], sizes[a:b], least[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+        starts = np.maximum(0, sizes - WIDTH + 1)
+        at = np.cumsum(starts) - starts
+        n = starts[window]
+        owner = np.repeat(np.arange(len(window)), n)
+        start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        gone = first[at[window[owner]] + start] < owners[owner]
+        owner, start = owner[gone], start[gone]
+        if not len(owner):
+            return schema.empty_table()
+        new = np.r_[True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)]
+        runs, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:] - 1, len(new) - 1]
+        docs, begin, end = owners[owner[runs]], begins[owner[runs]] + start[runs], begins[owner[runs]] + start[last] + WIDTH
+        order = np.argsort(docs % n_parts, kind="stable")
+        keys, cut = np.unique((docs % n_parts)[order], return_index=True)
+        columns = (docs, begin.astype(np.int32), end.astype(np.int32))
+        return pa.table([keys, *([x.tobytes() for x in np.split(c[order], cut[1:])] for c in columns)], schema=schema)
+
+    return packed.groupBy("part").applyInArrow(run, "part long, owners binary, begins binary, ends binary")
 
 
-def repeated_spans(packed: DataFrame) -> DataFrame:
-    """``doc_id, spans``: packed pairs (from, to) of bytes that a string of a smaller document covers."""
-    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())])
+def spans_by_document(packed: DataFrame) -> DataFrame:
+    """``doc_id, begins, ends``, packed; one row a document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("begins", pa.binary()), ("ends", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        owned: dict[int, dict[bytes, list]] = {}
-        for name in range(table.num_rows):
-            row = {c: table[c][name].as_py() for c in ("hash", "window", "owner", "begin")}
-            for value, window, owner, begin in zip(row["hash"], row["window"], row["owner"], row["begin"], strict=True):
-                owned.setdefault(value, {}).setdefault(window, []).extend(zip(owner, begin, strict=True))
-        spans: dict[int, list[int]] = {}
-
-        def covered(windows: list[tuple[bytes, list]], least: list[np.ndarray]) -> None:
-            for (_, owners), first in zip(windows, least, strict=True):
-                for doc, begin in owners:
-                    later = np.flatnonzero(first < doc)
-                    if len(later):
-                        cut = np.flatnonzero(np.diff(later) > WIDTH) + 1
-                        starts, ends = later[np.r_[0, cut]], later[np.r_[cut - 1, -1]]
-                        spans.setdefault(doc, []).extend(np.stack([begin + starts, begin + ends + WIDTH], axis=1).ravel().tolist())
-
-        group: list[tuple[bytes, list]] = []
-
-        def build() -> None:
-            if group:
-                covered(group, first_owners([w for w, _ in group], np.array([min(d for d, _ in o) for _, o in group])))
-                group.clear()
-
-        for windows in owned.values():
-            if len(windows) == 1:  # equal bytes: the smallest document has all their strings
-                (window, owners), least = next(iter(windows.items())), min(d for d, _ in next(iter(windows.values())))
-                for doc, begin in owners:
-                    if doc > least and len(window) >= WIDTH:
-                        spans.setdefault(doc, []).extend((begin, begin + len(window)))
-                continue
-            group.extend(windows.items())
-            if len(group) >= COLLECTION_ROWS:
-                build()
-        build()
-        return pa.table([list(spans), [np.array(s, dtype=np.int32).tobytes() for s in spans.values()]], schema=schema)
-
-    return packed.groupBy("part").applyInArrow(run, "doc_id long, spans binary")
+        owners, begins, ends = (np.frombuffer(b"".join(table[n].to_pylist()), dtype=k) for n, k in (("owners", np.int64), ("begins", np.int32), ("ends", np.int32)))
+        order = np.argsort(owners, kind="stable")
+        docs, first = np.unique(owners[order], return_index=True)
+        return pa.table([docs, *([x.tobytes() for x in np.split(c[order], first[1:])] for c in (begins, ends))], schema=schema)
+
+    return packed.groupBy("part").applyInArrow(run, "doc_id long, begins binary, ends binary")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans`` (lists of packed pairs) of the bytes to remove; several rows of a ``doc_id`` are one document."""
+    """``doc_id, spans`` of the bytes to remove, packed; several rows of a ``doc_id`` are one document."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_parts = max(8, -(-total // PART_BYTES))
-    shared = stored(shared_places(places_of_minimizers(docs, n_parts).repartition(n_parts, "part")), "shared-minimizers")
+    shared = shared_places(places_of_minimizers(docs, n_parts).repartition(n_parts, "part"), n_parts)
+    places = stored(places_by_document(shared.repartition(n_parts, "part")), "shared-minimizers")
     free_shuffles(spark)
-    spans = stored(repeated_spans(windows_of(docs, shared, n_parts).repartition(n_parts, "part")), "repeated-spans")
+    spans = repeated_spans(windows_of(docs, places, n_parts).repartition(n_parts, "part"), n_parts)
+    spans = stored(spans_by_document(spans.repartition(n_parts, "part")), "repeated-spans")
     free_shuffles(spark)
-    settled = shared.where("NOT open").select("doc_id", "places", F.lit(None).cast("binary").alias("spans"))
-    both = settled.unionByName(spans.select("doc_id", F.lit(None).cast("binary").alias("places"), "spans"))
-    return both.groupBy("doc_id").agg(F.struct(F.collect_list("places").alias("places"), F.collect_list("spans").alias("spans")).alias("spans"))
+    both = places.select("doc_id", "settled").join(spans, "doc_id", "full")
+    return both.select("doc_id", F.struct("settled", "begins", "ends").alias("spans"))
 
 
 def _gone(size: int, own: dict | None) -> np.ndarray:
     """Which of the ``size`` bytes of a text go, by its settled places and its spans."""
     change = np.zeros(size + 1, dtype=np.int64)
     if own:
-        places = np.frombuffer(b"".join(own["places"]), dtype=np.int32)
-        pairs = np.frombuffer(b"".join(own["spans"]), dtype=np.int32).reshape(-1, 2)
-        np.add.at(change, np.r_[np.maximum(places - SPREAD, 0), pairs[:, 0]], 1)
-        np.add.at(change, np.r_[np.minimum(places + WIDTH, size), pairs[:, 1]], -1)
+        settled, begins, ends = (np.frombuffer(own[n] or b"", dtype=np.int32) for n in ("settled", "begins", "ends"))
+        np.add.at(change, np.r_[np.maximum(settled - SPREAD, 0), begins], 1)
+        np.add.at(change, np.r_[np.minimum(settled + WIDTH, size), ends], -1)
     return np.cumsum(change[:-1]) > 0
 
 
