@@ -1,0 +1,90 @@
+"""The registered queries against their SQL and brute force, and the pipeline stage by stage."""
+
+import hashlib
+import zlib
+
+import corpus_pipeline
+import oracle
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from pactlens.llm import packing, quality, queries, substrings
+
+QUERIES = entry.queries()
+
+
+def test_one_query_per_operator():
+    names = [n for n in QUERIES if n.startswith("op")]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert set(queries.ORACLES) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, tiny, name):
+    assert oracle.compare(spark, oracle.connect(tiny), name, QUERIES[name], queries.ORACLES[name], tiny) is None
+
+
+def test_every_document_comes_back(spark, tiny):
+    n = spark.read.parquet(f"{tiny}/documents.parquet").count()
+    for name in ("op1_sentencepiece", "op3_quality_rules", "op5_toxicity", "op6_simhash", "op9_suffix_dedup"):
+        rows = QUERIES[name](spark, tiny)
+        assert rows.count() == n and rows.select("doc_id").distinct().count() == n
+    assert QUERIES["op1_sentencepiece"](spark, tiny).where("NOT same_text").isEmpty()
+
+
+def test_suffix_query_against_brute_force(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").orderBy("doc_id").collect()
+    got = {r.doc_id: r for r in QUERIES["op9_suffix_dedup"](spark, tiny).collect()}
+    seen: set[bytes] = set()
+    for doc in docs:
+        raw = (doc.text or "").encode()
+        strings = [raw[i : i + substrings.WIDTH] for i in range(len(raw) - substrings.WIDTH + 1)]
+        gone = bytearray(len(raw))
+        for i, s in enumerate(strings):
+            if s in seen:
+                gone[i : i + substrings.WIDTH] = b"\x01" * substrings.WIDTH
+        seen.update(strings)
+        row = got[doc.doc_id]
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        assert (row.n_bytes, row.n_removed, row.kept_sha256) == (len(raw), sum(gone), hashlib.sha256(kept).hexdigest())
+
+
+def test_packing_query_has_little_padding(spark, tiny):
+    rows = QUERIES["op8_packing"](spark, tiny).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.first("padded_to").alias("padded")).collect()
+    assert sum(r.padded for r in rows) <= 1.001 * sum(r.n for r in rows)
+
+
+def test_pipeline_stages(spark, tiny, tmp_path):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    kept = [docs.count()]
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, tiny)
+        last = i == len(corpus_pipeline.STAGES) - 1
+        assert last or out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        out.write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        if name == "quality":
+            want = {r.doc_id for r in quality.quality(before).where("kept").collect()}
+            assert {r.doc_id for r in docs.collect()} == want
+        if name == "suffix":
+            left = {r.doc_id: r.text for r in docs.collect()}
+            report = {r.doc_id: r for r in substrings.report(before).collect()}
+            assert all(len(left[i].encode()) >= r.n_bytes - r.n_removed for i, r in report.items())
+            assert all(left[i].encode() == left[i].encode() and (r.n_removed or hashlib.sha256(left[i].encode()).hexdigest() == r.kept_sha256) for i, r in report.items())
+        if last:
+            texts = {r.doc_id: r.text for r in before.collect()}
+            encode = packing.encoder().encode
+            for r in docs.collect():
+                ids = [*encode(texts[r.doc_id] or "", allowed_special="all"), packing.END_ID]
+                piece = b"".join(t.to_bytes(4, "little") for t in ids[r.start : r.start + r.length])
+                assert zlib.crc32(piece) == r.ids_crc32
+        kept.append(docs.select("doc_id").distinct().count())
+    assert kept == sorted(kept, reverse=True) and kept[1] < kept[0] and kept[3] < kept[2]
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "x " * 400, "en", "s", 800)]])
+def test_pipeline_stages_on_odd_tables(spark, tiny, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, tiny).count() >= 0
