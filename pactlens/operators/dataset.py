@@ -38,9 +38,11 @@ def interleave(
     """Shuffled inside each source, then one row per source in turn; adds ``id`` from 1.
 
     The id needs no global sort: a row of rank r in its source comes after every source's first r-1 rows and after the
-    r-th rows of the sources ranked before or equal to its own.  ``keys`` must be unique inside a source.
+    r-th rows of the sources ranked before or equal to its own.  ``keys`` must be unique inside a source.  A source that
+    ``order`` does not name, or none, fails the job: a row is never dropped in silence.
     """
-    known = samples.filter(F.col("source").isin(order))
+    unknown = F.raise_error(F.concat(F.lit("unknown source "), F.coalesce("source", F.lit("null"))))
+    known = samples.withColumn("source", F.when(F.col("source").isin(order), F.col("source")).otherwise(unknown.cast("string")))
     ranked = seeded_rank(known, "source", keys, seed)
     # The source sizes: one row, read as a scalar subquery.
     sizes = known.agg(F.array(*[F.count_if(F.col("source") == s) for s in order]).alias("sizes")).scalar()

@@ -16,7 +16,6 @@ from pactlens.functions import rules, text
 # window over a whole file, so a file may be any share of the data.
 PAGE_BITS = 32
 CHUNK_BITS = PAGE_BITS + 12
-PART_PAGES = 4096
 
 
 def explode_lines(df: DataFrame, source: str = "text", pos: str = "pos", line: str = "line") -> DataFrame:
@@ -25,45 +24,55 @@ def explode_lines(df: DataFrame, source: str = "text", pos: str = "pos", line: s
     return df.select(*others, F.posexplode(F.split(F.col(source), "\n")).alias(pos, line))
 
 
-def assemble_pages(pages: DataFrame, clean: bool = False, part_pages: int = PART_PAGES) -> DataFrame:
-    """``file, part, text, status``: nonblank pages joined by newlines in page order.
+def assemble_pages(pages: DataFrame, clean: bool = False) -> DataFrame:
+    """``file, page_no, text``: the pieces of a file's text, to be read in page order with a newline between.
 
-    ``status`` is ``no_text`` where nothing is left.  ``clean`` runs every page through the cleaning chain; without it a
-    failed page leaves a warning line.  A file of up to ``part_pages`` pages is one part; a longer one has further
-    parts, in order, so that no task ever holds a whole file of any size.
+    Blank pages are left out.  Without ``clean`` a failed page leaves a warning piece; with it every page runs through the
+    cleaning chain and a file with a failed page has no pieces at all, as its reading fails.  The text of a file stays
+    rows, whatever its size; ``file_status`` tells which files have none, ``write_joined`` writes the texts.
     """
-    raw = F.coalesce(F.col("text"), F.lit(""))
-    bodies = pages.select("file", "page_no", "error", (text.clean_text(raw) if clean else raw).alias("body"))
-    nonblank = F.when(text.strip(F.col("body")) != "", F.col("body"))
     if clean:
-        kept = F.when(F.col("error").isNull(), nonblank)
-    else:
-        warning = F.format_string("\n[警告] 第%d页文本抽取失败: %s\n", F.col("page_no"), F.col("error"))
-        kept = F.when(F.col("error").isNotNull(), warning).otherwise(nonblank)
-    # Blank pages are null structs and never enter the list.
-    part = F.when(F.col("kept").isNotNull(), F.struct("page_no", "kept"))
-    number = F.floor(F.col("page_no") / part_pages).alias("part")
-    grouped = bodies.select("file", "page_no", kept.alias("kept")).groupBy("file", number).agg(
-        F.sort_array(F.collect_list(part)).alias("found")
-    )
-    joined = F.array_join(F.transform("found", lambda p: p["kept"]), "\n")
-    return grouped.select(
-        "file",
-        "part",
-        joined.alias("text"),
-        F.when(F.size("found") > 0, "ok").otherwise("no_text").alias("status"),
-    )
+        pages = readable(pages)
+    raw = F.coalesce(F.col("text"), F.lit(""))
+    body = text.clean_text(raw) if clean else raw
+    warning = F.format_string("\n[警告] 第%d页文本抽取失败: %s\n", F.col("page_no"), F.col("error"))
+    piece = F.when(F.col("error").isNotNull(), warning).otherwise(body)
+    pieces = pages.select("file", "page_no", "error", piece.alias("text"))
+    return pieces.filter(F.col("error").isNotNull() | (text.strip(F.col("text")) != "")).drop("error")
+
+
+def file_status(pages: DataFrame, clean: bool = False) -> DataFrame:
+    """``file, status``: ``ok``, ``no_text`` where no page has any, and with ``clean`` ``failed`` where a page failed.
+
+    A maximum per file, which combines before the shuffle.
+    """
+    raw = F.coalesce(F.col("text"), F.lit(""))
+    some = text.strip(text.clean_text(raw) if clean else raw) != ""
+    failed = F.col("error").isNotNull()
+    found = pages.groupBy("file").agg(F.max(failed).alias("failed"), F.max(some | (F.lit(not clean) & failed)).alias("some"))
+    status = F.when(F.lit(clean) & F.col("failed"), "failed").when(F.col("some"), "ok").otherwise("no_text")
+    return found.select("file", status.alias("status"))
+
+
+def readable(pages: DataFrame) -> DataFrame:
+    """The pages of files without a failed page: one that fails gives no rows.  Failed files are one row each."""
+    failed = pages.filter(F.col("error").isNotNull()).select("file").distinct()
+    return pages.join(failed, "file", "left_anti")
 
 
 def page_lines(pages: DataFrame, clean: bool = True) -> DataFrame:
-    """``file, pos, line`` straight from pages: no file is ever assembled into one value."""
+    """``file, pos, line`` straight from the pages of readable files: no file is ever assembled into one value."""
     body = text.clean_text(F.col("text")) if clean else F.col("text")
-    lines = pages.filter(F.col("error").isNull()).select(
-        "file", "page_no", F.posexplode(F.split(body, "\n")).alias("n", "line")
-    )
+    lines = readable(pages).select("file", "page_no", F.posexplode(F.split(body, "\n")).alias("n", "line"))
     return lines.select("file", page_pos(F.col("page_no"), F.col("n")).alias("pos"), "line")
 
 
+def write_joined(pieces: DataFrame, path: str, order: str, source: str = "text", separator: str = "\n") -> None:
+    """Text files in which the pieces of a file stand in order; range partitioning lets one file span several."""
+    ordered = pieces.repartitionByRange("file", order).sortWithinPartitions("file", order)
+    ordered.select(F.col(source).alias("value")).write.option("lineSep", separator).text(path)
+
+
 def page_pos(page: Column, line: Column) -> Column:
     return F.shiftleft(page.cast("bigint"), PAGE_BITS) + line
 
@@ -133,15 +142,16 @@ def contract_lines(lines: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     return section_lines(drop_repeated_lines(lines), chunk_bits).filter(text.keep_paragraph(F.col("line")))
 
 
-def join_lines(lines: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
-    """``file, part, text``: the lines of a file in order with a space between; no row for a file without lines.
+def join_lines(lines: DataFrame) -> DataFrame:
+    """``file, pos, place, text``: the lines of a file as pieces of one text, with the character each begins at.
 
-    A chunk of lines makes a part, so an ordinary file is one row and a huge one several.  A clause may run from one
-    part into the next: ``contract_clauses`` numbers clauses over the whole file without joining it.
+    The joined text is the pieces in ``pos`` order with a space between; ``write_joined`` writes it, and
+    ``contract_clauses`` numbers clauses over the whole file without joining it.  ``place`` comes from a running sum per
+    file, which holds no text.
     """
-    part = F.shiftright(F.col("pos").cast("bigint"), chunk_bits).alias("part")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "line")))
-    return lines.groupBy("file", part).agg(F.array_join(F.transform(ordered, lambda p: p["line"]), " ").alias("text"))
+    order = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.coalesce(F.sum(F.length("line") + 1).over(order), F.lit(0))
+    return lines.select("file", "pos", place.alias("place"), F.col("line").alias("text"))
 
 
 def split_clauses(df: DataFrame, source: str = "text", band: tuple[int, int] | None = vocab.CLAUSE_BAND) -> DataFrame:

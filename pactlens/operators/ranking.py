@@ -37,10 +37,12 @@ def seeded_rank(
 ) -> DataFrame:
     """Adds the 1-based rank of each row in its group under the seeded order, and the group size if ``total`` is named.
 
-    ``keys`` must be unique inside a group: then the hash spreads the group evenly over the buckets.  The group must not
-    be null.
+    ``keys`` must be unique inside a group: then the hash spreads the group evenly over the buckets.  A null group fails
+    the job: the join below would drop its rows in silence.
     """
-    hashed = df.withColumn("_h", seeded_hash(seed, *[F.col(k) for k in keys]))
+    missing = F.raise_error(F.lit(f"{group} must not be null")).cast(df.schema[group].dataType)
+    given = df.withColumn(group, F.coalesce(F.col(group), missing))
+    hashed = given.withColumn("_h", seeded_hash(seed, *[F.col(k) for k in keys]))
     hashed = hashed.withColumn("_b", F.substring("_h", 1, digits or bucket_digits(df.sparkSession)))
     counts = hashed.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,8 +11,8 @@ from pyspark.sql.window import Window
 from pactlens import vocab
 from pactlens.operators.documents import split_sentences
 
-# Query vectors sent to every task at once: 4,096 of a thousand dimensions are 32 MB.
-QUERY_BLOCK = 4096
+# Vectors in a block: of a thousand dimensions a pair of blocks is 32 MB, and its scores are 32 MB.
+BLOCK_ROWS = 2048
 
 
 def knowledge_chunks(documents: DataFrame, key: str, source: str = "text") -> DataFrame:
@@ -22,62 +20,54 @@ def knowledge_chunks(documents: DataFrame, key: str, source: str = "text") -> Da
     return split_sentences(documents.select(key, source), source)
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = vocab.TOP_K) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, own: str, other: str, n_own: int, n_other: int) -> DataFrame:
+    """The rows dealt into ``n_own`` blocks by their key, each sent to every block of the other side."""
+    placed = rows.select(
+        F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int").alias(own), F.col(key).cast("bigint").alias("key"), F.col("vec").cast("array<double>").alias("vec")
+    )
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int = vocab.TOP_K, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id, rank, chunk_id, score``: the k chunks of the highest cosine per query, ties by chunk id.
 
-    Contract only in the reference.  ``chunks`` is ``chunk_id, vec``, ``queries`` is ``query_id, vec``.  Every task
-    multiplies its chunks with the query matrix and keeps k candidates per query, so the shuffle carries
-    k x queries x tasks rows, never all pairs.  More than ``QUERY_BLOCK`` queries are served block by block, each block
-    with its own pass over the chunks.
+    Contract only in the reference.  ``chunks`` is ``chunk_id, vec``, ``queries`` is ``query_id, vec``; rows without a
+    vector take no part.  Both sides are dealt into blocks of about ``block_rows`` vectors; a task multiplies one block
+    with one block and keeps k candidates per query.  No pair of rows leaves it, nothing passes through the driver but
+    the two row counts, and one path serves every size.
     """
-    some = queries.select("query_id", "vec").limit(QUERY_BLOCK + 1).collect()
-    if len(some) <= QUERY_BLOCK:
-        candidates = _candidates(chunks, some, k)
-    else:
-        blocks = 2 * (queries.count() // QUERY_BLOCK + 1)
-        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        candidates = None
-        for b in range(blocks):
-            part = queries.filter(block == b).select("query_id", "vec").collect()
-            if part:
-                found = _candidates(chunks, part, k)
-                candidates = found if candidates is None else candidates.unionByName(found)
+    chunks, queries = (df.where("vec IS NOT NULL") for df in (chunks, queries))
+    n_chunks, n_queries = (max(1, -(-df.count() // block_rows)) for df in (chunks, queries))
+    ids = ["chunk_block", "query_block"]
+    left = _blocks(chunks, "chunk_id", *ids, n_chunks, n_queries).groupBy(*ids)
+    right = _blocks(queries, "query_id", *reversed(ids), n_queries, n_chunks).groupBy(*ids)
+    found = left.cogroup(right).applyInArrow(lambda c, q: _best(c, q, k), "query_id BIGINT, chunk_id BIGINT, score DOUBLE")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return (
-        candidates.withColumn("rank", F.row_number().over(best))
+        found.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "chunk_id", "score")
     )
 
 
-def _candidates(chunks: DataFrame, queries: list, k: int) -> DataFrame:
-    if not queries:
-        return chunks.sparkSession.createDataFrame([], "query_id BIGINT, chunk_id BIGINT, score DOUBLE")
-    names = np.array([q["query_id"] for q in queries])
-    matrix = _unit(np.array([q["vec"] for q in queries], dtype=np.float64))
-
-    def best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = np.empty((len(names), 0), dtype=np.int64)
-        scores = np.empty((len(names), 0))
-        for batch in batches:
-            if batch.empty:
-                continue
-            vectors = _unit(np.stack(batch["vec"].to_numpy()).astype(np.float64))
-            new = matrix @ vectors.T
-            ids = np.hstack([ids, np.broadcast_to(batch["chunk_id"].to_numpy(), new.shape)])
-            scores = np.hstack([scores, new])
-            order = np.lexsort((ids, -scores), axis=1)[:, :k]
-            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-        width = ids.shape[1]
-        yield pd.DataFrame(
-            {"query_id": np.repeat(names, width), "chunk_id": ids.ravel(), "score": scores.ravel()}
-        )
-
-    return chunks.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "vec").mapInPandas(
-        best_of_task, "query_id BIGINT, chunk_id BIGINT, score DOUBLE"
-    )
+def _best(chunks: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """The k best chunks of one block for each query of another; queries go in steps, so a step's scores stay small."""
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+    if not chunks.num_rows or not queries.num_rows:
+        return schema.empty_table()
+    ids, vectors = _unit(chunks)
+    return pa.concat_tables([_step(ids, vectors, *_unit(queries.slice(at, BLOCK_ROWS)), k, schema) for at in range(0, queries.num_rows, BLOCK_ROWS)])
+
+
+def _step(ids: np.ndarray, vectors: np.ndarray, names: np.ndarray, matrix: np.ndarray, k: int, schema: pa.Schema) -> pa.Table:
+    scores = matrix @ vectors.T
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+    values = np.repeat(names, order.shape[1]), ids[order].ravel(), np.take_along_axis(scores, order, 1).ravel()
+    return pa.table([pa.array(v) for v in values], schema=schema)
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+def _unit(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of length one; a zero vector stays zero."""
+    vectors = np.stack(rows["vec"].to_pylist()).astype(np.float64)
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return rows["key"].to_numpy(), np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)

@@ -202,15 +202,22 @@ def h4_balanced_weights(spark, sf_dir):
     return dataset.balanced_weights(_valid(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
+# The target follows the data: six times the largest label and five more, so that every label but perhaps that one lacks rows.
 _PLAN = (
-    _COUNTS + ", plan AS (SELECT label_id AS label, coalesce(n, 0) AS n, CAST(12345 // 6 + CASE WHEN label_id < 12345 % 6 THEN 1 ELSE 0 END "
+    _COUNTS + ", w AS (SELECT 6 * max(n) + 5 AS t FROM c), plan AS (SELECT label_id AS label, coalesce(n, 0) AS n, "
+    "CAST((SELECT t FROM w) // 6 + CASE WHEN label_id < (SELECT t FROM w) % 6 THEN 1 ELSE 0 END "
     f"AS BIGINT) AS target FROM {o.labels_dim()} LEFT JOIN c ON label_id = label WHERE label_id >= 0) "
 )
 
 
+def _target(rows) -> int:
+    return 6 * dataset.label_counts(rows).agg(F.max("n")).first()[0] + 5
+
+
 @register("h13_deficit_plan", _PLAN + "SELECT *, greatest(target - n, 0) AS missing FROM plan")
 def h13_deficit_plan(spark, sf_dir):
-    return dataset.deficit_plan(_valid(spark, sf_dir), 12345)
+    rows = _valid(spark, sf_dir)
+    return dataset.deficit_plan(rows, _target(rows))
 
 
 @register(
@@ -219,7 +226,8 @@ def h13_deficit_plan(spark, sf_dir):
     "ON k = label WHERE target > n",
 )
 def h13_generation_requests(spark, sf_dir):
-    return dataset.generation_requests(_valid(spark, sf_dir), 12345)
+    rows = _valid(spark, sf_dir)
+    return dataset.generation_requests(rows, _target(rows))
 
 
 @register(

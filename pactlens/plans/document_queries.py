@@ -111,11 +111,15 @@ def e3_section_lines(spark, sf_dir):
 
 @register(
     "e4_joined_lines",
-    f"{cte('contract_src')} SELECT file, pos // {2 ** _chunked()} AS part, string_agg(line, ' ' ORDER BY pos) AS text "
-    f"FROM ({_relevant('contract_src')}) GROUP BY ALL",
+    f"{cte('contract_src')}, r AS ({_relevant('contract_src')}), j AS (SELECT file, string_agg(line, ' ' ORDER BY pos) AS whole, "
+    "list(pos ORDER BY pos) AS ps, list(line ORDER BY pos) AS ls FROM r GROUP BY file), "
+    "u AS (SELECT file, whole, unnest(ps) AS pos, unnest(ls) AS line, generate_subscripts(ps, 1) AS k, ls FROM j) "
+    "SELECT file, pos, CAST(k - 1 + coalesce(list_sum(list_transform(ls[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS place, "
+    "substr(whole, CAST(k + coalesce(list_sum(list_transform(ls[1:k - 1], lambda x: length(x))), 0) AS BIGINT), length(line)) AS text FROM u",
 )
 def e4_joined_lines(spark, sf_dir):
-    return documents.join_lines(documents.contract_lines(_lines(spark, sf_dir), _chunked()), _chunked())
+    """The pieces of every file's joined text; the SQL cuts them out of the whole text, one per file."""
+    return documents.join_lines(documents.contract_lines(_lines(spark, sf_dir), _chunked()))
 
 
 @register(
@@ -174,38 +178,42 @@ def c3_file_skip(spark, sf_dir):
     return lines.filter(~text.skip_file(F.col("file"))).groupBy("file").agg(F.count("*").alias("n"))
 
 
-_PART_PAGES = 500  # so that test files have several parts
 _BLANK = f"{o.strip('body')} = ''"
+# One failed page fails the reading of its file.
+_READABLE = "(SELECT * FROM contract_pages WHERE file NOT IN (SELECT file FROM contract_pages WHERE error IS NOT NULL))"
 
 
 @register(
     "a7_page_text",
-    f"{cte('contract_pages')} SELECT file, CAST(page_no // {_PART_PAGES} AS BIGINT) AS part, "
-    "coalesce(string_agg(body, chr(10) ORDER BY page_no), '') AS text, "
-    "CASE WHEN count(body) > 0 THEN 'ok' ELSE 'no_text' END AS status FROM (SELECT file, page_no, "
+    f"{cte('contract_pages')} SELECT file, page_no, body AS text FROM (SELECT file, page_no, "
     "CASE WHEN error IS NOT NULL THEN chr(10) || '[警告] 第' || CAST(page_no AS VARCHAR) || '页文本抽取失败: ' || error || chr(10) "
-    f"WHEN NOT {_BLANK} THEN body END AS body FROM (SELECT *, coalesce(text, '') AS body FROM contract_pages)) GROUP BY ALL",
+    f"WHEN NOT {_BLANK} THEN body END AS body FROM (SELECT *, coalesce(text, '') AS body FROM contract_pages)) WHERE body IS NOT NULL",
 )
 def a7_page_text(spark, sf_dir):
-    return documents.assemble_pages(contract_pages(spark, sf_dir), part_pages=_PART_PAGES)
+    return documents.assemble_pages(contract_pages(spark, sf_dir))
+
+
+@register(
+    "a7_page_status",
+    f"{cte('contract_pages')} SELECT file, CASE WHEN count(*) FILTER (error IS NOT NULL OR NOT {_BLANK}) > 0 THEN 'ok' ELSE 'no_text' END AS status "
+    "FROM (SELECT *, coalesce(text, '') AS body FROM contract_pages) GROUP BY file",
+)
+def a7_page_status(spark, sf_dir):
+    return documents.file_status(contract_pages(spark, sf_dir))
 
 
 @register(
     "a7_cleaned_page_text",
-    f"{cte('contract_pages')} SELECT file, CAST(page_no // {_PART_PAGES} AS BIGINT) AS part, "
-    "coalesce(string_agg(cleaned, chr(10) ORDER BY page_no), '') AS text, "
-    "CASE WHEN count(cleaned) > 0 THEN 'ok' ELSE 'no_text' END AS status FROM contract_pages LEFT JOIN "
-    f"(SELECT file, page_no, string_agg(line, chr(10) ORDER BY n) AS cleaned FROM "
-    f"({o.cleaned_lines('(SELECT * FROM contract_pages WHERE error IS NULL)', 'file, page_no')}) GROUP BY file, page_no) "
-    "USING (file, page_no) GROUP BY ALL",
+    f"{cte('contract_pages')} SELECT file, page_no, string_agg(line, chr(10) ORDER BY n) AS text FROM "
+    f"({o.cleaned_lines(_READABLE, 'file, page_no')}) GROUP BY file, page_no",
 )
 def a7_cleaned_page_text(spark, sf_dir):
-    return documents.assemble_pages(contract_pages(spark, sf_dir), clean=True, part_pages=_PART_PAGES)
+    return documents.assemble_pages(contract_pages(spark, sf_dir), clean=True)
 
 
 _CLEAN_LINES = (
     "SELECT file, CAST(page_no AS BIGINT) * 4294967296 + n AS pos, line FROM "
-    f"({o.cleaned_lines('(SELECT * FROM contract_pages WHERE error IS NULL)', 'file, page_no')}) WHERE NOT "
+    f"({o.cleaned_lines(_READABLE, 'file, page_no')}) WHERE NOT "
     f"{o.any_of('file', vocab.FILE_NAME_SKIP)}"
 )
 _SAMPLE_CLAUSES = (

@@ -90,12 +90,11 @@ def b1_clean_html(spark, sf_dir):
 
 @register(
     "b17_tokens",
-    f"SELECT doc_id, string_agg(token, ' ' ORDER BY n, k) AS words FROM ({o.token_rows('documents', 'doc_id')}) GROUP BY doc_id",
+    f"SELECT doc_id, coalesce(words, '') AS words FROM documents LEFT JOIN (SELECT doc_id, string_agg(token, ' ' ORDER BY n, k) AS words "
+    f"FROM ({o.token_rows('documents', 'doc_id')}) GROUP BY doc_id) USING (doc_id)",
 )
 def b17_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.array_join(tokens.tokens(F.col("text")), " ").alias("words")
-    ).filter("words <> ''")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tokens.tokens(F.col("text")), " ").alias("words"))
 
 
 @register(
@@ -219,15 +218,16 @@ def a1_url_list(spark, sf_dir):
 
 @register(
     "a6_txt_files",
-    "SELECT encoding, line FROM (SELECT 'utf-8' AS encoding, unnest(string_split(text, chr(10))) AS line FROM documents) "
-    "WHERE line <> ''",
+    # Every written text ends with one newline more; each file part adds one last empty line, which is not a text's.
+    "SELECT 'utf-8' AS encoding, unnest(string_split(text, chr(10))) AS line FROM documents",
 )
 def a6_txt_files(spark, sf_dir):
     path = scratch_path(spark, "txt")
     table(spark, sf_dir, "documents").select("text").write.text(path)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     decoded = found.select(files.decode_txt(F.col("content")).alias("d"))
-    return decoded.select("d.encoding", F.explode(F.split("d.text", "\n")).alias("line")).filter("line <> ''")
+    lines = decoded.select("d.encoding", F.split("d.text", "\n").alias("lines"))
+    return lines.select("encoding", F.explode(F.slice("lines", 1, F.size("lines") - 1)).alias("line"))
 
 
 @register(

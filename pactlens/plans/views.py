@@ -159,7 +159,7 @@ def contract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = view(spark, sf_dir, "contract_src").withColumn("page", F.expr("CAST(floor(page_no / 8) AS INT)"))
     parts = F.array_sort(F.collect_list(F.struct("pos", "line")))
     return lines.groupBy("file", "page").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text")).select(
-        "file", F.col("page").alias("page_no"), "text", F.expr("CASE WHEN page % 50 = 7 THEN 'bad page' END").alias("error")
+        "file", F.col("page").alias("page_no"), "text", F.expr("CASE WHEN page % 50 = 7 AND file LIKE '%.DOCX' THEN 'bad page' END").alias("error")
     )
 
 
@@ -188,7 +188,7 @@ def _oracle_select(name: str) -> str:
     if name == "contract_pages":
         return (
             "SELECT file, page AS page_no, string_agg(line, chr(10) ORDER BY pos) AS text, "
-            "CASE WHEN page % 50 = 7 THEN 'bad page' END AS error FROM "
+            "CASE WHEN page % 50 = 7 AND file LIKE '%.DOCX' THEN 'bad page' END AS error FROM "
             f"(SELECT *, CAST(floor(page_no / 8) AS INT) AS page FROM ({_oracle_select('contract_src')})) GROUP BY file, page"
         )
     if name == "probabilities":

@@ -146,12 +146,22 @@ def test_retrieval_equals_brute_force(spark, monkeypatch):
     norm = np.linalg.norm(chunks, axis=1)
     score = queries @ chunks.T / np.where(norm == 0, 1, norm) / np.linalg.norm(queries, axis=1)[:, None]
     best = {(q, r + 1): int(c) for q in range(11) for r, c in enumerate(np.argsort(-score[q], kind="stable")[:3])}
-    for block in (4096, 4):
-        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
-        got = {(r.query_id, r["rank"]): r.chunk_id for r in retrieval.retrieve(table, asked, 3).collect()}
+    for block in (2048, 4):
+        monkeypatch.setattr(retrieval, "BLOCK_ROWS", block)
+        got = {(r.query_id, r["rank"]): r.chunk_id for r in retrieval.retrieve(table, asked, 3, block).collect()}
         assert got == best
 
 
+def test_unknown_sources_and_labels_fail_instead_of_vanishing(spark):
+    rows = spark.createDataFrame([(1, "bid", "0"), (2, "other", "0"), (3, None, None)], "id BIGINT, source STRING, label STRING")
+    for bad in (rows.filter("id < 3"), rows.filter("id <> 2")):
+        with pytest.raises(PySparkException, match="unknown source"):
+            dataset.interleave(bad, ["id"]).collect()
+    for ranked in (dataset.folds(rows), dataset.split(rows, {"train": 0.8, "test": 0.2})):
+        with pytest.raises(PySparkException, match="must not be null"):
+            ranked.collect()
+
+
 def test_vector_and_long_form_agree(spark):
     texts = ["乙方付款后验收", "甲方付款给乙方", "验收合格 abc abc", "付"]
     rows = features.with_terms(spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING"))

@@ -143,7 +143,8 @@ def test_section_lines(spark, chunk_bits):
     assert documents.drop_repeated_lines(table).count() == 13
     kept = documents.contract_lines(table, chunk_bits)
     assert [r.line for r in kept.orderBy("pos").collect()] == ["乙方付款", "第五节 验收与付款", "质保金退还"]
-    assert documents.join_lines(kept).first().text == "乙方付款 第五节 验收与付款 质保金退还"
+    pieces = documents.join_lines(kept).orderBy("pos").collect()
+    assert [(r.place, r.text) for r in pieces] == [(0, "乙方付款"), (5, "第五节 验收与付款"), (15, "质保金退还")]
 
 
 def test_split_clauses(spark):
@@ -161,6 +162,12 @@ def test_split_sentences_defaults(spark):
     assert documents.split_sentences(df, pattern="", min_length=1).count() == 4
 
 
+def whole_texts(table):
+    """``file, text``: the small test files joined into one value each."""
+    pieces = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return documents.join_lines(table).groupBy("file").agg(F.array_join(F.transform(pieces, lambda p: p["text"]), " ").alias("text"))
+
+
 @pytest.mark.parametrize("chunk_bits", [44, 3, 0])
 def test_clauses_equal_those_of_the_joined_text(spark, chunk_bits):
     """Fragments numbered over chunks against joining the file and splitting it, on random documents."""
@@ -172,13 +179,13 @@ def test_clauses_equal_those_of_the_joined_text(spark, chunk_bits):
             rows.append((f"f{f}.pdf", pos, "".join(rng.choice(pieces) for _ in range(rng.randint(1, 5)))))
     table = documents.drop_repeated_lines(spark.createDataFrame(rows, "file STRING, pos BIGINT, line STRING"))
     band = (3, 60)
-    joined = documents.join_lines(documents.section_lines(table, chunk_bits).filter(text.keep_paragraph(F.col("line"))))
+    joined = whole_texts(documents.section_lines(table, chunk_bits).filter(text.keep_paragraph(F.col("line"))))
     expected = documents.split_clauses(joined, band=band).select("file", F.col("piece").cast("bigint"), "clause")
     got = documents.contract_clauses(table, band, chunk_bits)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
     assert got.count() > 20
     plain = documents.contract_clauses(table, band, chunk_bits, select_lines=False)
-    whole = documents.split_clauses(documents.join_lines(table), band=band).select("file", F.col("piece").cast("bigint"), "clause")
+    whole = documents.split_clauses(whole_texts(table), band=band).select("file", F.col("piece").cast("bigint"), "clause")
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, whole.collect()))
 
 
@@ -203,11 +210,27 @@ def test_pages(spark):
         [("a", 2, "二 ", None), ("a", 1, "一", None), ("a", 3, " \n", None), ("a", 4, None, "boom"), ("b", 1, " ", None)],
         "file STRING, page_no INT, text STRING, error STRING",
     )
-    got = {r.file: (r.text, r.status) for r in documents.assemble_pages(pages).collect()}
-    assert got == {"a": ("一\n二 \n\n[警告] 第4页文本抽取失败: boom\n", "ok"), "b": ("", "no_text")}
-    clean = {r.file: (r.text, r.status) for r in documents.assemble_pages(pages, clean=True).collect()}
-    assert clean == {"a": ("一\n二", "ok"), "b": ("", "no_text")}
-    parts = documents.assemble_pages(pages, clean=True, part_pages=2).collect()
-    assert sorted((r.file, r.part, r.text, r.status) for r in parts) == [
-        ("a", 0, "一", "ok"), ("a", 1, "二", "ok"), ("a", 2, "", "no_text"), ("b", 0, "", "no_text"),
-    ]
+    def texts(df):
+        found = {}
+        for r in df.orderBy("file", "page_no").collect():
+            found.setdefault(r.file, []).append(r.text)
+        return {file: "\n".join(pieces) for file, pieces in found.items()}
+
+    def status(clean):
+        return {r.file: r.status for r in documents.file_status(pages, clean).collect()}
+
+    assert texts(documents.assemble_pages(pages)) == {"a": "一\n二 \n\n[警告] 第4页文本抽取失败: boom\n"}
+    assert status(False) == {"a": "ok", "b": "no_text"}
+    # One failed page fails the reading of its file: no rows, whatever its other pages hold.
+    assert texts(documents.assemble_pages(pages, clean=True)) == {} and documents.page_lines(pages).count() == 1
+    assert status(True) == {"a": "failed", "b": "no_text"}
+    sound = pages.filter("error IS NULL")
+    assert texts(documents.assemble_pages(sound, clean=True)) == {"a": "一\n二"}
+    assert {r.file: r.status for r in documents.file_status(sound, True).collect()} == {"a": "ok", "b": "no_text"}
+
+
+def test_joined_texts_are_written_in_order(spark, tmp_path):
+    table = lines(spark, [f"第{i}行" for i in range(500)]).repartition(7)
+    documents.write_joined(documents.join_lines(table), str(tmp_path / "joined"), "pos", separator=" ")
+    files = sorted((tmp_path / "joined").glob("part-*"))
+    assert "".join(f.read_text() for f in files) == "".join(f"第{i}行 " for i in range(500))
