@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -17,8 +18,8 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # a code point without piece scores this below the lowest score, then turns into byte pieces
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so that every step of the hash can be undone
-CACHED_WORDS = 600_000  # a worker's cache of segmented words is emptied beyond this
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 500_000  # a worker's cache of segmented words is emptied beyond this
+PAIR_SLOTS_LOG2 = 21  # slots of a worker's cache of verdicts on pairs, 19 MB
 CHARS_AT_ONCE = 1 << 22  # texts are taken together up to this many characters, so that words come in large batches
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -58,7 +59,8 @@ class Pieces:
             points = [ord(c) for c in self.texts[i]]
             self.code_points[row, : len(points)] = points
         self.score_of = {self.texts[i]: model.get_score(i) for i in usable}
-        self.stable_pairs: dict[int, bool] = {}
+        self.pair_keys = np.full(1 << PAIR_SLOTS_LOG2, -1, dtype=np.int64)
+        self.pair_verdicts = np.zeros(1 << PAIR_SLOTS_LOG2, dtype=bool)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are keys, and their places; a bit table by the upper bits spares most searches."""
@@ -73,17 +75,21 @@ class Pieces:
 
     def stable(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether merging the two tokens' text ends with just these two (or one, where -1 stands before it)."""
-        keys, inverse = np.unique(((before.astype(np.int64) + 1) << 22) | token, return_inverse=True)
-        verdicts = []
-        if len(self.stable_pairs) > CACHED_PAIRS:
-            self.stable_pairs.clear()
-        for key in keys.tolist():
-            known = self.stable_pairs.get(key)
-            if known is None:
+        keys = ((before.astype(np.int64) + 1) << 22) | token
+        slots = (keys.astype(np.uint64) * MULTIPLIER) >> np.uint64(64 - PAIR_SLOTS_LOG2)
+        verdicts = self.pair_verdicts[slots]
+        new = np.flatnonzero(self.pair_keys[slots] != keys)
+        if len(new):
+            fresh, first, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
+            found = np.empty(len(fresh), dtype=bool)
+            for i, key in enumerate(fresh.tolist()):
                 left, right = self._text_of((key >> 22) - 1), self._text_of(key & ((1 << 22) - 1))
-                known = self.stable_pairs[key] = _merged(left + right, self.score_of) == [t for t in (left, right) if t]
-            verdicts.append(known)
-        return np.array(verdicts, dtype=bool)[inverse]
+                found[i] = _merged(left + right, self.score_of) == [t for t in (left, right) if t]
+            verdicts[new] = found[inverse]
+            # One pair a slot: of two that meet in one the later stays, in both arrays.
+            self.pair_keys[slots[new][first]] = fresh
+            self.pair_verdicts[slots[new][first]] = found
+        return verdicts
 
 
 def _merged(text: str, score_of: dict[str, float]) -> list[str]:
@@ -246,7 +252,14 @@ def decoded(tokens: DataFrame, path: str = MODEL) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [_joined(ids, parts) for ids in part["ids"].to_pylist()]
+                ids = part["ids"]
+                flat = ids.flatten()
+                if ids.null_count or flat.null_count or len(flat) and not 0 <= pc.min(flat).as_py() <= pc.max(flat).as_py() < len(parts):
+                    texts = [_joined(x, parts) for x in ids.to_pylist()]
+                else:
+                    found = list(map(parts.__getitem__, flat.to_numpy().tolist()))
+                    bounds = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
+                    texts = [b"".join(found[a:b]).decode("utf-8", "replace").removeprefix(" ") for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part["key"], pa.array(texts, pa.string())], ["key", "text"])
 
     return rows.mapInArrow(run, StructType([rows.schema["key"], StructField("text", StringType())]))
