@@ -6,8 +6,9 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from pactlens.plans import catalog
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracles()  # tests/llm has those of the optional subpackage
 # Queries that train a forest on the whole table; test_sources covers the code on small data.
 TRAINED = {"j2_forest", "j3_cross_validation", "j4_batch_scoring", "j5_file_scoring"}
 # Row-wise operators: one narrow stage, no shuffle, no Python worker.
