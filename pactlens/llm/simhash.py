@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ SEED = 42
 BITS = 64
 MAX_BITS = 2
 PIVOT_BITS = 2  # reference fingerprint j has ones at bits 2j and 2j+1
+AGREEING_GROUPS = 3  # groups of pivots whose coordinates two candidates share
 SHINGLES_AT_ONCE = 1 << 15
 
 
@@ -61,18 +63,22 @@ def close_pairs(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``a, b`` (bigint fingerprints, a < b) of all distinct fingerprints that differ in at most ``max_bits`` bits.
 
     Every fingerprint gets its table of Hamming distances to the :func:`pivots`.  A flipped bit moves the distance to
-    the zero pivot by one and the difference to just one other pivot by one; so if the pivots are dealt into
-    ``max_bits + 1`` groups, two close fingerprints agree in all coordinates of one group at least (coordinates counted
-    from the zero pivot).  That coordinate tuple is the join key: each fingerprint is in as many lists as groups, no
-    pair is missed, and what the equal keys bring together is discarded by its largest coordinate difference before the
-    fingerprints themselves are compared.  A frequent key is split by adaptive execution.
+    the zero pivot by one and the difference to just one other pivot; so if the pivots are dealt into ``max_bits +
+    AGREEING_GROUPS`` groups, two close fingerprints agree in all coordinates of AGREEING_GROUPS groups at least
+    (coordinates counted from the zero pivot).  The coordinates of every such choice of groups are a join key: no pair is
+    missed, and what the equal keys bring together is discarded by its largest coordinate difference before the
+    fingerprints themselves are compared.  For two bits that is ten keys of about 27 bits each, so chance meetings stay
+    far fewer than rows up to some ten million distinct fingerprints; one group alone (three keys of 16 bits) would bring
+    a share of all pairs together at any size.  A frequent key is split by adaptive execution.
     """
-    groups = max_bits + 1
+    groups = max_bits + AGREEING_GROUPS
     table = [F.bit_count(F.col("print").bitwiseXOR(F.lit(_signed(p)))).alias(f"d{i}") for i, p in enumerate(pivots())]
     n = len(table) - 1
     tables = prints.select("print").where("print IS NOT NULL").distinct().select("print", F.array(*table).alias("table"))
-    steps = [F.transform(F.slice("table", 2 + n * g // groups, n * (g + 1) // groups - n * g // groups), lambda d: d - F.col("table")[0]) for g in range(groups)]
-    keyed = tables.select("print", F.posexplode(F.array(*(F.xxhash64(F.lit(g), s) for g, s in enumerate(steps)))).alias("group", "cell"))
+    cuts = [n * g // groups for g in range(groups + 1)]
+    steps = [F.transform(F.slice("table", 2 + cuts[g], cuts[g + 1] - cuts[g]), lambda d: d - F.col("table")[0]).alias(f"g{g}") for g in range(groups)]
+    choices = [F.xxhash64(*(f"g{g}" for g in chosen)) for chosen in combinations(range(groups), AGREEING_GROUPS)]
+    keyed = tables.select("print", *steps).select("print", F.posexplode(F.array(*choices)).alias("group", "cell"))
     # The table follows from the fingerprint: it is computed again behind the shuffle rather than carried through it.
     left, right = keyed.select("cell", "group", F.col("print").alias("a")), keyed.select("cell", "group", F.col("print").alias("b"))
 
@@ -94,7 +100,8 @@ def near_duplicates(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``print, component_id`` for the distinct fingerprints of ``doc_id, print``.
 
     Documents of one fingerprint combine to their smallest id before anything is compared; ids, not fingerprints, are the
-    nodes, so a component's smallest node is the answer.
+    nodes, so a component's smallest node is the answer.  An id with several fingerprints (rows that repeat it with other
+    texts) links them all; usually there is none, and least and largest fingerprint of an id combine before the shuffle.
     """
     first = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
     pairs = close_pairs(prints, max_bits)
@@ -103,6 +110,9 @@ def near_duplicates(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         .join(first.select(F.col("print").alias("b"), F.col("first").alias("y")), "b")
         .select("x", "y")
     )
+    several = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low != high")
+    shared = prints.join(several.select("doc_id"), "doc_id").select("print", "doc_id").distinct()
+    edges = edges.unionByName(shared.join(first, "print").select(F.col("doc_id").alias("x"), F.col("first").alias("y")))
     roots = components(edges, "x", "y")
     return first.join(roots, first["first"] == roots["node"], "left").select("print", F.coalesce("root", "first").alias("component_id"))
 
