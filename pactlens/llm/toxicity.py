@@ -160,7 +160,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_R
 
 
 def _fit_all(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.drop_duplicates(["doc_id", "content"]).sort_values(["doc_id", "content"])
+    rows = rows.sort_values("doc_id")
     bags = [(np.asarray(s, dtype=np.int64), np.asarray(x)) for s, x in zip(rows["slots"], rows["x"], strict=True)]
     model = fit(bags, rows["toxic"].to_numpy())
     used = (np.abs(model.w) > 1e-4) | (np.abs(model.v) > 1e-3).any(axis=1)
@@ -180,6 +180,8 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "content": content, "slots": [s for s, _ in bags], "x": [x for _, x in bags]})
 
     sample = training_rows(docs, labels, most).mapInPandas(hashed, "doc_id long, toxic int, content long, slots array<long>, x array<double>")
+    # An id may have any number of texts; the smallest content stands for it, so that the fitting task gets ``most`` rows.
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("content", "slots", "x", "toxic")).alias("row")).select("doc_id", "row.*")
     rows = sample.groupBy(F.lit("all").alias("one")).applyInPandas(_fit_all, "slot long, w double, v array<double>").toPandas()
     if not len(rows):
         return Model(-9.0, np.empty(0, dtype=np.int64), np.empty(0), np.empty((0, FACTORS)))
