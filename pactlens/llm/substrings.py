@@ -179,7 +179,7 @@ def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-PLACES = {"hashes": np.uint64, "around": np.uint64, "left": np.uint32, "right": np.uint32, "owners": np.int64, "places": np.int32}
+PLACES = {"hashes": np.uint64, "around": np.uint64, "left": np.uint32, "right": np.uint32, "owners": np.int64, "variants": np.int64, "places": np.int32}
 
 
 def places_of_minimizers(docs: DataFrame, n_parts: int) -> DataFrame:
@@ -196,10 +196,10 @@ def places_of_minimizers(docs: DataFrame, n_parts: int) -> DataFrame:
 
         found, held = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            for doc_id, variant, text in zip(batch["doc_id"].to_pylist(), batch["variant"].to_pylist(), batch["text"], strict=True):
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
                 places, hashes = minimizers(data)
-                found.append((hashes, *surroundings(data, places), np.full(len(places), doc_id, dtype=np.int64), places.astype(np.int32)))
+                found.append((hashes, *surroundings(data, places), *(np.full(len(places), x, dtype=np.int64) for x in (doc_id, variant)), places.astype(np.int32)))
                 held += len(data)
                 if held >= BATCH_BYTES:
                     yield packed(found)
@@ -222,7 +222,7 @@ def _several(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
 
 
 def shared_places(packed: DataFrame, n_parts: int) -> DataFrame:
-    """``part`` (of documents) and, packed, ``owners, places, sides, hashes`` of places that may lie in a string of two
+    """``part`` (of documents) and, packed, ``owners, variants, places, sides, hashes`` of places that may lie in a string of two
     documents.
 
     Such a string has HALF bytes beyond the gram on one side at least, so a place that shares neither side with another
@@ -230,10 +230,10 @@ def shared_places(packed: DataFrame, n_parts: int) -> DataFrame:
     smallest document's are settled: those bytes go (``sides`` is 0).  The rest is to be sorted; ``sides`` tells which side
     is shared (1 before, 2 behind), for no more than HALF - 1 bytes count on the other.
     """
-    schema = pa.schema([("part", pa.int64()), *((n, pa.binary()) for n in ("owners", "places", "sides", "hashes"))])
+    schema = pa.schema([("part", pa.int64()), *((n, pa.binary()) for n in ("owners", "variants", "places", "sides", "hashes"))])
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, around, left, right, owners, places = (np.frombuffer(b"".join(table[n].to_pylist()), dtype=kind) for n, kind in PLACES.items())
+        hashes, around, left, right, owners, variants, places = (np.frombuffer(b"".join(table[n].to_pylist()), dtype=kind) for n, kind in PLACES.items())
         mixed = hashes * HASHES[3]
         sides = np.zeros(len(hashes), dtype=np.uint8)
         for side, salt, bit in ((left, HASHES[1], 1), (right, HASHES[2], 2)):
@@ -242,7 +242,7 @@ def shared_places(packed: DataFrame, n_parts: int) -> DataFrame:
                 sides[there] |= np.uint8(bit) * _several(mixed[there] + side[there].astype(np.uint64) * salt, owners[there])
         keep = np.flatnonzero(sides)
         order = keep[np.argsort(hashes[keep], kind="stable")]
-        hashes, around, owners, places, sides = (c[order] for c in (hashes, around, owners, places, sides))
+        hashes, around, owners, variants, places, sides = (c[order] for c in (hashes, around, owners, variants, places, sides))
         if not len(hashes):
             return schema.empty_table()
         first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
@@ -250,36 +250,42 @@ def shared_places(packed: DataFrame, n_parts: int) -> DataFrame:
         least = np.repeat(np.minimum.reduceat(owners, first), sizes)
         opened = np.repeat(np.minimum.reduceat(around, first) != np.maximum.reduceat(around, first), sizes)
         rows = np.flatnonzero(opened | (owners > least))
-        bucket = owners[rows] % n_parts
+        bucket = (owners[rows] ^ variants[rows]) % n_parts
         rows = rows[np.argsort(bucket, kind="stable")]
         keys, cut = np.unique(np.sort(bucket), return_index=True)
-        columns = (owners, places, np.where(opened, sides, 0).astype(np.uint8), hashes)
+        columns = (owners, variants, places, np.where(opened, sides, 0).astype(np.uint8), hashes)
         return pa.table([keys, *([x.tobytes() for x in np.split(c[rows], cut[1:])] for c in columns)], schema=schema)
 
-    return packed.groupBy("part").applyInArrow(run, "part long, owners binary, places binary, sides binary, hashes binary")
+    return packed.groupBy("part").applyInArrow(run, "part long, owners binary, variants binary, places binary, sides binary, hashes binary")
+
+
+def _pairs(owners: np.ndarray, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (owner, variant) of sorted columns, and where each begins."""
+    first = np.flatnonzero(np.r_[True, (owners[1:] != owners[:-1]) | (variants[1:] != variants[:-1])][: len(owners)])
+    return owners[first], variants[first], first
 
 
 def places_by_document(packed: DataFrame) -> DataFrame:
-    """``doc_id`` and, packed, its ``settled`` places, and ``places, sides, hashes`` of the open ones; one row a document."""
-    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.binary()) for n in ("settled", "places", "sides", "hashes"))])
+    """``doc_id, variant`` and, packed, its ``settled`` places, and ``places, sides, hashes`` of the open ones; one row each."""
+    schema = pa.schema([("doc_id", pa.int64()), ("variant", pa.int64()), *((n, pa.binary()) for n in ("settled", "places", "sides", "hashes"))])
 
     def run(table: pa.Table) -> pa.Table:
-        owners, places, sides, hashes = (
-            np.frombuffer(b"".join(table[n].to_pylist()), dtype=k) for n, k in (("owners", np.int64), ("places", np.int32), ("sides", np.uint8), ("hashes", np.uint64))
+        owners, variants, places, sides, hashes = (
+            np.frombuffer(b"".join(table[n].to_pylist()), dtype=k) for n, k in (("owners", np.int64), ("variants", np.int64), ("places", np.int32), ("sides", np.uint8), ("hashes", np.uint64))
         )
-        order = np.lexsort((sides == 0, owners))  # a document's open places, then its settled ones
-        docs, first = np.unique(owners[order], return_index=True)
+        order = np.lexsort((sides == 0, variants, owners))  # a document's open places, then its settled ones
+        docs, texts, first = _pairs(owners[order], variants[order])
         ends = np.r_[first[1:], len(order)]
         middle = first + np.add.reduceat(sides[order] > 0, first) if len(docs) else first
         spans = list(zip(first.tolist(), middle.tolist(), ends.tolist(), strict=True))
         places, sides, hashes = places[order], sides[order], hashes[order]
         settled = [places[m:e].tobytes() for _, m, e in spans]
-        return pa.table([docs, settled, *([c[f:m].tobytes() for f, m, _ in spans] for c in (places, sides, hashes))], schema=schema)
+        return pa.table([docs, texts, settled, *([c[f:m].tobytes() for f, m, _ in spans] for c in (places, sides, hashes))], schema=schema)
 
-    return packed.groupBy("part").applyInArrow(run, "doc_id long, settled binary, places binary, sides binary, hashes binary")
+    return packed.groupBy("part").applyInArrow(run, "doc_id long, variant long, settled binary, places binary, sides binary, hashes binary")
 
 
-WINDOWS = {"hashes": np.uint64, "lengths": np.int32, "bytes": np.uint8, "counts": np.int32, "owners": np.int64, "begins": np.int32}
+WINDOWS = {"hashes": np.uint64, "lengths": np.int32, "bytes": np.uint8, "counts": np.int32, "owners": np.int64, "variants": np.int64, "begins": np.int32}
 
 
 def windows_of(docs: DataFrame, places: DataFrame, n_parts: int) -> DataFrame:
@@ -294,20 +300,20 @@ def windows_of(docs: DataFrame, places: DataFrame, n_parts: int) -> DataFrame:
             columns: list[list] = [list(by_part), *([] for _ in WINDOWS)]
             for rows in by_part.values():
                 flat = [o for _, _, owned in rows for o in owned]
-                values = [v for v, _, _ in rows], [len(w) for _, w, _ in rows], None, [len(o) for _, _, o in rows], [d for d, _ in flat], [b for _, b in flat]
+                values = [v for v, _, _ in rows], [len(w) for _, w, _ in rows], None, [len(o) for _, _, o in rows], *map(list, zip(*flat, strict=True))
                 for column, found_values, kind in zip(columns[1:], values, WINDOWS.values(), strict=True):
                     column.append(b"".join(w for _, w, _ in rows) if found_values is None else np.array(found_values, dtype=kind).tobytes())
             return _rows(schema, *columns)
 
         found, held = {}, 0
         for batch in batches:
-            for doc_id, text, *own in zip(batch["doc_id"].to_pylist(), *(batch[c] for c in ("text", "places", "hashes", "sides")), strict=True):
+            for doc_id, variant, text, *own in zip(batch["doc_id"].to_pylist(), batch["variant"].to_pylist(), *(batch[c] for c in ("text", "places", "hashes", "sides")), strict=True):
                 data = text.as_buffer().to_pybytes()
                 places, values, sides = (np.frombuffer(x.as_buffer(), dtype=kind) for x, kind in zip(own, (np.int32, np.uint64, np.uint8), strict=True))
                 begins = np.maximum(0, places - np.where(sides & 1, SPREAD, HALF - 1))
                 ends = places + np.where(sides & 2, WIDTH, GRAM + HALF - 1)
                 for value, begin, end in zip(values.tolist(), begins.tolist(), ends.tolist(), strict=True):
-                    found.setdefault((value, data[begin:end]), []).append((doc_id, begin))
+                    found.setdefault((value, data[begin:end]), []).append((doc_id, variant, begin))
                 held += len(places)
                 if held >= 50_000:
                     yield packed(found)
@@ -315,16 +321,16 @@ def windows_of(docs: DataFrame, places: DataFrame, n_parts: int) -> DataFrame:
         if found:
             yield packed(found)
 
-    rows = docs.join(places.where("octet_length(places) > 0"), "doc_id").select("doc_id", "text", "places", "hashes", "sides")
+    rows = docs.join(places.where("octet_length(places) > 0"), ["doc_id", "variant"]).select("doc_id", "variant", "text", "places", "hashes", "sides")
     return rows.mapInArrow(run, "part long, " + ", ".join(f"{n} binary" for n in WINDOWS))
 
 
 def repeated_spans(packed: DataFrame, n_parts: int) -> DataFrame:
     """``part`` (of documents) and, packed, documents with the bytes [begin, end) that a string of a smaller one covers."""
-    schema = pa.schema([("part", pa.int64()), *((n, pa.binary()) for n in ("owners", "begins", "ends"))])
+    schema = pa.schema([("part", pa.int64()), *((n, pa.binary()) for n in ("owners", "variants", "begins", "ends"))])
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, lengths, data, counts, owners, begins = (np.frombuffer(b"".join(table[n].to_pylist()), dtype=k) for n, k in WINDOWS.items())
+        hashes, lengths, data, counts, owners, variants, begins = (np.frombuffer(b"".join(table[n].to_pylist()), dtype=k) for n, k in WINDOWS.items())
         if not len(hashes):
             return schema.empty_table()
         # Equal windows of one minimizer become one: rows of hash, length and padded bytes are sorted as they are.
@@ -355,30 +361,43 @@ def repeated_spans(packed: DataFrame, n_parts: int) -> DataFrame:
             return schema.empty_table()
         new = np.r_[True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)]
         runs, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:] - 1, len(new) - 1]
-        docs, begin, end = owners[owner[runs]], begins[owner[runs]] + start[runs], begins[owner[runs]] + start[last] + WIDTH
-        order = np.argsort(docs % n_parts, kind="stable")
-        keys, cut = np.unique((docs % n_parts)[order], return_index=True)
-        columns = (docs, begin.astype(np.int32), end.astype(np.int32))
+        docs, texts, begin, end = owners[owner[runs]], variants[owner[runs]], begins[owner[runs]] + start[runs], begins[owner[runs]] + start[last] + WIDTH
+        bucket = (docs ^ texts) % n_parts
+        order = np.argsort(bucket, kind="stable")
+        keys, cut = np.unique(bucket[order], return_index=True)
+        columns = (docs, texts, begin.astype(np.int32), end.astype(np.int32))
         return pa.table([keys, *([x.tobytes() for x in np.split(c[order], cut[1:])] for c in columns)], schema=schema)
 
-    return packed.groupBy("part").applyInArrow(run, "part long, owners binary, begins binary, ends binary")
+    return packed.groupBy("part").applyInArrow(run, "part long, owners binary, variants binary, begins binary, ends binary")
 
 
 def spans_by_document(packed: DataFrame) -> DataFrame:
-    """``doc_id, begins, ends``, packed; one row a document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("begins", pa.binary()), ("ends", pa.binary())])
+    """``doc_id, variant, begins, ends``, packed; one row each."""
+    schema = pa.schema([("doc_id", pa.int64()), ("variant", pa.int64()), ("begins", pa.binary()), ("ends", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        owners, begins, ends = (np.frombuffer(b"".join(table[n].to_pylist()), dtype=k) for n, k in (("owners", np.int64), ("begins", np.int32), ("ends", np.int32)))
-        order = np.argsort(owners, kind="stable")
-        docs, first = np.unique(owners[order], return_index=True)
-        return pa.table([docs, *([x.tobytes() for x in np.split(c[order], first[1:])] for c in (begins, ends))], schema=schema)
+        owners, variants, begins, ends = (np.frombuffer(b"".join(table[n].to_pylist()), dtype=k) for n, k in (("owners", np.int64), ("variants", np.int64), ("begins", np.int32), ("ends", np.int32)))
+        order = np.lexsort((variants, owners))
+        docs, texts, first = _pairs(owners[order], variants[order])
+        return pa.table([docs, texts, *([x.tobytes() for x in np.split(c[order], first[1:])] for c in (begins, ends))], schema=schema)
 
-    return packed.groupBy("part").applyInArrow(run, "doc_id long, begins binary, ends binary")
+    return packed.groupBy("part").applyInArrow(run, "doc_id long, variant long, begins binary, ends binary")
+
+
+def with_variants(rows: DataFrame) -> DataFrame:
+    """Adds ``variant``: 0 where an id has one text, else a hash of the text, so that spans find the text they belong to.
+
+    The ids with several texts (usually none) are written to the shared folder first; by the size of that table Spark
+    chooses the join.  Least and largest hash of an id combine before the shuffle.
+    """
+    mark = F.xxhash64("text")
+    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    several = stored(ids.where("low != high").select("doc_id", F.lit(True).alias("several")), "repeated-ids")
+    return rows.join(several, "doc_id", "left").withColumn("variant", F.when(F.col("several"), mark).otherwise(F.lit(0))).drop("several")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans`` of the bytes to remove, packed; several rows of a ``doc_id`` are one document."""
+    """``doc_id, variant, spans`` of the bytes to remove, packed, for ``doc_id, variant, text`` of :func:`with_variants`."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_parts = max(8, -(-total // PART_BYTES))
@@ -388,8 +407,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     spans = repeated_spans(windows_of(docs, places, n_parts).repartition(n_parts, "part"), n_parts)
     spans = stored(spans_by_document(spans.repartition(n_parts, "part")), "repeated-spans")
     free_shuffles(spark)
-    both = places.select("doc_id", "settled").join(spans, "doc_id", "full")
-    return both.select("doc_id", F.struct("settled", "begins", "ends").alias("spans"))
+    both = places.select("doc_id", "variant", "settled").join(spans, ["doc_id", "variant"], "full")
+    return both.select("doc_id", "variant", F.struct("settled", "begins", "ends").alias("spans"))
 
 
 def _gone(size: int, own: dict | None) -> np.ndarray:
@@ -409,7 +428,7 @@ def report(docs: DataFrame) -> DataFrame:
     nothing and give nothing; of rows that share a ``doc_id`` none counts as smaller; an empty table gives no rows; further
     columns are ignored.
     """
-    rows = columns_of(docs, "doc_id", "text")
+    rows = with_variants(columns_of(docs, "doc_id", "text"))
     spans = removed_spans(rows.where("doc_id IS NOT NULL"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -424,7 +443,7 @@ def report(docs: DataFrame) -> DataFrame:
                 found.append((len(raw), int(gone.sum()), int(runs), hashlib.sha256(kept).hexdigest()))
             yield _rows(schema, batch["doc_id"].cast(pa.int64()), *(zip(*found, strict=True) if found else ([],) * 4))
 
-    joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, ["doc_id", "variant"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -433,15 +452,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     As :func:`report`, but a cut never splits a character: bytes of a character that is only partly covered stay.
     """
-    spans = removed_spans(columns_of(docs, "doc_id", "text").where("doc_id IS NOT NULL"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [text.as_py() if text.is_valid and not own.is_valid else _cut_text(text, own) for text, own in zip(batch["text"], batch["spans"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], ["row", "text"])
 
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select("doc_id", "text", F.struct(*others).alias("row")).join(spans, "doc_id", "left").select("row", "text", "spans")
+    marked = with_variants(docs.select("doc_id", "text", F.struct(*others).alias("row")))
+    spans = removed_spans(marked.where("doc_id IS NOT NULL").select("doc_id", "variant", "text"))
+    rows = marked.join(spans, ["doc_id", "variant"], "left").select("row", "text", "spans")
     cut = rows.mapInArrow(run, rows.select("row", "text").schema)
     n_chars = {"n_chars": F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in others else {}
     return cut.select(*("text" if c == "text" else n_chars.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
