@@ -228,6 +228,14 @@ def test_similar_lines_against_brute_force(spark):
     assert all(t.startswith("Short line\n") and t.endswith("\n\n" if n == got.get(n, n) else "line\n\n") for n, t in kept.items())
 
 
+def test_line_copies_with_other_blanks_at_their_ends(spark):
+    line = "Six short words with one ending"
+    ends = ["", "\r", "\t", " \t\r", "\x0b\x0c\r", " "]
+    table = spark.createDataFrame([(i, f"{e[::-1]}{line}{e}\nown line {prose(700 + i, 12)}") for i, e in enumerate(ends)], "doc_id long, text string")
+    got = {(r.doc_id, r.line_no, r.keeper_doc) for r in lines.line_classes(table).collect()}
+    assert got == {(i, 0, 0) for i in range(len(ends))}
+
+
 def test_line_dedup_defined_cases(docs, none):
     out = lines.deduplicated(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
