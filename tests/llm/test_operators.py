@@ -228,6 +228,60 @@ def test_similar_lines_against_brute_force(spark):
     assert all(t.startswith("Short line\n") and t.endswith("\n\n" if n == got.get(n, n) else "line\n\n") for n, t in kept.items())
 
 
+def test_similar_lines_with_a_common_opening(spark):
+    """Thousands of lines that share an opening, in them pairs that are similar to each other only."""
+    opening, rows, pairs = prose(50, 26), [], 150
+    for i in range(1500):
+        tail = prose(9000 + i, 14).split()
+        rows.append((i, opening + " " + " ".join(tail)))
+        if i < pairs:
+            rows.append((5000 + i, opening + " " + " ".join([*tail[:-1], f"other{i}"])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in rows}
+    close = {(a, b) for a, s in sets.items() for b, t in sets.items() if a < b and len(s & t) >= 0.8 * len(s | t)}
+    root = {i: i for i in sets}
+
+    def up(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in close:
+        x, y = sorted((up(a), up(b)))
+        root[y] = x
+    classes = defaultdict(set)
+    for n in root:
+        classes[up(n)].add(n)
+    want = {n: k for k, members in classes.items() if len(members) > 1 for n in members}
+    assert len(close) >= pairs and len(want) < len(rows) / 2
+    assert {r.doc_id: r.keeper_doc for r in lines.line_classes(table).collect()} == want
+
+
+def test_large_groups_leave_no_pair_out(spark):
+    r = random.Random(6)
+    sets = {}
+    for i in range(300):
+        base = list(range(40 if i % 3 else 34))
+        for _ in range(r.randrange(14)):
+            base[r.randrange(len(base))] = 1000 + r.randrange(60)
+        sets[i] = sorted(set(base))
+    table = spark.createDataFrame(list(sets.items()), "h1 long, shingles array<long>")
+    members = spark.createDataFrame([(1, i, len(s)) for i, s in sets.items()], "bucket long, h1 long, n_shingles int")
+    links, open_pairs = lines.large_groups(members, spark.createDataFrame([(1, 300)], "bucket long, n long"), table)
+    close = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    found, left = ({(x.a, x.b) for x in df.collect()} for df in (links, open_pairs))
+    assert found <= close
+
+    def classes(edges):
+        root = {i: i for i in sets}
+        for _ in sets:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert classes(found | (left & close)) == classes(close) and len(left) < 300 * 299 / 2
+
+
 def test_line_copies_with_other_blanks_at_their_ends(spark):
     line = "Six short words with one ending"
     ends = ["", "\r", "\t", " \t\r", "\x0b\x0c\r", " "]
