@@ -36,7 +36,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every line that is not alone, and the line of its class that stays."""
-    return lines.line_classes(table(spark, sf_dir, "documents"))
+    return lines.line_classes(table(spark, sf_dir, "documents"), min_chars=lines.ANY_LINE)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

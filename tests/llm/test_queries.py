@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import defaultdict
 
 import corpus_pipeline
 import oracle
@@ -50,6 +51,19 @@ def test_suffix_query_against_brute_force(spark, tiny):
         assert (row.n_bytes, row.n_removed, row.kept_sha256) == (len(raw), sum(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_line_query_finds_copies_of_short_lines(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").where("doc_id IS NOT NULL").collect()
+    at = defaultdict(list)
+    for doc in docs:
+        for i, line in enumerate((doc.text or "").split("\n")):
+            at[line.strip(" \t\r\x0b\x0c").lower()].append((doc.doc_id, i))
+    want = {p for norm, places in at.items() if norm and len(norm) < 30 and len(places) > 1 for p in places}
+    got = {(r.doc_id, r.line_no): (r.keeper_doc, r.keeper_line) for r in QUERIES["op4_line_dedup"](spark, tiny).collect()}
+    assert want and want <= set(got)
+    table = spark.createDataFrame([(1, "次の文章です。\nOne"), (2, "次の文章です。\none "), (3, " \n \n")], "doc_id long, text string")
+    assert [r.text for r in corpus_pipeline.distinct_lines(spark, table, tiny).orderBy("doc_id").collect()] == ["次の文章です。\nOne", "", " \n \n"]
+
+
 def test_packing_query_has_little_padding(spark, tiny):
     rows = QUERIES["op8_packing"](spark, tiny).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.first("padded_to").alias("padded")).collect()
     assert sum(r.padded for r in rows) <= 1.001 * sum(r.n for r in rows)
