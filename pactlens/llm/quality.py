@@ -29,7 +29,9 @@ MIN_CHARS_JUDGED, MAX_CHAR_DISTANCE = 200, 0.25
 MIN_WORDS_JUDGED, MAX_DISTANCE_SUM = 60, 0.45
 CLASSES = ["lower", "upper", "digit", "space", "line", "stop", "mark", "symbol", "other ascii", "beyond ascii"]
 VERDICT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept"]
-OTHER = "*"  # the reference of all texts, for languages without words of their own
+OTHER = "*"  # languages without words of their own; their references are told apart by script
+# First bytes of code points beyond ASCII, up to the given one, and their script; ASCII letters are Latin.
+SCRIPTS = [(0xC9, "latin"), (0xCD, None), (0xCF, "greek"), (0xD3, "cyrillic"), (0xD5, None), (0xD7, "hebrew"), (0xDF, "arabic"), (0xE0, "indic"), (0xE2, None), (0xE9, "cjk"), (0xED, "hangul"), (0xEF, None), (0xF0, "cjk")]
 
 
 def _class_of_byte() -> np.ndarray:
@@ -54,6 +56,26 @@ def _class_of_byte() -> np.ndarray:
 CLASS_OF_BYTE = _class_of_byte()
 
 
+def _scripts() -> dict[str, list[int]]:
+    """The bytes that begin a letter of each script."""
+    out = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B)]}
+    first = 0xC2
+    for last, script in SCRIPTS:
+        if script:
+            out.setdefault(script, []).extend(range(first, last + 1))
+        first = last + 1
+    return out
+
+
+LETTERS = _scripts()
+
+
+def dominant_script(raw: bytes) -> str:
+    """The script of most letters of a text; Latin without any."""
+    per_byte = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
+    return max(LETTERS, key=lambda script: per_byte[LETTERS[script]].sum())
+
+
 def _char_histogram(raw: bytes) -> np.ndarray:
     per_byte = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
     lead = CLASS_OF_BYTE != 255
@@ -129,7 +151,7 @@ def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 int(chars[CLASSES.index("symbol")]),
                 _duplicate_lines(raw),
                 repeated_words(words),
-                key,
+                key if key != OTHER else f"{OTHER} {dominant_script(raw)}",
                 chars,
                 _word_histogram(raw.lower().replace(b",", b" ").replace(b".", b" ").split(), bins[key]),
             ))
@@ -154,24 +176,37 @@ def measured(docs: DataFrame, key: F.Column) -> DataFrame:
     return rows.mapInArrow(_measures, StructType([rows.schema["key"], *counts, StructField("reference", StringType()), *mixes]))
 
 
+def base_failed() -> F.Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+
+
 def references(measures: DataFrame) -> DataFrame:
-    """One row per language: the mean mix of its texts, each text counting alike whatever its length.
+    """One row per language: the mean mix of its ordinary texts, each text counting alike whatever its length.
 
-    The sums combine inside each task; what is shuffled is one row per task, language and bin.
+    Texts that fail the base counts do not count.  Of the others the median share of every character class is taken
+    first, which a third of junk hardly moves; the means are over the texts near those medians.  A language without
+    such texts, whose medians lie between unlike groups, has no reference and is not judged by it.  Sums and quantile
+    sketches combine inside each task; what is shuffled is one row per task, language and bin.
     """
-    def mean(column: str) -> DataFrame:
+    sound = measures.where(~base_failed())
+
+    def shared(rows: DataFrame, column: str, share) -> DataFrame:
         total = F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
         return (
-            measures.where(total > 0)
+            rows.where(total > 0)
             .select("reference", F.posexplode(F.transform(column, lambda x: x / total)))
             .groupBy("reference", "pos")
-            .agg(F.avg("col").alias("share"))
+            .agg(share("col").alias("share"))
             .groupBy("reference")
             .agg(F.array_sort(F.collect_list(F.struct("pos", "share"))).alias("bins"))
             .select("reference", F.col("bins.share").alias(f"{column}_reference"))
         )
 
-    return mean("char_mix").join(mean("word_mix"), "reference", "full")
+    medians = shared(sound, "char_mix", lambda x: F.percentile_approx(x, 0.5, 10_000))
+    total = F.aggregate("char_mix_reference", F.lit(0.0), lambda a, x: a + x)
+    medians = medians.select("reference", F.transform("char_mix_reference", lambda x: x / total).alias("char_mix_reference"))
+    near = sound.join(F.broadcast(medians), "reference").where(divergence("char_mix", "char_mix_reference") <= MAX_CHAR_DISTANCE).drop("char_mix_reference")
+    return shared(near, "char_mix", F.avg).join(shared(near, "word_mix", F.avg), "reference", "full")
 
 
 def divergence(mix: str, reference: str) -> F.Column:
@@ -183,7 +218,7 @@ def divergence(mix: str, reference: str) -> F.Column:
 
     terms = F.zip_with(mix, reference, lambda x, q: part(x / total, q) + part(q, x / total))
     summed = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-    return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), summed / 2)))
+    return F.when((total > 0) & F.col(reference).isNotNull(), F.sqrt(F.greatest(F.lit(0.0), summed / 2)))
 
 
 def judged(
@@ -196,7 +231,7 @@ def judged(
 ) -> DataFrame:
     """Counts, both distances, ``base_failed`` and ``kept``.
 
-    ``reference`` has one row per language of :data:`COMMON_WORDS` and one for the rest at most, so it is broadcast.
+    ``reference`` has one row per language of :data:`COMMON_WORDS` and one per script for the rest at most, so it is broadcast.
     """
     long_enough = F.col("word_chars") >= min_chars
     many_words = F.col("n_words") >= min_words
@@ -204,7 +239,7 @@ def judged(
         measures.join(F.broadcast(reference), "reference", "left")
         .withColumn("char_distance", divergence("char_mix", "char_mix_reference"))
         .withColumn("word_distance", divergence("word_mix", "word_mix_reference"))
-        .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
+        .withColumn("base_failed", base_failed())
         .withColumn(
             "kept",
             ~F.col("base_failed")
@@ -221,8 +256,8 @@ def quality(docs: DataFrame) -> DataFrame:
     One row per row of ``docs`` (``doc_id, text, lang``; further columns are ignored).  A text fails by the base counts,
     or by the mix of its character classes, or that and the mix of common words together, lying too far from its language's
     reference; the guards leave texts alone that are too short for a histogram to mean anything.  Defined cases: a null or empty text has no words
-    and fails the base; rows that repeat are judged alike; an unknown or null language is compared with all such texts;
-    an empty table gives no rows.
+    and fails the base; rows that repeat are judged alike; a text of an unknown or null language is compared with
+    such texts of its script; an empty table gives no rows.
 
     The references cover all documents.  The measures are written once to the shared folder: they are read twice, and a
     text is scanned once.

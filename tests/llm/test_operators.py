@@ -167,6 +167,16 @@ def test_quality_separates_junk(spark, tiny):
     assert quality.keep_good(table).columns == table.columns
 
 
+def test_quality_references_withstand_junk_and_scripts(spark):
+    r = random.Random(9)
+    russian = "и в не на я быть он с что это по к но они мы она как то который из год человек время рука дело".split()
+    clean = [(i, prose(3000 + i, 120), "en") for i in range(40)]
+    junk = [(100 + i, " ".join(f"{r.randrange(10**4)} {r.choice(WORDS)}" for _ in range(60)), "en") for i in range(20)]
+    mixed = [(200 + i, prose(4000 + i, 120) if i % 2 else " ".join(r.choice(russian) for _ in range(150)), None) for i in range(40)]
+    kept = {x.doc_id for x in quality.quality(spark.createDataFrame(clean + junk + mixed, "doc_id long, text string, lang string")).where("kept").collect()}
+    assert kept == {i for i, *_ in clean + mixed}
+
+
 def test_divergence_is_a_distance(spark):
     row = spark.createDataFrame([([4.0, 0.0], [1.0, 0.0], [0.0, 1.0])], "m array<double>, same array<double>, other array<double>")
     same, other = row.select(quality.divergence("m", "same"), quality.divergence("m", "other")).first()
