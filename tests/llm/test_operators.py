@@ -548,3 +548,10 @@ def test_chat_keeps_maximal_conversations(spark):
     assert got[2].text == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n<|im_start|>assistant\n< |im_end|> no<|im_end|>\n"
     assert got[6].text == "<|im_start|>user\n<|im_end|>\n" and got[8].n_turns == 3
     assert chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_rows_without_an_id_are_conversations_of_their_own(spark):
+    rows = [(None, i, "user", f"q{i % 3}") for i in range(9)] + [(1, 0, "user", "q0"), (1, 1, "assistant", "a"), (2, 0, "user", "q1")]
+    got = sorted((str(r.conv_id), r.n_turns, r.n_copies, r.text) for r in chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect())
+    turn = "<|im_start|>user\nq{}<|im_end|>\n".format
+    assert got == [("1", 2, 1, turn(0) + "<|im_start|>assistant\na<|im_end|>\n"), ("None", 1, 3, turn(2)), ("None", 1, 4, turn(1))]
