@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm import chat, covertree, lines, packing, pieces, quality, simhash, substrings, toxicity, warc
+from pactlens.llm import chat, covertree, digests, lines, packing, pieces, quality, repair, simhash, substrings, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.report(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -77,6 +89,9 @@ QUERIES: dict[str, Query] = {
         op8_packing,
         op9_suffix_dedup,
         op10_chat,
+        op11_fingerprints,
+        op12_conversation_repair,
+        op13_embedding_whitening,
     )
 }
 
@@ -115,4 +130,56 @@ ORACLES = {
             || replace(replace(b, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY n) AS text
         FROM kept JOIN e ON e.conv_id = kept.conv_id GROUP BY ALL
     """,
+    "op12_conversation_repair": """
+        WITH RECURSIVE b AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id) AS k,
+                   list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT) AS bytes
+            FROM conversations),
+        c AS (
+            SELECT *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: list_reduce(
+                   [xor(a, x), 1, 2, 3, 4, 5, 6, 7, 8], lambda y, n: CASE WHEN (y & 1) = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END))) % 20 AS f
+            FROM b),
+        d AS (
+            SELECT conv_id, k, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+                   CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM c WHERE f <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, md5(text)) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+        e AS (
+            SELECT *, left(role, 1) AS r, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) AS before
+            FROM o),
+        keep(st, r, nxt) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        new(st, r, nxt) AS (VALUES (0, 'user:', 2), (1, 'user:', 2), (2, 'assistant:', 3), (3, 'user:', 2)),
+        ins AS (
+            SELECT st, st AS nxt, '' AS edits, '' AS body FROM new
+            UNION ALL SELECT st, nxt, 'I', r || chr(10) FROM new
+            UNION ALL SELECT x.st, y.nxt, 'II', x.r || chr(10) || y.r || chr(10) FROM new x JOIN new y ON x.nxt = y.st),
+        p(k, i, st, cost, audit, body) AS (
+            SELECT DISTINCT k, 0::BIGINT, 0, 0, '', '' FROM e
+            UNION ALL
+            SELECT k, i, st, cost, audit, body FROM (
+                SELECT p.k, e.i, w.nxt AS st, p.cost + 2 * length(ins.edits) + w.price AS cost, p.audit || ins.edits || w.edit AS audit, p.body || ins.body || w.body AS body
+                FROM p JOIN e ON e.k = p.k AND e.i = p.i + 1 JOIN ins ON ins.st = p.st JOIN LATERAL (
+                    SELECT ins.nxt AS nxt, 3 AS price, 'D' AS edit, '' AS body
+                    UNION ALL SELECT keep.nxt, (e.fault = 'truncated')::INTEGER, 'K', e.role || ':' || e.text || chr(10) FROM keep
+                    WHERE keep.st = ins.nxt AND keep.r = e.r AND e.fault NOT IN ('blank', 'duplicate')
+                    UNION ALL SELECT new.nxt, 2 + (e.fault = 'truncated')::INTEGER, 'R', new.r || e.text || chr(10) FROM new
+                    WHERE new.st = ins.nxt AND e.fault NOT IN ('blank', 'duplicate')) w ON true
+                QUALIFY row_number() OVER (PARTITION BY p.k, w.nxt ORDER BY p.cost + 2 * length(ins.edits) + w.price, p.audit || ins.edits || w.edit) = 1)),
+        z AS (
+            SELECT p.k, cost + 2 * length(t.edits) AS cost, audit || t.edits AS audit, p.body || t.body AS body
+            FROM p JOIN (SELECT k, max(i) AS n FROM e GROUP BY k) m ON m.k = p.k AND m.n = p.i
+            JOIN (SELECT * FROM ins WHERE (st IN (0, 3) AND edits = '') OR (st = 1 AND edits = 'II') OR (st = 2 AND edits = 'I')) t ON t.st = p.st
+            QUALIFY row_number() OVER (PARTITION BY p.k ORDER BY cost + 2 * length(t.edits), audit || t.edits) = 1),
+        g AS (
+            SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM e GROUP BY k)
+        SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+               coalesce(audit, '') AS audit, sha256(left(coalesce(body, ''), greatest(length(coalesce(body, '')) - 1, 0))) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, k FROM b) a LEFT JOIN g ON g.k = a.k LEFT JOIN z ON z.k = a.k
+    """,
 }

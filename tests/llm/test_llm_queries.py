@@ -17,7 +17,7 @@ QUERIES = entry.queries()
 
 def test_one_query_per_operator():
     names = [n for n in QUERIES if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in QUERIES
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
