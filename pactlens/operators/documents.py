@@ -6,16 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
 
 from pactlens import vocab
 from pactlens.functions import rules, text
+from pactlens.operators.frames import once, stored
+from pactlens.operators.scan import SEGMENT_BITS, carried, in_segments, last_event, upto
 
 # Lines of a file are ordered by one BIGINT: page number in the upper 32 bits, line number in the lower ones.
-# A chunk is a stretch of that order: 4096 pages.  State crosses chunks through a small table, never through one
-# window over a whole file, so a file may be any share of the data.
 PAGE_BITS = 32
-CHUNK_BITS = PAGE_BITS + 12
 
 
 def explode_lines(df: DataFrame, source: str = "text", pos: str = "pos", line: str = "line") -> DataFrame:
@@ -67,6 +65,17 @@ def page_lines(pages: DataFrame, clean: bool = True) -> DataFrame:
     return lines.select("file", page_pos(F.col("page_no"), F.col("n")).alias("pos"), "line")
 
 
+def marked_page_lines(pages: DataFrame) -> DataFrame:
+    """``file, pos, line, failed``: the cleaned lines of all pages, and one row without place and line for each failed page.
+
+    What follows drops the files with such a mark where it orders their lines, so the pages are read once.
+    """
+    failed = F.col("error").isNotNull()
+    body = F.when(~failed, text.clean_text(F.col("text")))
+    lines = pages.select("file", "page_no", failed.alias("failed"), F.posexplode_outer(F.split(body, "\n")).alias("n", "line"))
+    return lines.select("file", page_pos(F.col("page_no"), F.col("n")).alias("pos"), "line", "failed")
+
+
 def write_joined(pieces: DataFrame, path: str, order: str, source: str = "text", separator: str = "\n") -> None:
     """Text files in which the pieces of a file stand in order; range partitioning lets one file span several."""
     ordered = pieces.repartitionByRange("file", order).sortWithinPartitions("file", order)
@@ -87,71 +96,97 @@ def drop_repeated_lines(lines: DataFrame) -> DataFrame:
     return trimmed.groupBy("file", "line").agg(F.min("pos").alias("pos")).select("file", "pos", "line")
 
 
-def _by_chunk(lines: DataFrame, chunk_bits: int) -> DataFrame:
-    """The lines shuffled by (file, chunk).
+def wanted_lines(lines: DataFrame) -> DataFrame:
+    """``file, pos, line, event, relevant, failed``: the trimmed lines that can count, each only where it first occurs in its file.
 
-    Everything else is derived above this exchange, so the branch that summarizes chunks and the branch that reads the
-    summaries share it: the lines move once.
+    Those are section events, relevant lines, and the marks of failed files; whether a line counts depends on the line alone,
+    so all others go before the shuffle, and the patterns run once.
     """
-    chunk = F.shiftright(F.col("pos").cast("bigint"), chunk_bits)
-    return lines.select("file", "pos", "line", chunk.alias("chunk")).repartition("file", "chunk")
-
+    failed = F.col("failed") if "failed" in lines.columns else F.lit(False)
+    trimmed = lines.select("file", "pos", text.strip(F.col("line")).alias("line"), failed.alias("failed"))
+    line = F.col("line")
+    relevant = text.keep_paragraph(line) & ~text.is_keep_heading(line)
+    marked = once(trimmed.filter(F.col("failed") | (line != "")), {"event": text.section_event(line), "relevant": F.coalesce(relevant, F.lit(False))})
+    counting = marked.filter(F.col("failed") | F.col("event").isNotNull() | F.col("relevant"))
+    return counting.groupBy("file", "line", "event", "relevant", "failed").agg(F.min("pos").alias("pos"))
 
-def _upto(last: int) -> WindowSpec:
-    return Window.partitionBy("file", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, last)
 
+def with_section_state(lines: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    """Adds ``skipping``: whether the last section event at or before a line turned skipping on.
 
-def _over_earlier_chunks(value: Column) -> Column:
-    """Over the chunk summaries of a file: one row per 4,096 pages."""
-    return value.over(Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    Inside a segment the last event comes from a window, at its start from one row per segment and file.
+    """
+    tagged = in_segments(lines.withColumn("event", text.section_event(F.col("line"))), "file", "pos", segment_bits=segment_bits)
+    inside = F.last("event", ignorenulls=True).over(upto("file", 0))
+    rows = stored(tagged.withColumn("inside", inside), "section-lines")
+    summary = rows.groupBy("file", "segment").agg(last_event("event").alias("event"))
+    state = carried(summary, "file", {"before": F.last("event", ignorenulls=True)})
+    return rows.join(state, ["file", "segment"], "left").select(
+        *lines.columns, F.coalesce("inside", "before", F.lit(False)).alias("skipping")
+    )
 
 
-def _last_event() -> Column:
-    return F.max_by("event", F.when(F.col("event").isNotNull(), F.col("pos")))
+def section_lines(lines: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    """Lines outside skipped sections, without the skip and keep headings themselves."""
+    # A skip heading turns skipping on at its own line, so only keep headings need a test of their own.
+    stated = with_section_state(lines, segment_bits)
+    return stated.filter(~F.col("skipping") & ~text.is_keep_heading(F.col("line"))).drop("skipping")
 
 
-def with_section_state(lines: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
-    """Adds ``skipping``: whether the last section event at or before a line turned skipping on.
+def _counted_lines(marked: DataFrame, segment_bits: int) -> DataFrame:
+    """The lines of :func:`wanted_lines` that count, with ``segment`` and ``base``, the clause separators before each in its file.
 
-    Inside a chunk the last event comes from a window; the state at the start of a chunk comes from one row per chunk
-    with the last event of the earlier ones.
+    Which lines count depends on the section state at the start of the segment, so a segment keeps two totals: lines that
+    count in any case, and lines before its first section event, which count only when the state carried in is off.  The
+    mark of a failed file has no position and comes first, so it is carried like an event.
     """
-    tagged = _by_chunk(lines, chunk_bits).withColumn("event", text.section_event(F.col("line")))
-    per_chunk = tagged.groupBy("file", "chunk").agg(_last_event().alias("last_event"))
-    carried = per_chunk.select(
-        "file", "chunk", _over_earlier_chunks(F.last("last_event", ignorenulls=True)).alias("_carried")
+    rows = in_segments(marked, "file", "pos", segment_bits=segment_bits)
+    cuts = F.when(F.col("relevant"), F.size(F.split("line", vocab.CLAUSE_SEPARATOR)) - 1).otherwise(0).cast("bigint")
+    rows = rows.withColumns({
+        "cuts": cuts,
+        "inside": F.last("event", ignorenulls=True).over(upto("file", 0)),
+        "broken": F.max("failed").over(upto("file", 0)),
+    })
+    rows = rows.withColumns({
+        "sure": F.when(F.col("inside") == F.lit(False), F.col("cuts")).otherwise(0),
+        "open": F.when(F.col("inside").isNull(), F.col("cuts")).otherwise(0),
+    })
+    running = {f"{c}_before": F.coalesce(F.sum(c).over(upto("file", -1)), F.lit(0)) for c in ("sure", "open")}
+    rows = stored(rows.withColumns(running).drop("cuts", "failed"), "contract-lines")
+    summary = rows.groupBy("file", "segment").agg(
+        last_event("event").alias("event"), F.sum("sure").alias("sure"), F.sum("open").alias("open"), F.max("broken").alias("broken")
     )
-    inside = tagged.withColumn("_inside", F.last("event", ignorenulls=True).over(_upto(0)))
-    return inside.join(carried, ["file", "chunk"], "left").select(
+    skips = F.coalesce("skips", F.lit(False))
+    state = carried(
+        summary,
         "file",
-        "pos",
-        "line",
-        F.coalesce("_inside", "_carried", F.lit(False)).alias("skipping"),
+        {"skips": F.last("event", ignorenulls=True), "broke": F.max("broken")},
+        {"offset": F.sum(F.col("sure") + F.when(skips, 0).otherwise(F.col("open")))},
     )
+    kept = rows.join(state, ["file", "segment"], "left").filter(
+        F.col("relevant") & ~F.coalesce("inside", "skips", F.lit(False)) & ~F.col("broken") & ~F.coalesce("broke", F.lit(False))
+    )
+    base = F.coalesce("offset", F.lit(0)) + F.col("sure_before") + F.when(skips, 0).otherwise(F.col("open_before"))
+    return kept.select("file", "segment", "pos", "line", base.alias("base"))
 
 
-def section_lines(lines: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
-    """Lines outside skipped sections, without the skip and keep headings themselves."""
-    # A skip heading turns skipping on at its own line, so only keep headings need a test of their own.
-    stated = with_section_state(lines, chunk_bits)
-    return stated.filter(~F.col("skipping") & ~text.is_keep_heading(F.col("line"))).drop("skipping")
-
-
-def contract_lines(lines: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+def contract_lines(lines: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """The lines that make up the contract body: first occurrences, outside skipped sections, relevant by keyword."""
-    return section_lines(drop_repeated_lines(lines), chunk_bits).filter(text.keep_paragraph(F.col("line")))
+    return _counted_lines(wanted_lines(lines), segment_bits).select("file", "pos", "line")
 
 
-def join_lines(lines: DataFrame) -> DataFrame:
+def join_lines(lines: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """``file, pos, place, text``: the lines of a file as pieces of one text, with the character each begins at.
 
     The joined text is the pieces in ``pos`` order with a space between; ``write_joined`` writes it, and
-    ``contract_clauses`` numbers clauses over the whole file without joining it.  ``place`` comes from a running sum per
-    file, which holds no text.
+    ``contract_clauses`` numbers clauses over the whole file without joining it.  ``place`` is a segmented scan of lengths.
     """
-    order = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    place = F.coalesce(F.sum(F.length("line") + 1).over(order), F.lit(0))
-    return lines.select("file", "pos", place.alias("place"), F.col("line").alias("text"))
+    rows = in_segments(lines.select("file", "pos", "line"), "file", "pos", segment_bits=segment_bits)
+    rows = rows.withColumn("size", F.length("line") + F.lit(1).cast("bigint"))
+    rows = stored(rows.withColumn("inside", F.coalesce(F.sum("size").over(upto("file", -1)), F.lit(0))), "joined-lines")
+    state = carried(rows.groupBy("file", "segment").agg(F.sum("size").alias("size")), "file", {"offset": F.sum("size")})
+    place = F.col("inside") + F.coalesce("offset", F.lit(0))
+    return rows.join(state, ["file", "segment"], "left").select("file", "pos", place.alias("place"), F.col("line").alias("text"))
 
 
 def split_clauses(df: DataFrame, source: str = "text", band: tuple[int, int] | None = vocab.CLAUSE_BAND) -> DataFrame:
@@ -179,67 +214,41 @@ def _pieces(df: DataFrame, source: str, pattern: str, keep: Callable[[Column], C
 def contract_clauses(
     lines: DataFrame,
     band: tuple[int, int] = vocab.CLAUSE_BAND,
-    chunk_bits: int = CHUNK_BITS,
+    segment_bits: int = SEGMENT_BITS,
     select_lines: bool = True,
 ) -> DataFrame:
     """``file, clause_no, clause``: what splitting the joined text of a file gives, without joining it.
 
-    ``lines`` must be trimmed and nonempty.  With ``select_lines`` skipped sections and irrelevant lines are left out, as
-    in ``contract_lines``.
+    With ``select_lines`` repeated lines, skipped sections and irrelevant lines are left out first, as in
+    ``contract_lines``; a file with a line marked ``failed`` gives no clause.  Without, ``lines`` must be trimmed and nonempty.
 
     No separator spans two lines, so a clause is the run of line fragments with the same number of separators before
-    them.  The running count works per chunk plus the totals of earlier chunks.  Which lines count depends on the
-    section state at the start of the chunk, so a chunk keeps two totals: lines that count in any case, and lines before
-    its first section event, which count only when the state carried in is off.
+    them; that number is a segmented scan.
     """
-    line = F.col("line")
-    marked = _by_chunk(lines, chunk_bits)
     if select_lines:
-        relevant = text.keep_paragraph(line) & ~text.is_keep_heading(line)
-        marked = marked.withColumns({"event": text.section_event(line), "relevant": relevant})
+        marked = wanted_lines(lines)
     else:
-        marked = marked.withColumns({"event": F.lit(None).cast("boolean"), "relevant": F.lit(True)})
-    cuts = F.when(F.col("relevant"), F.size(F.split(line, vocab.CLAUSE_SEPARATOR)) - 1).otherwise(0).cast("bigint")
-    counted = (
-        marked.withColumn("cuts", cuts)
-        .withColumn("inside", F.last("event", ignorenulls=True).over(_upto(0)))
-        .withColumn("sure", F.when(F.col("inside") == F.lit(False), F.col("cuts")).otherwise(0))
-        .withColumn("open", F.when(F.col("inside").isNull(), F.col("cuts")).otherwise(0))
-    )
-    per_chunk = counted.groupBy("file", "chunk").agg(
-        _last_event().alias("last_event"), F.sum("sure").alias("n_sure"), F.sum("open").alias("n_open")
-    )
-    skipped = F.coalesce(_over_earlier_chunks(F.last("last_event", ignorenulls=True)), F.lit(False))
-    total = F.col("n_sure") + F.when(F.col("carried"), 0).otherwise(F.col("n_open"))
-    state = per_chunk.withColumn("carried", skipped).select(
-        "file", "chunk", "carried", F.coalesce(_over_earlier_chunks(F.sum(total)), F.lit(0)).alias("offset")
-    )
-    running = counted.withColumns(
-        {c: F.coalesce(F.sum(c).over(_upto(-1)), F.lit(0)) for c in ("sure", "open")}
-    )
-    base = F.col("offset") + F.col("sure") + F.when(F.col("carried"), 0).otherwise(F.col("open"))
-    kept = running.join(state, ["file", "chunk"]).filter(
-        F.col("relevant") & ~F.coalesce("inside", "carried")
-    )
-    fragments = kept.select(
-        "file", "chunk", "pos", base.alias("base"), F.posexplode(F.split(line, vocab.CLAUSE_SEPARATOR)).alias("k", "raw")
-    ).select("file", "chunk", "pos", (F.col("base") + F.col("k")).alias("clause_no"), text.strip(F.col("raw")).alias("f"))
+        marked = lines.select("file", "pos", "line", F.lit(None).cast("boolean").alias("event"), F.lit(True).alias("relevant"), F.lit(False).alias("failed"))
+    counted = _counted_lines(marked, segment_bits)
+    fragments = counted.select(
+        "file", "segment", "pos", "base", F.posexplode(F.split("line", vocab.CLAUSE_SEPARATOR)).alias("k", "raw")
+    ).select("file", "segment", "pos", (F.col("base") + F.col("k")).alias("clause_no"), text.strip(F.col("raw")).alias("f"))
     return _gather_clauses(fragments.filter(F.col("f") != ""), band)
 
 
 def _gather_clauses(fragments: DataFrame, band: tuple[int, int]) -> DataFrame:
-    """Clauses from ``file, chunk, pos, clause_no, f``.
+    """Clauses from ``file, segment, pos, clause_no, f``.
 
-    Gathered first per chunk, in place; a part that is already too long there goes on as a length without text, so no
-    group ever grows beyond a chunk.
+    Gathered first per segment; a part that is already too long there goes on as a length without text, so no group ever
+    grows beyond a segment.
     """
-    in_chunk = fragments.groupBy("file", "chunk", "clause_no").agg(
+    in_segment = fragments.groupBy("file", "segment", "clause_no").agg(
         F.sum(F.length("f")).alias("chars"),
         F.count("*").alias("n"),
         F.collect_list(F.struct("pos", "f")).alias("parts"),
     )
     small = F.when(F.col("chars") <= band[1], F.col("parts"))
-    whole = in_chunk.groupBy("file", "clause_no").agg(
+    whole = in_segment.groupBy("file", "clause_no").agg(
         (F.sum("chars") + F.sum("n") - 1).alias("size"),
         F.sort_array(F.flatten(F.collect_list(small))).alias("parts"),
     )
@@ -256,11 +265,11 @@ def stamp_samples(clauses: DataFrame) -> DataFrame:
 
 
 def contract_samples(
-    lines: DataFrame, pack: rules.RulePack = rules.BASE, chunk_bits: int = CHUNK_BITS
+    lines: DataFrame, pack: rules.RulePack = rules.BASE, segment_bits: int = SEGMENT_BITS
 ) -> DataFrame:
     """Cleaned lines of contract files to labelled samples ``file, clause_no, text, label, confidence, source``."""
     usable = lines.filter(~text.skip_file(F.col("file")) & known_format(F.col("file")))
-    clauses = contract_clauses(drop_repeated_lines(usable), chunk_bits=chunk_bits)
+    clauses = contract_clauses(usable, segment_bits=segment_bits)
     labelled = clauses.select(
         "file", "clause_no", F.col("clause").alias("text"), rules.base_label(F.col("clause"), pack).alias("label")
     )

@@ -22,9 +22,8 @@ def _lines(spark, sf_dir):
     return view(spark, sf_dir, "contract_src").select("file", "pos", "line")
 
 
-def _chunked() -> int:
-    """Chunks of 512 orders, so that section state and clause numbers cross chunk borders on test data too."""
-    return 25 + 3 + 9
+# Segments of 512 rows, so that section state and clause numbers cross their borders on test data too.
+_BITS = 9
 
 
 def _first_lines(table_: str) -> str:
@@ -101,12 +100,12 @@ def e2_contract_lines(spark, sf_dir):
     f"{cte('contract_src')} SELECT file, pos, line, skipping FROM ({_stated(_first_lines('contract_src'))})",
 )
 def e3_section_state(spark, sf_dir):
-    return documents.with_section_state(documents.drop_repeated_lines(_lines(spark, sf_dir)), _chunked())
+    return documents.with_section_state(documents.drop_repeated_lines(_lines(spark, sf_dir)), _BITS)
 
 
 @register("e3_section_lines", f"{cte('contract_src')} {_section_lines(_first_lines('contract_src'))}")
 def e3_section_lines(spark, sf_dir):
-    return documents.section_lines(documents.drop_repeated_lines(_lines(spark, sf_dir)), _chunked())
+    return documents.section_lines(documents.drop_repeated_lines(_lines(spark, sf_dir)), _BITS)
 
 
 @register(
@@ -119,7 +118,7 @@ def e3_section_lines(spark, sf_dir):
 )
 def e4_joined_lines(spark, sf_dir):
     """The pieces of every file's joined text; the SQL cuts them out of the whole text, one per file."""
-    return documents.join_lines(documents.contract_lines(_lines(spark, sf_dir), _chunked()))
+    return documents.join_lines(documents.contract_lines(_lines(spark, sf_dir), _BITS), _BITS)
 
 
 @register(
@@ -136,7 +135,7 @@ def e5_clauses(spark, sf_dir):
     f"({_clauses('(' + _joined('contract_src') + ')', 'file')})) WHERE length(clause) BETWEEN 15 AND 130",
 )
 def e5_contract_clauses(spark, sf_dir):
-    return documents.contract_clauses(documents.drop_repeated_lines(_lines(spark, sf_dir)), chunk_bits=_chunked())
+    return documents.contract_clauses(_lines(spark, sf_dir), segment_bits=_BITS)
 
 
 @register(
@@ -228,9 +227,7 @@ _SAMPLE_CLAUSES = (
     f"'gov_bid_file' AS source FROM s JOIN ({o.base_labels('s')}) USING (text)",
 )
 def e7_contract_samples(spark, sf_dir):
-    lines = documents.page_lines(contract_pages(spark, sf_dir))
-    # Chunks of 256 pages here, so that test files span several.
-    return documents.contract_samples(lines, chunk_bits=documents.PAGE_BITS + 8)
+    return documents.contract_samples(documents.marked_page_lines(contract_pages(spark, sf_dir)), segment_bits=_BITS)
 
 
 @register(

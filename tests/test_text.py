@@ -137,13 +137,13 @@ def lines(spark, values, file="f.pdf"):
     return spark.createDataFrame([(file, i, v) for i, v in enumerate(values)], "file STRING, pos BIGINT, line STRING")
 
 
-@pytest.mark.parametrize("chunk_bits", [44, 2, 0])
-def test_section_lines(spark, chunk_bits):
+@pytest.mark.parametrize("bits", [16, 2, 0])
+def test_section_lines(spark, bits):
     table = lines(spark, HEADINGS)
     assert documents.drop_repeated_lines(table).count() == 13
-    kept = documents.contract_lines(table, chunk_bits)
+    kept = documents.contract_lines(table, bits)
     assert [r.line for r in kept.orderBy("pos").collect()] == ["乙方付款", "第五节 验收与付款", "质保金退还"]
-    pieces = documents.join_lines(kept).orderBy("pos").collect()
+    pieces = documents.join_lines(kept, bits).orderBy("pos").collect()
     assert [(r.place, r.text) for r in pieces] == [(0, "乙方付款"), (5, "第五节 验收与付款"), (15, "质保金退还")]
 
 
@@ -168,10 +168,10 @@ def whole_texts(table):
     return documents.join_lines(table).groupBy("file").agg(F.array_join(F.transform(pieces, lambda p: p["text"]), " ").alias("text"))
 
 
-@pytest.mark.parametrize("chunk_bits", [44, 3, 0])
-def test_clauses_equal_those_of_the_joined_text(spark, chunk_bits):
-    """Fragments numbered over chunks against joining the file and splitting it, on random documents."""
-    rng = random.Random(chunk_bits)
+@pytest.mark.parametrize("bits", [16, 3, 0])
+def test_clauses_equal_those_of_the_joined_text(spark, bits):
+    """Fragments numbered over segments against joining the file and splitting it, on random documents."""
+    rng = random.Random(bits)
     pieces = ["第一章 投标人须知", "第二章 政府采购合同", "第三节 杂项", "1.2", "（3）", "；", "付款", "验收合格之后", "图纸", "甲方", " ", "质保金在"]
     rows = []
     for f in range(40):
@@ -179,18 +179,18 @@ def test_clauses_equal_those_of_the_joined_text(spark, chunk_bits):
             rows.append((f"f{f}.pdf", pos, "".join(rng.choice(pieces) for _ in range(rng.randint(1, 5)))))
     table = documents.drop_repeated_lines(spark.createDataFrame(rows, "file STRING, pos BIGINT, line STRING"))
     band = (3, 60)
-    joined = whole_texts(documents.section_lines(table, chunk_bits).filter(text.keep_paragraph(F.col("line"))))
+    joined = whole_texts(documents.section_lines(table, bits).filter(text.keep_paragraph(F.col("line"))))
     expected = documents.split_clauses(joined, band=band).select("file", F.col("piece").cast("bigint"), "clause")
-    got = documents.contract_clauses(table, band, chunk_bits)
+    got = documents.contract_clauses(table, band, bits)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
     assert got.count() > 20
-    plain = documents.contract_clauses(table, band, chunk_bits, select_lines=False)
+    plain = documents.contract_clauses(table, band, bits, select_lines=False)
     whole = documents.split_clauses(whole_texts(table), band=band).select("file", F.col("piece").cast("bigint"), "clause")
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, whole.collect()))
 
 
-@pytest.mark.parametrize("chunk_bits", [40, 2])
-def test_section_state_equals_a_loop(spark, chunk_bits):
+@pytest.mark.parametrize("bits", [16, 2])
+def test_section_state_equals_a_loop(spark, bits):
     rng = random.Random(5)
     kinds = {"第1章 图纸": True, "第二节": True, "第三章 其他": False, "第四章 政府采购": False, "正文": None, "第五部分 投标人须知": False}
     rows, expected = [], []
@@ -201,10 +201,55 @@ def test_section_state_equals_a_loop(spark, chunk_bits):
             state = state if kinds[line] is None else kinds[line]
             rows.append((f"f{f}", pos, line))
             expected.append((f"f{f}", pos, line, state))
-    got = documents.with_section_state(spark.createDataFrame(rows, "file STRING, pos BIGINT, line STRING"), chunk_bits)
+    got = documents.with_section_state(spark.createDataFrame(rows, "file STRING, pos BIGINT, line STRING"), bits)
     assert sorted(map(tuple, got.collect())) == sorted(expected)
 
 
+@pytest.fixture
+def no_coalescing(spark):
+    """Range partitions stay as many as they are asked for."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_file_over_all_partitions(spark, no_coalescing):
+    """A single file and a single page: its lines spread over tasks, and state, places and clause numbers cross them."""
+    rng = random.Random(9)
+    pieces = ["第一章 投标人须知", "第二章 政府采购合同", "1.2", "；", "付款", "验收合格之后"]
+    rows = [("f.pdf", pos, f"{pos}号" * (rng.random() < 0.9) + "".join(rng.choice(pieces) for _ in range(3))) for pos in range(3000)]
+    rows = [(f, pos, line if rng.random() < 0.98 else rng.choice(pieces[:2])) for f, pos, line in rows]
+    table = spark.createDataFrame(rows, "file STRING, pos BIGINT, line STRING").repartition(5)
+    kept = documents.contract_lines(table)
+    placed = documents.join_lines(kept)
+    assert placed.select(F.spark_partition_id()).distinct().count() > 1
+    lines, state, seen = [], False, set()
+    for _, pos, line in rows:
+        line = line.strip()
+        if not line or line in seen:
+            continue
+        seen.add(line)
+        heading = line.startswith(("第一章", "第二章"))
+        state = line.startswith("第一章") if heading else state
+        if not state and not (heading and "政府采购合同" in line[:10]) and any(w in line for w in vocab.PARAGRAPH_KEEP) and not any(w in line for w in vocab.PARAGRAPH_DROP):
+            lines.append((pos, line))
+    got = placed.orderBy("pos").collect()
+    assert [(r.pos, r.text) for r in got] == lines and len(lines) > 300
+    joined = " ".join(x for _, x in lines)
+    assert all(joined[r.place : r.place + len(r.text)] == r.text for r in got)
+    whole = documents.split_clauses(spark.createDataFrame([("f.pdf", joined)], "file STRING, text STRING"), band=(3, 60))
+    want = whole.select("file", F.col("piece").cast("bigint"), "clause")
+    assert sorted(map(tuple, documents.contract_clauses(table, (3, 60)).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_failed_files_go_in_the_scan(spark, no_coalescing):
+    pages = [(f"f{i}.pdf", p, f"第{p}页 乙方应当在验收合格之后支付第{p}批全部货款；", "boom" if i == 2 and p == 30 else None) for i in range(4) for p in range(60)]
+    table = spark.createDataFrame(pages, "file STRING, page_no INT, text STRING, error STRING")
+    for bits in (16, 3, 0):
+        got = documents.contract_samples(documents.marked_page_lines(table), segment_bits=bits)
+        assert {r.file: r["count"] for r in got.groupBy("file").count().collect()} == {f"f{i}.pdf": 60 for i in (0, 1, 3)}
+
+
 def test_pages(spark):
     pages = spark.createDataFrame(
         [("a", 2, "二 ", None), ("a", 1, "一", None), ("a", 3, " \n", None), ("a", 4, None, "boom"), ("b", 1, " ", None)],
