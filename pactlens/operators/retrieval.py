@@ -9,17 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pactlens import vocab
-from pactlens.operators.documents import split_sentences
 
 # Vectors in a block: of a thousand dimensions a pair of blocks is 32 MB, and its scores are 32 MB.
 BLOCK_ROWS = 2048
 
 
-def knowledge_chunks(documents: DataFrame, key: str, source: str = "text") -> DataFrame:
-    """``key, piece, clause``: the chunks of the knowledge documents.  Contract only in the reference."""
-    return split_sentences(documents.select(key, source), source)
-
-
 def _blocks(rows: DataFrame, key: str, own: str, other: str, n_own: int, n_other: int) -> DataFrame:
     """The rows dealt into ``n_own`` blocks by their key, each sent to every block of the other side."""
     placed = rows.select(
@@ -31,12 +25,13 @@ def _blocks(rows: DataFrame, key: str, own: str, other: str, n_own: int, n_other
 def retrieve(chunks: DataFrame, queries: DataFrame, k: int = vocab.TOP_K, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id, rank, chunk_id, score``: the k chunks of the highest cosine per query, ties by chunk id.
 
-    Contract only in the reference.  ``chunks`` is ``chunk_id, vec``, ``queries`` is ``query_id, vec``; rows without a
-    vector take no part.  Both sides are dealt into blocks of about ``block_rows`` vectors; a task multiplies one block
+    ``chunks`` is ``chunk_id, vec``, ``queries`` is ``query_id, vec``; rows without a vector, or with a null or non-finite
+    component in it, take no part.  ``knowledge`` retrieves by sparse vectors of texts, with an index.  Both sides are dealt into blocks of about ``block_rows`` vectors; a task multiplies one block
     with one block and keeps k candidates per query.  No pair of rows leaves it, nothing passes through the driver but
     the two row counts, and one path serves every size.
     """
-    chunks, queries = (df.where("vec IS NOT NULL") for df in (chunks, queries))
+    finite = F.forall("vec", lambda c: F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)))
+    chunks, queries = (df.where(F.coalesce(finite, F.lit(False))) for df in (chunks, queries))
     n_chunks, n_queries = (max(1, -(-df.count() // block_rows)) for df in (chunks, queries))
     ids = ["chunk_block", "query_block"]
     left = _blocks(chunks, "chunk_id", *ids, n_chunks, n_queries).groupBy(*ids)
