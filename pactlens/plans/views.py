@@ -77,6 +77,9 @@ _CLAUSE_TEXT = (
 # Order line numbers repeat, so the price in cents completes the key of a row.
 _ROW = "(l_orderkey * 8 + l_linenumber) * 33554432 + CAST(round(l_extendedprice * 100) AS BIGINT)"
 
+# What GBK cannot hold of the lines above; private-use characters do not display and are written as escapes.
+_NOT_GBK = "\u2611\uf0b8\uf0b9"
+
 # view -> (table, {column: expression})
 PROJECTIONS = {
     "clause_src": ("lineitem", {
@@ -98,6 +101,16 @@ PROJECTIONS = {
         "pos": _ROW,
         "line": _pick("l_orderkey * 3 + l_linenumber * 5 + l_partkey", LINES),
     }),
+    # Lines of contract files: the supplier decides about name and kind; the one in GBK is without what GBK cannot hold.
+    "files_src": ("lineitem", {
+        "name": _pick("l_suppkey", [f"'{stem}_' || CAST(l_suppkey AS STRING) || '{suffix}'" for stem, suffix in (
+            ("合同", ".docx"), ("文本", ".txt"), ("国标", ".txt"), ("扫描", ".pdf"), ("损坏", ".docx"), ("第一册", ".docx"), ("大写", ".DOCX"), ("表格", ".docx"),
+        )]),
+        "kind": _pick("l_suppkey", ["'docx'", "'utf-8'", "'gbk'", "'pdf'", "'broken'", "'docx'", "'docx'", "'table'"]),
+        "pos": _ROW,
+        "line": f"CASE WHEN l_suppkey % 8 = 2 THEN translate({_pick('l_orderkey * 3 + l_linenumber * 5 + l_partkey', LINES)}, '{_NOT_GBK}', '') "
+                f"ELSE {_pick('l_orderkey * 3 + l_linenumber * 5 + l_partkey', LINES)} END",
+    }),
     "responses_src": ("pages", {
         "pos": "CAST(page_id + 1 AS BIGINT)",
         "url": _pick("page_id", [

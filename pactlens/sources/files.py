@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pactlens import schemas, vocab
 from pactlens.functions import text
@@ -21,11 +22,21 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
-    """``pos, url``: trimmed nonblank lines, numbered from 1; repeated URLs stay."""
+    """``pos, url``: trimmed nonblank lines, numbered from 1 over all lists of ``path`` in the order of their names; repeated
+    URLs stay.
+
+    A list is one value, opened in place; the numbers of later lists start behind those of earlier ones, which takes one
+    count per list and no order over the URLs.
+    """
     lines = F.split(F.col("value"), "\r\n|\r|\n")
     urls = F.filter(F.transform(lines, text.strip), lambda u: u != "")
-    listed = spark.read.text(path, wholetext=True).select(F.posexplode(urls).alias("p", "url"))
-    return listed.select((F.col("p") + 1).cast("bigint").alias("pos"), "url")
+    lists = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("_list"))
+    opened = lists.select("_list", urls.alias("urls"))
+    counts = opened.select(F.col("_list").alias("_of"), F.size("urls").cast("bigint").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_of", before.alias("_before"))
+    placed = opened.join(offsets, F.col("_list") == F.col("_of")).select("_before", F.posexplode("urls").alias("p", "url"))
+    return placed.select((F.col("_before") + F.col("p") + 1).cast("bigint").alias("pos"), "url")
 
 
 def list_contracts(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,43 +48,88 @@ def list_contracts(spark: SparkSession, folder: str) -> DataFrame:
     return found.filter(~text.skip_file(F.col("path"))).select(F.col("path").alias("file"), "length", "content")
 
 
-def docx_parts(files: DataFrame) -> DataFrame:
-    """``file, pos, kind, text, error``: the paragraphs, then the table rows, of each DOCX; one error row where it fails."""
+def list_files(spark: SparkSession, folder: str, glob: str = "*.{docx,DOCX,txt,TXT}") -> DataFrame:
+    """``file, length, content`` of the files to score directly in a folder."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    return found.select(F.col("path").alias("file"), "length", "content")
+
+
+def decoded_files(files: DataFrame) -> DataFrame:
+    """``file, pos, kind, text, error`` of ``file, content``: one pass over the contents, dispatched by suffix.
+
+    A DOCX gives its nonblank paragraphs, then its table rows; a TXT gives its text; what cannot be read gives one error
+    row.  Paragraphs and texts are as they stand in the file; ``parsed_text`` and ``file_lines`` clean them.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["file"], batch["content"]):
-                rows = _docx_rows(path, content)
-                yield pd.DataFrame(rows, columns=["file", "pos", "kind", "text", "error"]).astype(
-                    {"pos": "int32"}
-                )
+                rows = [(path, n, *row) for n, row in enumerate(_decoded(path, bytes(content)))]
+                yield pd.DataFrame(rows, columns=["file", "pos", "kind", "text", "error"]).astype({"pos": "int32"})
 
     return files.select("file", "content").mapInPandas(parse, schemas.TEXT_PARTS)
 
 
-def _docx_rows(path: str, content: bytes) -> list[tuple]:
+def docx_parts(files: DataFrame) -> DataFrame:
+    """:func:`decoded_files` of DOCX files whatever they are called."""
+    named = F.concat("file", F.lit("#.docx")).alias("file")
+    parts = decoded_files(files.select(named, "content"))
+    return parts.withColumn("file", F.regexp_replace("file", r"#\.docx\z", ""))
+
+
+def failed_files(parts: DataFrame) -> DataFrame:
+    """``file, error``: the side table of what could not be read."""
+    return parts.filter(F.col("error").isNotNull()).select("file", "error")
+
+
+def parsed_text(parts: DataFrame) -> DataFrame:
+    """``file, pos, kind, text``: stripped paragraphs and table rows, in reading order; blank ones and errors are left out."""
+    stripped = parts.filter(F.col("error").isNull()).withColumn("text", text.strip(F.col("text")))
+    return stripped.filter(F.col("text") != "").select("file", "pos", "kind", "text")
+
+
+def _decoded(path: str, content: bytes) -> list[tuple]:
+    """``kind, text, error`` per part of one file."""
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix == "docx":
+        return _docx_rows(content)
+    if suffix == "txt":
+        value, _, error = _decode_text(content)
+        return [("error" if error else "text", value, error)]
+    return [("error", None, f"no decoder for .{suffix}")]
+
+
+def _docx_rows(content: bytes) -> list[tuple]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
         found = [("paragraph", _paragraph(p)) for p in body.findall(f"{_W}p")]
-        for table in body.findall(f"{_W}tbl"):
-            found += [("table", "\t".join(c for c in cells if c)) for cells in _table(table)]
     except Exception as error:  # any damage makes an error row, never a failed job
-        return [(path, 0, "error", None, f"{type(error).__name__}: {error}")]
-    kept = [(kind, value) for kind, value in found if value.strip()]
-    if not kept:
-        return [(path, 0, "error", None, "no text")]
-    return [(path, n, kind, value.strip(), None) for n, (kind, value) in enumerate(kept)]
+        return [("error", None, f"{type(error).__name__}: {error}")]
+    for table in body.findall(f"{_W}tbl"):
+        try:
+            for cells in _table(table):
+                found.append(("table", "\t".join(c for c in cells if c)))
+        except Exception:  # the rest of a damaged table goes, the file stays
+            continue
+    kept = [(kind, value, None) for kind, value in found if value.strip()]
+    return kept or [("error", None, "no text")]
 
 
 def _paragraph(node: ElementTree.Element) -> str:
-    """Text of the runs of a paragraph, also of those inside hyperlinks."""
-    marks = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
+    """Text of the runs of a paragraph, also of those inside hyperlinks; page and column breaks are no text."""
+    marks = {f"{_W}tab": "\t", f"{_W}ptab": "\t", f"{_W}cr": "\n", f"{_W}noBreakHyphen": "-"}
+
+    def mark(e: ElementTree.Element) -> str:
+        if e.tag == f"{_W}br":
+            return "\n" if e.get(f"{_W}type", "textWrapping") == "textWrapping" else ""
+        return marks.get(e.tag, "")
+
     parts = []
     for child in node:
         runs = [child] if child.tag == f"{_W}r" else child.findall(f"{_W}r") if child.tag == f"{_W}hyperlink" else []
         for run in runs:
-            parts += [(e.text or "") if e.tag == f"{_W}t" else marks.get(e.tag, "") for e in run]
+            parts += [(e.text or "") if e.tag == f"{_W}t" else mark(e) for e in run]
     return "".join(parts)
 
 
@@ -93,28 +149,36 @@ def _table(table: ElementTree.Element) -> Iterator[list[str]]:
         yield cells
 
 
-def docx_lines(parts: DataFrame) -> DataFrame:
-    """``file, pos, line`` for the document operators: cleaned paragraphs, no tables."""
-    cleaned = parts.filter(F.col("kind") == "paragraph").select("file", "pos", text.clean_text(F.col("text")).alias("t"))
+def file_lines(parts: DataFrame, tables: bool = False) -> DataFrame:
+    """``file, pos, line`` for the document operators: the cleaned lines of paragraphs and texts, on request of table rows too."""
+    kinds = ["paragraph", "text", *(["table"] if tables else [])]
+    cleaned = parts.filter(F.col("kind").isin(kinds)).select("file", "pos", text.clean_text(F.col("text")).alias("t"))
     lines = cleaned.select("file", "pos", F.posexplode(F.split("t", "\n")).alias("n", "line"))
     return lines.filter(F.col("line") != "").select(
         "file", F.shiftleft(F.col("pos").cast("bigint"), 32).bitwiseOR(F.col("n")).alias("pos"), "line"
     )
 
 
+def docx_lines(parts: DataFrame) -> DataFrame:
+    """``file, pos, line``: cleaned paragraphs, no tables."""
+    return file_lines(parts)
+
+
 def decode_txt(content: Column) -> Column:
     """``STRUCT<text, encoding, error>``: utf-8 first, then gbk (of which gb2312 is a part)."""
     return F.pandas_udf(_decode, schemas.DECODED)(content)
 
 
 def _decode(contents: pd.Series) -> pd.DataFrame:
-    def decode(data: bytes) -> tuple:
-        for encoding in ("utf-8", "gbk"):
-            try:
-                value = bytes(data).decode(encoding)
-            except UnicodeDecodeError:
-                continue
-            return value.replace("\r\n", "\n").replace("\r", "\n"), encoding, None
-        return None, None, "unknown encoding"
-
-    return pd.DataFrame([decode(c) for c in contents], columns=["text", "encoding", "error"])
+    return pd.DataFrame([_decode_text(bytes(c)) for c in contents], columns=["text", "encoding", "error"])
+
+
+def _decode_text(data: bytes) -> tuple:
+    """``text, encoding, error``."""
+    for encoding in ("utf-8", "gbk"):
+        try:
+            value = data.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        return value.replace("\r\n", "\n").replace("\r", "\n"), encoding, None
+    return None, None, "unknown encoding"

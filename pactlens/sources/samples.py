@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pactlens import schemas, vocab
 from pactlens.operators.dataset import union_sources
+from pactlens.operators.frames import stored
+from pactlens.operators.scan import SEGMENT_BITS, carried, in_segments, upto
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -41,11 +43,39 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 
 def read_dataset(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """The dataset CSV.  Texts may hold quotes and newlines; ``multi_line=False`` lets Spark split large files."""
+    """The dataset CSV.  Texts may hold quotes and newlines; ``multi_line=False`` lets Spark split files
+    without newlines in texts, ``read_large_dataset`` any."""
     reader = spark.read.schema(schemas.DATASET).option("header", True).option("escape", '"')
     return reader.option("multiLine", multi_line).csv(path)
 
 
+def read_large_dataset(spark: SparkSession, path: str, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    """The dataset CSV with quotes and newlines in its texts, read in as many tasks as Spark cuts the files into.
+
+    Physical lines are read at any split.  A line opens a record when the quotes before it in its file are even in number,
+    which is a segmented scan of quote counts; the lines of a record then come together and are parsed as one.  The first
+    record of each file is its header.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    rows = in_segments(lines.withColumn("quotes", quotes.cast("bigint")), "file", "at", segment_bits=segment_bits)
+    rows = stored(rows.withColumn("inside", F.coalesce(F.sum("quotes").over(upto("file", -1)), F.lit(0))), "csv-lines")
+    state = carried(rows.groupBy("file", "segment").agg(F.sum("quotes").alias("quotes")), "file", {"before": F.sum("quotes")})
+    opened = rows.join(state, ["file", "segment"], "left").withColumn("opens", (F.col("inside") + F.coalesce("before", F.lit(0))) % 2 == 0)
+    # The number of a record is the row that opens it; a line inside one takes the last opener's, from its segment or an earlier one.
+    opened = opened.withColumn("opener", F.last(F.when(F.col("opens"), F.col("row")), ignorenulls=True).over(upto("file", 0)))
+    starts = opened.groupBy("file", "segment").agg(F.max("opener").alias("opener"))
+    earlier = carried(starts, "file", {"last_opener": F.last("opener", ignorenulls=True)})
+    placed = opened.join(earlier, ["file", "segment"], "left").withColumn("record", F.coalesce("opener", "last_opener"))
+    parts = F.array_sort(F.collect_list(F.struct("row", "value")))
+    whole = placed.groupBy("file", "record").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("line"))
+    first = placed.groupBy("file").agg(F.min("record").alias("header"))
+    data = whole.join(first, "file").filter((F.col("record") > F.col("header")) & (F.trim("line", F.lit("\r ")) != ""))
+    parsed = F.from_csv(F.rtrim("line", F.lit("\r")), schemas.DATASET, {"escape": '"', "mode": "FAILFAST"})
+    return data.select(parsed.alias("r")).select("r.*")
+
+
 def training_rows(dataset: DataFrame) -> DataFrame:
     """The two columns training needs."""
     return dataset.select("text", "label")
@@ -57,6 +87,7 @@ def write_dataset(dataset: DataFrame, path: str) -> None:
     CSV has no null of its own: an empty text reads back as null, as it does in any reader of the format.
     """
     writer = dataset.select(*vocab.DATASET_COLUMNS).write.mode("overwrite").option("header", True)
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)  # texts stay whole
     writer.option("quoteAll", True).option("escape", '"').csv(path)
 
 
