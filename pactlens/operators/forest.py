@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -15,7 +14,8 @@ from pactlens.functions import text as text_functions
 from pactlens.operators import metrics
 from pactlens.operators.dataset import folds, with_balanced_weight
 from pactlens.operators.documents import page_lines, split_sentences
-from pactlens.operators.features import fit_vocabulary, vectorizer, with_terms
+from pactlens.operators.features import fit_vocabulary, fold_term_counts, fold_vocabulary, vectorizer, with_terms
+from pactlens.operators.frames import stored
 
 
 def train(
@@ -28,13 +28,10 @@ def train(
 ) -> PipelineModel:
     """Fits features and forest on labelled rows; classes are weighted against their frequency.
 
-    The rows are kept while the vocabulary, the weights and the forest each pass over them.
+    The rows are stored once; the vocabulary, the weights and the forest each pass over them.
     """
-    rows = _training_rows(df, text, label).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _fit(rows, trees, depth, seed)
-    finally:
-        rows.unpersist()
+    rows = stored(_training_rows(df, text, label), "training-rows")
+    return _fit(rows, fit_vocabulary(rows), trees, depth, seed)
 
 
 def _training_rows(df: DataFrame, text: str, label: str, *keys: str) -> DataFrame:
@@ -45,8 +42,8 @@ def _training_rows(df: DataFrame, text: str, label: str, *keys: str) -> DataFram
     return with_terms(narrow.repartition(parts)).drop("text")
 
 
-def _fit(rows: DataFrame, trees: int, depth: int, seed: int) -> PipelineModel:
-    features = vectorizer(fit_vocabulary(rows))
+def _fit(rows: DataFrame, vocabulary: DataFrame, trees: int, depth: int, seed: int) -> PipelineModel:
+    features = vectorizer(vocabulary)
     weighted = with_balanced_weight(features.transform(rows))
     forest = RandomForestClassifier(
         numTrees=trees,
@@ -117,13 +114,18 @@ def response(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 
 def score_files(pages: DataFrame, model: PipelineModel) -> DataFrame:
-    """Pages to scored clauses ``file, pos, piece, …``.
+    """Pages to scored clauses ``file, pos, piece, …``."""
+    return score_lines(page_lines(pages), model)
+
+
+def score_lines(lines: DataFrame, model: PipelineModel) -> DataFrame:
+    """Cleaned lines ``file, pos, line`` of files of any format to scored clauses ``file, pos, piece, …``.
 
     Contract only in the reference: clean, split into sentences, score each.  A newline ends a sentence, so lines are
     split one by one and no file is put together.
     """
-    lines = page_lines(pages)
-    return score_clauses(split_sentences(lines, "line"), model, "clause").withColumnRenamed("text", "clause")
+    sentences = split_sentences(lines.select("file", "pos", "line"), "line")
+    return score_clauses(sentences, model, "clause").withColumnRenamed("text", "clause")
 
 
 def cross_validate(
@@ -135,18 +137,22 @@ def cross_validate(
     trees: int = vocab.FOREST_TREES,
     depth: int = vocab.FOREST_DEPTH,
 ) -> DataFrame:
-    """``fold, macro_f1`` for k stratified folds.  Features are fitted again per fold, so no test row leaks into them."""
+    """``fold, macro_f1`` for k stratified folds.
+
+    Features are fitted again per fold, so no test row leaks into them; the terms of all folds are counted in one pass, and a
+    fold's vocabulary is what is left without its own counts.
+    """
     numbered = folds(df.select(key, text, label), k, label, [key])
-    rows = _training_rows(numbered, text, label, "fold").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        results = []
-        for fold in range(k):
-            model = _fit(rows.filter(F.col("fold") != fold), trees, depth, vocab.SPLIT_SEED)
-            tested = _apply(rows.filter(F.col("fold") == fold), model)
-            pairs = tested.select(F.col("label").cast("int").alias("y"), F.col("prediction").alias("p"))
-            results.append((fold, metrics.overall(pairs).first()["f1"]))
-    finally:
-        rows.unpersist()
+    rows = stored(_training_rows(numbered, text, label, "fold"), "training-rows")
+    counts = stored(fold_term_counts(rows, k), "fold-terms")
+    sizes = {r.fold: r["count"] for r in rows.groupBy("fold").count().collect()}
+    results = []
+    for fold in range(k):
+        vocabulary = fold_vocabulary(counts, sizes, fold)
+        model = _fit(rows.filter(F.col("fold") != fold), vocabulary, trees, depth, vocab.SPLIT_SEED)
+        tested = _apply(rows.filter(F.col("fold") == fold), model)
+        pairs = tested.select(F.col("label").cast("int").alias("y"), F.col("prediction").alias("p"))
+        results.append((fold, metrics.overall(pairs).first()["f1"]))
     return df.sparkSession.createDataFrame(results, "fold INT, macro_f1 DOUBLE")
 
 

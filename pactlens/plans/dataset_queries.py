@@ -38,6 +38,15 @@ def a2_jsonl_sources(spark, sf_dir):
     return files.read_sources(spark, folder)
 
 
+@register("a2_three_sources", f"{cte('clause_src')} SELECT text, given AS label, confidence, source FROM clause_src")
+def a2_three_sources(spark, sf_dir):
+    folder = scratch_path(spark, "samples")
+    rows = _samples(spark, sf_dir)
+    for name, source in vocab.SOURCES:
+        files.write_samples(rows.filter(F.col("source") == source), f"{folder}/{name}")
+    return files.read_sources(spark, folder)
+
+
 @register("a8_jsonl_samples", f"{cte('clause_src')} SELECT text, given AS label, confidence FROM clause_src")
 def a8_jsonl_samples(spark, sf_dir):
     path = scratch_path(spark, "jsonl")
@@ -55,6 +64,32 @@ def a9_csv_dataset(spark, sf_dir):
     return files.read_dataset(spark, path)
 
 
+_MANY_LINES = "CASE WHEN id % 3 = 0 THEN chr(10) || text || chr(10) || ' \"q\", ' || chr(10) ELSE text END"
+
+
+@register("a3_split_csv", f"{cte('clause_src')} SELECT id, {_MANY_LINES} AS text, given AS label, source, confidence FROM clause_src")
+def a3_split_csv(spark, sf_dir):
+    """Texts of several lines, read at any split of the files."""
+    path = scratch_path(spark, "csv")
+    files.write_dataset(_samples(spark, sf_dir, "id").withColumn("text", F.expr(_MANY_LINES)), path)
+    return files.read_large_dataset(spark, path, segment_bits=12)
+
+
+@register(
+    "g2_column_set",
+    f"{cte('clause_src')}, n AS (SELECT count(id) AS id, count(text) AS text, count(given) AS label, count(source) AS source, count(confidence) AS confidence FROM clause_src) "
+    "SELECT name, n_values FROM n UNPIVOT (n_values FOR name IN (id, text, label, source, confidence))",
+)
+def g2_column_set(spark, sf_dir):
+    """The columns of a checked dataset file, and how many values each holds."""
+    path = scratch_path(spark, "csv")
+    files.write_dataset(_samples(spark, sf_dir, "id"), path)
+    rows = files.read_dataset(spark, path)
+    dataset.check_columns(rows)
+    counts = rows.agg(*(F.count(c).alias(c) for c in rows.columns))
+    return counts.unpivot([], counts.columns, "name", "n_values")
+
+
 @register("a3_training_rows", f"{cte('clause_src')} SELECT text, CAST(y AS VARCHAR) AS label FROM clause_src")
 def a3_training_rows(spark, sf_dir):
     path = scratch_path(spark, "csv")

@@ -13,7 +13,7 @@ from pactlens.sources import files, samples
 
 def parse_pages(pages: DataFrame, output: str) -> None:
     """Pages of contract files to labelled samples, written as JSON lines."""
-    samples.write_samples(documents.contract_samples(documents.page_lines(pages)).drop("file", "clause_no"), output)
+    samples.write_samples(documents.contract_samples(documents.marked_page_lines(pages)).drop("file", "clause_no"), output)
 
 
 def parse_folder(spark: SparkSession, folder: str, output: str) -> None:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from pactlens import vocab
 from pactlens.functions import rules, scores, text
+from pactlens.operators import weak_labels
 from pactlens.plans import oracle_sql as o
 from pactlens.plans.registry import register
 from pactlens.plans.views import cte, table, view
+from pactlens.session import scratch_path
 
 # A small pack for the Latin documents of the test tables: packs are parameters.
 LATIN = rules.RulePack(
@@ -112,6 +114,37 @@ def f5_weak_routes(spark, sf_dir):
     )
 
 
+_ROUTED = "CASE WHEN confidence >= 0.85 THEN 'accept' WHEN confidence >= 0.6 THEN 'review' ELSE 'drop' END"
+
+
+def _weak(spark, sf_dir):
+    return weak_labels.weak_labels(_clauses(spark, sf_dir).select("id", "text"))
+
+
+@register(
+    "f5_weak_labels",
+    f"{cte('clause_src')} SELECT id, text, label, confidence, matched, {_ROUTED} AS route, 'weak' AS source FROM (SELECT id, text FROM clause_src) JOIN ({_TIER_LABELS}) USING (text)",
+)
+def f5_weak_labels(spark, sf_dir):
+    """What stands in the three sinks."""
+    path = scratch_path(spark, "weak")
+    labelled = _weak(spark, sf_dir)
+    weak_labels.write_weak_labels(labelled, path)
+    read = weak_labels.read_weak_labels(labelled, path)
+    return read.select("id", "text", "label", "confidence", F.array_join("matched_rules", "|").alias("matched"), "route", "source")
+
+
+@register(
+    "f5_weak_counts",
+    f"{cte('clause_src')}, w AS (SELECT {_ROUTED} AS route FROM (SELECT text FROM clause_src) JOIN ({_TIER_LABELS}) USING (text)) "
+    "SELECT r.route, (SELECT count(*) FROM w WHERE w.route = r.route) AS n FROM (SELECT unnest(['accept', 'review', 'drop']) AS route) r",
+)
+def f5_weak_counts(spark, sf_dir):
+    """The counts observed while the sinks were written."""
+    counts = weak_labels.write_weak_labels(_weak(spark, sf_dir), scratch_path(spark, "weak"))
+    return spark.createDataFrame(list(counts.items()), "route STRING, n BIGINT")
+
+
 @register(
     "f5_route_bands",
     f"{cte('clause_src')} SELECT CASE WHEN confidence >= 0.85 THEN 'accept' WHEN confidence >= 0.6 THEN 'review' ELSE 'drop' END "

@@ -208,12 +208,14 @@ def a10_failed_fetches(spark, sf_dir):
     return spark.read.schema(schema).json(path)
 
 
-@register("a1_url_list", "SELECT url FROM pages WHERE trim(url) <> ''")
+@register("a1_url_list", "SELECT row_number() OVER (ORDER BY page_id % 3, page_id) AS pos, url FROM pages WHERE trim(url) <> ''")
 def a1_url_list(spark, sf_dir):
+    """Three lists, numbered through."""
     path = scratch_path(spark, "urls")
-    padded = table(spark, sf_dir, "pages").select(F.concat(F.lit(" "), F.col("url"), F.lit("\t\n \n")).alias("value"))
-    padded.write.text(path)
-    return files.read_url_list(spark, f"{path}/*.txt").select("url")
+    padded = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(" "), F.col("url"), F.lit("\t\n \n")).alias("value"))
+    for i in range(3):
+        padded.filter(F.col("page_id") % 3 == i).orderBy("page_id").select("value").coalesce(1).write.text(f"{path}/{i}")
+    return files.read_url_list(spark, f"{path}/*/*.txt")
 
 
 @register(

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pactlens.functions import scores
-from pactlens.operators import dataset, features, metrics, report, retrieval
+from pactlens.operators import dataset, features, knowledge, metrics, report, retrieval
 
 
 def samples(spark, sizes, repeat=1):
@@ -141,7 +142,8 @@ def test_retrieval_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     chunks, queries = rng.normal(size=(300, 8)), rng.normal(size=(11, 8))
     chunks[7] = 0
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(chunks)], "chunk_id BIGINT, vec ARRAY<DOUBLE>").repartition(5)
+    odd = [(900, None), (901, [None] * 8), (902, [float("nan")] * 8), (903, [float("inf")] + [0.0] * 7)]
+    table = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(chunks)), *odd], "chunk_id BIGINT, vec ARRAY<DOUBLE>").repartition(5)
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id BIGINT, vec ARRAY<DOUBLE>")
     norm = np.linalg.norm(chunks, axis=1)
     score = queries @ chunks.T / np.where(norm == 0, 1, norm) / np.linalg.norm(queries, axis=1)[:, None]
@@ -152,6 +154,59 @@ def test_retrieval_equals_brute_force(spark, monkeypatch):
         assert got == best
 
 
+def knowledge_rows():
+    """Documents on a few topics, with copies and odd ones, and queries that share words with some, one or none."""
+    rng = random.Random(6)
+    topics = [[f"{t}{w}" for w in "alpha beta gamma delta epsilon zeta".split()] for t in "abcdefgh"]
+    docs = []
+    for i in range(120):
+        words = topics[i % 8] + ["common", "shared"]
+        docs.append((i, "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 12)))))
+    docs += [(200, docs[3][1]), (201, None), (202, ""), (203, "unique words here")]
+    asked = [(i, " ".join(rng.choice(topics[i % 8] + topics[(i + 3) % 8] + ["common"]) for _ in range(rng.randint(1, 6)))) for i in range(25)]
+    return docs, [*asked, (100, "nothing known"), (101, None), (102, "unique words"), (103, "common")]
+
+
+@pytest.mark.parametrize("block_bits, k", [(10, 3), (3, 3), (0, 1), (4, 50)])
+def test_knowledge_retrieval_equals_brute_force(spark, block_bits, k):
+    docs, asked = knowledge_rows()
+    chunks = knowledge.knowledge_chunks(spark.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(4), "doc_id")
+    queries = spark.createDataFrame(asked, "query_id BIGINT, text STRING")
+    index = knowledge.build_index(chunks, block_bits=block_bits)
+    vocabulary = index.vocabulary
+
+    def unit(rows, key):
+        long = features.transform_long(features.with_terms(rows.filter("text IS NOT NULL")), vocabulary, key).collect()
+        out = {}
+        for r in long:
+            out.setdefault(r[key], {})[r.term] = r.tfidf
+        return out
+
+    have, want = unit(chunks, "chunk_id"), {}
+    for q, weights in unit(queries, "query_id").items():
+        scored = {c: round(sum(w * v[t] for t, w in weights.items() if t in v), 9) for c, v in have.items() if weights.keys() & v.keys()}
+        for rank, c in enumerate(sorted(scored, key=lambda c: (-scored[c], c))[:k]):
+            want[q, rank + 1] = (c, pytest.approx(scored[c], abs=2e-9))
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in knowledge.retrieve(index, queries, k).collect()}
+    assert got == want and len({q for q, _ in got}) >= 27
+    if block_bits == 3:  # most blocks are never scored
+        terms = knowledge.query_terms(index, queries)
+        left = knowledge.surviving_blocks(terms, index, knowledge.thresholds(terms, index, k)).count()
+        assert left < 0.5 * index.peaks.select("block").distinct().count() * len(asked)
+
+
+def test_fold_vocabularies_by_subtraction(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(3), " ".join(rng.choice(["ab", "cd", "ef", "gh", "only" + str(i)]) for _ in range(6))) for i in range(60)]
+    table = features.with_terms(spark.createDataFrame(rows, "id INT, fold INT, text STRING"))
+    counts = features.fold_term_counts(table, 3)
+    sizes = {f: sum(r[1] == f for r in rows) for f in range(3)}
+    for fold in range(3):
+        got = features.fold_vocabulary(counts, sizes, fold, max_features=20)
+        fitted = features.fit_vocabulary(table.filter(F.col("fold") != fold), max_features=20)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fitted.collect()))
+
+
 def test_unknown_sources_and_labels_fail_instead_of_vanishing(spark):
     rows = spark.createDataFrame([(1, "bid", "0"), (2, "other", "0"), (3, None, None)], "id BIGINT, source STRING, label STRING")
     for bad in (rows.filter("id < 3"), rows.filter("id <> 2")):

@@ -1,6 +1,7 @@
 """Files in, files out, the stream and the model store."""
 
 import json
+import random
 import zipfile
 from pathlib import Path
 
@@ -9,8 +10,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from pactlens.functions import rules, web
-from pactlens.operators import dataset, documents, fetch, forest, metrics, report
+from pactlens.functions import rules, scores, web
+from pactlens.operators import dataset, documents, fetch, forest, metrics, report, weak_labels
 from pactlens.plans import jobs
 from pactlens.sources import files, samples
 from pactlens.streaming import scoring
@@ -55,7 +56,7 @@ def test_contract_folder_and_docx(spark, tmp_path):
     parts = files.docx_parts(found)
     rows = {(r.file.rsplit("/", 1)[1], r.pos): (r.kind, r.text) for r in parts.collect()}
     assert rows == {
-        ("a.docx", 0): ("paragraph", "第一条"),
+        ("a.docx", 0): ("paragraph", " 第一条 "),
         ("a.docx", 1): ("paragraph", "☑付款。。"),
         ("a.docx", 2): ("table", "货物\t价款"),
         ("a.docx", 3): ("table", "合计\t合计\t1"),
@@ -65,6 +66,33 @@ def test_contract_folder_and_docx(spark, tmp_path):
     assert parts.filter(F.col("error").isNotNull()).count() == 2
     lines = files.docx_lines(parts).orderBy("pos").collect()
     assert [r.line for r in lines] == ["第一条", "付款。"]
+    assert [r.text for r in files.parsed_text(parts).orderBy("pos").collect()] == ["第一条", "☑付款。。", "货物\t价款", "合计\t合计\t1"]
+
+
+def test_docx_quirks(spark, tmp_path):
+    """Blanks count before cleaning, breaks of pages are no text, and a damaged table costs its own rest only."""
+    marks = '<w:p><w:r><w:t>甲</w:t><w:br w:type="page"/><w:t>乙</w:t><w:br/><w:t>丙</w:t><w:noBreakHyphen/><w:tab/><w:t>丁</w:t></w:r></w:p>'
+    good, bad = f"<w:tr>{cell('前')}</w:tr>", f"<w:tr>{cell('坏', '<w:gridSpan w:val=\"x\"/>')}</w:tr>"
+    body = paragraph(" 13 ") + paragraph("13") + marks + f"<w:tbl>{good}{bad}{good}</w:tbl><w:tbl>{good}</w:tbl>"
+    docx(tmp_path / "a.docx", body)
+    (tmp_path / "b.TXT").write_bytes("付款\r\n 验收".encode("gbk"))
+    (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    parts = files.decoded_files(files.list_files(spark, str(tmp_path), "*"))
+    named = {r.file.rsplit("/", 1)[1]: [] for r in parts.collect()}
+    for r in parts.orderBy("file", "pos").collect():
+        named[r.file.rsplit("/", 1)[1]].append((r.kind, r.text, r.error))
+    assert named["a.docx"] == [("paragraph", " 13 ", None), ("paragraph", "13", None), ("paragraph", "甲乙\n丙-\t丁", None), ("table", "前", None), ("table", "前", None)]
+    assert named["b.TXT"] == [("text", "付款\n 验收", None)] and named["c.pdf"] == [("error", None, "no decoder for .pdf")]
+    assert [r.error for r in files.failed_files(parts).collect()] == ["no decoder for .pdf"]
+    lines = [(r.file[-5:], r.pos, r.line) for r in files.file_lines(parts).orderBy("file", "pos").collect()]
+    assert lines == [(".docx", 0, "13"), (".docx", 2 << 32, "甲乙"), (".docx", (2 << 32) + 1, "丙- 丁"), ("b.TXT", 0, "付款"), ("b.TXT", 1, "验收")]
+
+
+def test_positions_over_several_lists(spark, tmp_path):
+    for name, value in (("a.txt", "u1\n\nu2\n"), ("b.txt", ""), ("c.txt", "u3\r\nu1"), ("d.txt", " \nu4\n")):
+        (tmp_path / name).write_bytes(value.encode())
+    got = files.read_url_list(spark, f"{tmp_path}/*.txt").orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [(1, "u1"), (2, "u2"), (3, "u3"), (4, "u1"), (5, "u4")]
 
 
 def test_txt_encodings(spark, tmp_path):
@@ -99,6 +127,50 @@ def test_sample_files(spark, tmp_path):
     assert samples.read_sources(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_large_csv_is_read_in_many_tasks(spark, tmp_path):
+    """Quoted texts of many lines; splits fall anywhere, also inside quotes."""
+    r = random.Random(4)
+    pieces = ["甲方", "\n", '"', ",", "乙方\r\n", " ", "付款", "\n\n", '""', "id,text\n"]
+    rows = [(i, "x" + "".join(r.choice(pieces) for _ in range(r.choice([1, 3, 60]))) + "x", str(i % 6), "bid", i / 7) for i in range(900)]
+    frame = spark.createDataFrame(rows, "id BIGINT, text STRING, label STRING, source STRING, confidence DOUBLE")
+    path = str(tmp_path / "d")
+    samples.write_dataset(frame.coalesce(2), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 10
+        for bits in (16, 4):
+            assert sorted(map(tuple, samples.read_large_dataset(spark, path, bits).collect())) == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_weak_labels_go_to_three_sinks(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "个人账户违约金"), (2, "验收标准"), (3, "无"), (4, None)], "id INT, text STRING")
+    labelled = weak_labels.weak_labels(texts)
+    assert weak_labels.write_weak_labels(labelled, str(tmp_path)) == {"accept": 1, "review": 1, "drop": 2}
+    assert sorted(p.name for p in tmp_path.glob("route=*")) == ["route=accept", "route=drop", "route=review"]
+    got = {(r.id, r.route, r.label, r.source) for r in weak_labels.read_weak_labels(labelled, str(tmp_path)).collect()}
+    assert got == {(1, "accept", 5, "weak"), (2, "review", 3, "weak"), (3, "drop", 0, "weak"), (4, "drop", 0, "weak")}
+
+
+def test_json_report_is_json(spark, tmp_path):
+    rows = [("a", 3, 1, '付款"x"'), ("a", 9, 0, "无"), ("a", 12, 5, "账户\n"), ("a", 20, 1, "付款"), ("b", 1, 0, "无"), ("b", 2, -1, "外")]
+    named = spark.createDataFrame(rows, "file STRING, clause_no BIGINT, risk_label_id INT, text STRING")
+    label = F.col("risk_label_id")
+    named = named.withColumns({"risk_type": scores.risk_type(label), "risk_level": scores.risk_level(label), "confidence": F.lit(0.5)})
+    lines = report.json_report_lines(named)
+    report.write_report(lines.filter("file = 'a'"), str(tmp_path / "a"))
+    parts = sorted((tmp_path / "a").glob("part-*"))
+    a = json.loads("".join(p.read_text(encoding="utf-8") for p in parts))
+    assert (a["file"], a["total"], a["rejected"], a["risks"]["count"], sorted(a["risks"])) == ("a", 4, 0, 3, ["12", "20", "3", "count"])
+    assert a["risks"]["3"] == {"text": '付款"x"', "risk_type": a["distribution"]["1"]["name"], "risk_level": "高风险", "confidence": 0.5, "explanation": None}
+    assert a["distribution"]["1"]["share"] == "50.0%" and a["warnings"]["count"] == 3 and a["advice"]["5"]["advice"] == report.ADVICE[5]
+    b = json.loads("".join(r.line for r in lines.filter("file = 'b'").orderBy("section", "place").collect()))
+    assert b["risks"] == {"count": 0} and b["total"] == 1 and b["rejected"] == 1
+
+
 def test_csv_round_trip(spark, tmp_path):
     rows = [(1, '带"引号",逗号\n换行', "1", "bid", 0.5), (2, "", None, "synthetic", 1.0)]
     frame = spark.createDataFrame(rows, "id BIGINT, text STRING, label STRING, source STRING, confidence DOUBLE")
