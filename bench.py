@@ -16,7 +16,7 @@ import time
 from pactlens.plans import catalog
 from pactlens.session import local_session
 
-TABLES = ["lineitem", "documents", "pages", "embeddings"]
+TABLES = ["lineitem", "documents", "pages", "embeddings", "benchmark"]
 HEADLINE = [
     "f1_label_counts",
     "f2_base_labels",
@@ -33,10 +33,15 @@ HEADLINE = [
     "h1_merge_statistics",
     "h9_report_averages",
     "h12_risk_summary",
+    "i2_knowledge",
     "i2_retrieval",
     "j1_vocabulary",
     "j1_tfidf",
     "j1_vectors",
+    "j2_forest",
+    "j3_cross_validation",
+    "j4_batch_scoring",
+    "j5_file_scoring",
     "j6_risk_report",
     "j7_stream_labels",
 ]
@@ -60,7 +65,7 @@ def main() -> None:
         queries[name](spark, laid_out).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     clauses = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
-    rates = {n: round(clauses / seconds[n]) for n in ("f1_label_counts", "c8_contract_gate", "j7_stream_labels") if n in seconds}
+    rates = {n: round(clauses / seconds[n]) for n in ("f1_label_counts", "c8_contract_gate", "j4_batch_scoring", "j7_stream_labels") if n in seconds}
     found = re.search(r"sf([\d.]+)$", sf_dir)
     print(json.dumps({
         "metric": "clause_risk_total_seconds",
