@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pactlens.llm.common import columns_of
 
 SCALE = 256
+MOST_SQUARES = 2.0**61  # of a scaled vector
 BLOCK_ROWS = 8192  # vectors in one data block, so in one tree
 QUERY_BLOCK_ROWS = 2048
 LEAF_ROWS = 48
@@ -138,12 +139,17 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``vec_id, v`` with integer components; vectors that are null, or hold a null or a number that is not finite, go."""
+    """``vec_id, v`` with integer components; vectors that are null, or hold a null or a number that is not finite, go.
+
+    A vector whose square sum reaches MOST_SQUARES fails the query with a message: below it no inner product leaves 64 bits.
+    """
     x = F.col("embedding").cast("array<double>")
     limits = [F.lit(float("inf")), F.lit(float("-inf")), F.lit(float("nan"))]
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (e != limits[0]) & (e != limits[1]))
     rows = columns_of(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(finite)
-    return rows.select("vec_id", F.transform(x, lambda e: F.floor(e * scale)).alias("v"))
+    squares = F.aggregate(x, F.lit(0.0), lambda n, e: n + (e * scale) * (e * scale))
+    fits = F.when(squares < MOST_SQUARES, x).otherwise(F.raise_error(F.lit("nearest: a vector is too long for 64-bit scores")).cast("array<double>"))
+    return rows.select("vec_id", F.transform(fits, lambda e: F.floor(e * scale)).alias("v"))
 
 
 def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -114,21 +114,26 @@ ORACLES = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
     "op10_chat": """
-        WITH t AS (
-            SELECT conv_id, row_number() OVER w AS n, coalesce(role, '') AS r, coalesce(text, '') AS x,
+        WITH i AS (
+            SELECT *, CASE WHEN conv_id IS NULL THEN 'row ' || row_number() OVER () ELSE 'conversation ' || conv_id END AS own FROM conversations),
+        t AS (
+            SELECT own, conv_id, row_number() OVER w AS n, coalesce(role, '') AS r, coalesce(text, '') AS x,
                    lower(trim(coalesce(role, 'user'))) AS shown_role
-            FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+            FROM i WINDOW w AS (PARTITION BY own ORDER BY turn, role, text)),
         h AS (
-            SELECT *, list(md5(r) || md5(x)) OVER (PARTITION BY conv_id ORDER BY n) AS so_far,
-                   count(*) OVER (PARTITION BY conv_id) AS total FROM t),
-        k AS (SELECT md5(array_to_string(so_far, '')) AS key, n, total, conv_id FROM h),
-        whole AS (SELECT key, n AS n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM k WHERE n = total GROUP BY key, n),
+            SELECT *, list(md5(r) || md5(x)) OVER (PARTITION BY own ORDER BY n) AS so_far,
+                   count(*) OVER (PARTITION BY own) AS total FROM t),
+        k AS (SELECT md5(array_to_string(so_far, '')) AS key, n, total, conv_id, own FROM h),
+        whole AS (
+            SELECT key, n AS n_turns, first(conv_id ORDER BY conv_id NULLS FIRST) AS conv_id, first(own ORDER BY conv_id NULLS FIRST, own) AS own,
+                   count(*) AS n_copies
+            FROM k WHERE n = total GROUP BY key, n),
         kept AS (SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.n < k.total AND k.n = whole.n_turns AND k.key = whole.key)),
-        e AS (SELECT conv_id, n, shown_role AS a, x AS b FROM t)
+        e AS (SELECT own, n, shown_role AS a, x AS b FROM t)
         SELECT kept.conv_id, n_turns, n_copies, string_agg(
             '<|im_start|>' || replace(replace(a, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || chr(10)
             || replace(replace(b, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY n) AS text
-        FROM kept JOIN e ON e.conv_id = kept.conv_id GROUP BY ALL
+        FROM kept JOIN e ON e.own = kept.own GROUP BY kept.own, kept.conv_id, n_turns, n_copies
     """,
     "op12_conversation_repair": """
         WITH RECURSIVE b AS (

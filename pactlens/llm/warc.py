@@ -19,6 +19,7 @@ MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 256 << 20  # an archive is closed once it is this long
 GAP_BYTES = 64 << 10  # ranges with less between them are read as one
 READ_BYTES = 16 << 20  # a coalesced range ends once it is this long
+TASK_BYTES = 64 << 20  # archive bytes that a reading task gets, about
 RECORDS_PER_BATCH = 128
 INDEX = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, archive string, offset long, length long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -141,8 +142,9 @@ def write_archives(plan: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
 def read_records(selected: DataFrame, folder: str, gap: int = GAP_BYTES, most: int = READ_BYTES, with_payload: bool = True) -> DataFrame:
     """The records of the index rows ``selected``, in :data:`RECORD` form.
 
-    The ranges are sorted by (archive, offset) across the tasks; each task joins neighbouring ranges to reads of at most
-    about ``most`` bytes, and holds one read at a time.
+    The ranges are sorted by (archive, offset) across the tasks, of which there are as many as the selected records have
+    TASK_BYTES, or as there are cores: the index rows are small, what they stand for is not.  Each task joins neighbouring
+    ranges to reads of at most about ``most`` bytes, and holds one read at a time.
     """
     schema = pa.schema([
         ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()),
@@ -177,7 +179,9 @@ def read_records(selected: DataFrame, folder: str, gap: int = GAP_BYTES, most: i
             yield from fetch(archive, ranges)
 
     rows = columns_of(selected, "archive", "offset", "length")
-    return rows.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(read, RECORD)
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // TASK_BYTES), selected.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(read, RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -430,6 +430,14 @@ def test_dual_search_against_brute_force(seed):
         assert found == want
 
 
+def test_top_k_refuses_vectors_beyond_64_bits(spark):
+    far = spark.createDataFrame([(0, [1e8, 0.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="too long for 64-bit scores"):
+        covertree.nearest(far).collect()
+    near = spark.createDataFrame([(0, [1e6, 0.0]), (1, [1e6, 2.0])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r.score) for r in covertree.nearest(near).collect()] == [(0, (256 * 10**6) ** 2)]
+
+
 def test_top_k_defined_cases(spark, monkeypatch):
     monkeypatch.setattr(covertree, "BLOCK_ROWS", 7)
     monkeypatch.setattr(covertree, "QUERY_BLOCK_ROWS", 3)
