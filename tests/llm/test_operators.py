@@ -79,6 +79,20 @@ def test_pieces_equal_the_library(docs):
         assert pieces.encode_texts([text], pieces.pieces(), {})[0].tolist() == library.encode(text)
 
 
+def test_long_runs_equal_the_library_and_the_batched_walk():
+    import sentencepiece
+
+    library, model, r = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.pieces(), random.Random(9)
+    runs = ["".join(r.choice(["the", "ing", "é", "漢", "x", "aa", "Ünter", "😀", "0", "http://"]) for _ in range(n)) for n in (60, 150, 4000)]
+    for run in [*runs, "a" * 3000, "ab" * 900]:
+        assert pieces.encode_texts([run], model, {})[0].tolist() == library.encode(run)
+        points = np.frombuffer((pieces.SPACE + run[:700]).encode("utf-32-le"), dtype=np.uint32)
+        for merges in (True, False):
+            model.merges = merges
+            assert pieces.viterbi_run(points, model) == pieces.viterbi(points[None], model)[0]
+        model.merges = True
+
+
 def test_viterbi_finds_the_highest_score():
     model = pieces.Pieces()
     model.merges = False
@@ -296,7 +310,7 @@ def test_rare_shingles_leave_no_pair_out(spark):
     close = {(a, b) for a in text for b in text if a < b and text[a][1] != text[b][1] and alike(text[a][0], text[b][0]) >= lines.SIMILARITY}
     found = {(x.a, x.b) for x in lines.pairs_by_rare_shingles(lines.rare_shingles(members)).collect()}
     assert close and close <= found and all(text[a][1] != text[b][1] for a, b in found) and len(found) < len(text) * (len(text) - 1) / 4
-    kept = {(x.a, x.b) for x in lines.compared(spark.createDataFrame(list(found), "a long, b long"), members.select("h1", "norm")).collect()}
+    kept = {(x.a, x.b) for x in lines.compared(spark.createDataFrame(list(found), "a long, b long"), members.select("h1", "norm", F.col("n_shingles").alias("n"))).collect()}
     assert kept == close
 
 
