@@ -20,6 +20,7 @@ UNKNOWN_PENALTY = 10.0  # a code point without piece scores this below the lowes
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so that every step of the hash can be undone
 CACHED_WORDS = 500_000  # a worker's cache of segmented words is emptied beyond this
 PAIR_SLOTS_LOG2 = 21  # slots of a worker's cache of verdicts on pairs, 19 MB
+LONG_WORD = 128  # runs without a blank that are longer advance by position, as few have their length
 CHARS_AT_ONCE = 1 << 22  # texts are taken together up to this many characters, so that words come in large batches
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -61,6 +62,7 @@ class Pieces:
         self.score_of = {self.texts[i]: model.get_score(i) for i in usable}
         self.pair_keys = np.full(1 << PAIR_SLOTS_LOG2, -1, dtype=np.int64)
         self.pair_verdicts = np.zeros(1 << PAIR_SLOTS_LOG2, dtype=bool)
+        self.single_verdicts: dict[tuple[int, int], bool] = {}
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are keys, and their places; a bit table by the upper bits spares most searches."""
@@ -91,6 +93,16 @@ class Pieces:
             self.pair_verdicts[slots[new][first]] = found
         return verdicts
 
+    def stable_pair(self, before: int, token: int) -> bool:
+        """:meth:`stable` of one pair."""
+        verdict = self.single_verdicts.get((before, token))
+        if verdict is None:
+            left, right = self._text_of(before), self._text_of(token)
+            if len(self.single_verdicts) >= CACHED_WORDS:
+                self.single_verdicts.clear()
+            verdict = self.single_verdicts[before, token] = _merged(left + right, self.score_of) == [t for t in (left, right) if t]
+        return verdict
+
 
 def _merged(text: str, score_of: dict[str, float]) -> list[str]:
     """What a merging model leaves of a short text: the best-scored neighbours merge, of equals the leftmost first."""
@@ -124,7 +136,7 @@ def pieces(path: str = MODEL) -> Pieces:
 def viterbi(points: np.ndarray, model: Pieces) -> list[list[int]]:
     """The segmentation of each row of ``points``: words of one length, one code point per column.
 
-    All words advance a column at a time.  At column ``end`` the substrings that end there are taken start by start, their
+    All words advance a column at a time (long ones go through :func:`viterbi_run`).  At column ``end`` the substrings that end there are taken start by start, their
     hashes (differences of prefix hashes) are probed in the sorted piece keys, and a running maximum keeps the best
     score and the start it came from.  A hash that hits is compared with the piece's code points.  Of equal scores the
     longer last piece wins.
@@ -162,20 +174,53 @@ def viterbi(points: np.ndarray, model: Pieces) -> list[list[int]]:
                     good = model.stable(token[start, words], tokens)
                     words, tokens, score = words[good], tokens[good], score[good]
                 best[end, words], came[end, words], token[end, words] = score, start, tokens
-    out: list[list[int]] = []
-    for row in range(n):
-        ids, end = [], length
-        while end:
-            start = int(came[end, row])
-            if token[end, row] < len(model.texts):
-                ids.append(int(token[end, row]))
-            elif (model.byte_ids >= 0).all():
-                ids.extend(reversed(model.byte_ids[list(chr(points[row, start]).encode())].tolist()))
-            elif not ids or ids[-1] != model.unknown:
-                ids.append(model.unknown)
-            end = start
-        out.append(ids[::-1])
-    return out
+    return [_path(came[:, row], token[:, row], points[row], model) for row in range(n)]
+
+
+def viterbi_run(points: np.ndarray, model: Pieces) -> list[int]:
+    """:func:`viterbi` of one long word: the substrings of one length are probed at all places together, and only those that
+    are pieces take part in the walk from place to place."""
+    length = len(points)
+    prefix = np.zeros(length + 1, dtype=np.uint64)
+    total, factor, mask = 0, int(MULTIPLIER), (1 << 64) - 1
+    for j, point in enumerate(points.tolist()):
+        total = (total + point + 1) * factor & mask
+        prefix[j + 1] = total
+    starts, ends, tokens, scores = [], [], [], []
+    for width in range(1, min(model.longest, length) + 1):
+        hit, at = model.find(prefix[width:] - prefix[:-width] * np.uint64(pow(factor, width, 1 << 64)))
+        same = (model.lengths[at] == width) & (model.code_points[at, :width] == points[hit[:, None] + np.arange(width)]).all(axis=1)
+        hit, at = hit[same], at[same]
+        found = [(hit, model.ids[at], model.scores[at])]
+        if width == 1:
+            alone = np.setdiff1d(np.arange(length), hit, assume_unique=True)
+            found.append((alone, len(model.texts) + points[alone].astype(np.int32), np.full(len(alone), model.unknown_score)))
+        for start, token, score in found:
+            starts.append(start), ends.append(start + width), tokens.append(token), scores.append(score)
+    start, end, token, score = map(np.concatenate, (starts, ends, tokens, scores))
+    order = np.lexsort((start, end))
+    best, came, last = [-np.inf] * (length + 1), np.zeros(length + 1, dtype=np.int64), [-1] * (length + 1)
+    best[0] = 0.0
+    for s, e, t, own in zip(*(x[order].tolist() for x in (start, end, token, score)), strict=True):
+        reached = best[s] + own
+        if reached > best[e] and (not model.merges or model.stable_pair(last[s], t)):
+            best[e], came[e], last[e] = reached, s, t
+    return _path(came, last, points, model)
+
+
+def _path(came, token, points, model: Pieces) -> list[int]:
+    """The ids of one word, walked back from its end; code points without piece become byte pieces."""
+    ids, end = [], len(points)
+    while end:
+        start = int(came[end])
+        if token[end] < len(model.texts):
+            ids.append(int(token[end]))
+        elif (model.byte_ids >= 0).all():
+            ids.extend(reversed(model.byte_ids[list(chr(points[start]).encode())].tolist()))
+        elif not ids or ids[-1] != model.unknown:
+            ids.append(model.unknown)
+        end = start
+    return ids[::-1]
 
 
 def encode_words(words: list[str], model: Pieces) -> dict[str, bytes]:
@@ -185,6 +230,10 @@ def encode_words(words: list[str], model: Pieces) -> dict[str, bytes]:
         by_length.setdefault(len(word), []).append(word)
     found = {}
     for length, group in by_length.items():
+        if length > LONG_WORD:
+            for word in group:
+                found[word] = np.array(viterbi_run(np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32), model), dtype=np.int32).tobytes()
+            continue
         most = max(1, (1 << 20) // (length + 1))  # rows, so that the tables of a batch stay at some tens of MB
         for i in range(0, len(group), most):
             part = group[i : i + most]
