@@ -86,9 +86,9 @@ def sparse_vectors(df: DataFrame, vocabulary: DataFrame, terms: str = "terms") -
 def transform_long(df: DataFrame, vocabulary: DataFrame, key: str, terms: str = "terms") -> DataFrame:
     """``key, term, tf, tfidf`` with rows of unit length: a narrow transform; the driver holds the vocabulary's terms only."""
     rows = _by_place(vocabulary).collect()
-    names = F.array(*[F.lit(r.term) for r in rows]) if rows else F.array().cast("array<string>")
-    entries = sparse_vectors(df, vocabulary, terms).select(key, F.inline("entries"))
-    return entries.select(key, F.get(names, F.col("place")).alias("term"), F.col("tf").cast("bigint").alias("tf"), F.col("value").alias("tfidf"))
+    names = df.sparkSession.createDataFrame([(place, r.term) for place, r in enumerate(rows)], "place INT, term STRING")
+    entries = sparse_vectors(df, vocabulary, terms).select(key, F.inline("entries")).join(F.broadcast(names), "place")
+    return entries.select(key, "term", F.col("tf").cast("bigint").alias("tf"), F.col("value").alias("tfidf"))
 
 
 def _by_place(vocabulary: DataFrame) -> DataFrame:
