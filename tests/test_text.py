@@ -279,3 +279,31 @@ def test_joined_texts_are_written_in_order(spark, tmp_path):
     documents.write_joined(documents.join_lines(table), str(tmp_path / "joined"), "pos", separator=" ")
     files = sorted((tmp_path / "joined").glob("part-*"))
     assert "".join(f.read_text() for f in files) == "".join(f"第{i}行 " for i in range(500))
+
+
+def test_repeats_and_line_breaks_are_told_before_the_long_classes(spark):
+    """The patterns of the cleaning chain turn most characters down at once, and clean as before."""
+    assert text._REPEATED.startswith("(?s)(.)\\1") and all(p.startswith("(?!") for p in (text._NOISE, text._LINE_BREAK))
+    raw = ["a。。b!!c))", "x  \n 　\ny", "☑甲\uf0b7乙☒", "  第 3 页 共 9 页\n- 2 -\n12\n1a", "😀😀aa　　b", None]
+    cleaned = ["a。b!!c)", "x\ny", "甲乙", "1a", "😀😀aa　b", ""]
+    assert one(spark, raw, text.clean_text) == cleaned
+
+
+def test_keyword_classes_are_short():
+    """A character is compared with few others: the first-character class comes in ranges of six."""
+    pattern = text.keyword_pattern([w for words in vocab.STRICT_POSITIVE.values() for w in words])
+    head = pattern[4 : pattern.index("])")]
+    assert head.count("&&") > 5 and all(len(part.split("]")[0]) <= 6 for part in head.split("&&[")[1:])
+
+
+def test_keywords_at_the_ends_of_their_ranges(spark):
+    words = [chr(c) + "x" for c in range(0x4E00, 0x4E00 + 40, 3)]
+    texts = [chr(c) + "x" for c in range(0x4E00 - 2, 0x4E00 + 44)]
+    assert one(spark, texts, lambda c: text.contains_any(c, words)) == [t in words for t in texts]
+
+
+def test_pairs_need_no_lambda(spark):
+    df = spark.createDataFrame([("a bc de fg",), ("bc",), ("",), (None,)], "t STRING")
+    pairs = df.select(tokens.pairs_after(tokens.long_tokens(F.col("t"))).alias("p"))
+    assert "lambda" not in pairs._jdf.queryExecution().analyzed().toString()
+    assert [r.p for r in pairs.collect()] == [["bc", "de", "fg", "bc de", "de fg"], ["bc"], [], None]
