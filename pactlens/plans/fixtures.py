@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -45,19 +46,22 @@ def _content(kind: str, lines: list[str]) -> bytes:
 
 
 def write_contract_files(spark: SparkSession, sf_dir: str) -> str:
-    """The folder with one file per supplier, of the kinds of ``files_src``."""
+    """The folder with one file per supplier, of the kinds of ``files_src``.
+
+    Lines come sorted by file, so a task holds the lines of one file and a batch, however many files it writes.
+    """
     folder = scratch_path(spark, "contracts")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        for batch in batches:
-            for name, kind, lines in zip(batch["name"], batch["kind"], batch["lines"]):
-                with system.open_output_stream(f"{root}/{name}") as out:
-                    out.write(_content(kind, list(lines)))
-            yield batch[["name"]]
-
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    texts: DataFrame = view(spark, sf_dir, "files_src").groupBy("name", "kind").agg(F.transform(ordered, lambda p: p["line"]).alias("lines"))
-    texts.mapInPandas(write, "name STRING").write.format("noop").mode("overwrite").save()
+        rows = (row for batch in batches for row in zip(batch["name"], batch["kind"], batch["line"]))
+        for (name, kind), of_file in groupby(rows, key=lambda row: row[:2]):
+            with system.open_output_stream(f"{root}/{name}") as out:
+                out.write(_content(kind, [line for _, _, line in of_file]))
+            yield pd.DataFrame({"name": [name]})
+
+    lines: DataFrame = view(spark, sf_dir, "files_src").repartition("name", "kind")
+    order = [F.asc_nulls_last(c) for c in ("name", "kind", "pos", "line")]
+    lines.sortWithinPartitions(*order).select("name", "kind", "line").mapInPandas(write, "name STRING").write.format("noop").mode("overwrite").save()
     return folder
