@@ -226,10 +226,7 @@ def a1_url_list(spark, sf_dir):
 def a6_txt_files(spark, sf_dir):
     path = scratch_path(spark, "txt")
     table(spark, sf_dir, "documents").select("text").write.text(path)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    decoded = found.select(files.decode_txt(F.col("content")).alias("d"))
-    lines = decoded.select("d.encoding", F.split("d.text", "\n").alias("lines"))
-    return lines.select("encoding", F.explode(F.slice("lines", 1, F.size("lines") - 1)).alias("line"))
+    return files.text_lines(spark, path).select("encoding", "line")
 
 
 @register(

@@ -17,7 +17,9 @@ from pyspark.sql.window import Window
 
 from pactlens import schemas, vocab
 from pactlens.functions import text
+from pactlens.operators.frames import stored
 
+ENCODINGS = ("utf-8", "gbk")  # of TXT files, in this order
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -164,18 +166,44 @@ def docx_lines(parts: DataFrame) -> DataFrame:
     return file_lines(parts)
 
 
-def decode_txt(content: Column) -> Column:
-    """``STRUCT<text, encoding, error>``: utf-8 first, then gbk (of which gb2312 is a part)."""
-    return F.pandas_udf(_decode, schemas.DECODED)(content)
+def decode_txt(content: Column, encodings: tuple[str, ...] = ENCODINGS) -> Column:
+    """``STRUCT<text, encoding, error>`` by the first of the encodings that fits: utf-8 first, then gbk (of which gb2312 is a part)."""
 
+    def decode(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_decode_text(bytes(c), encodings) for c in contents], columns=["text", "encoding", "error"])
 
-def _decode(contents: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_decode_text(bytes(c)) for c in contents], columns=["text", "encoding", "error"])
+    return F.pandas_udf(decode, schemas.DECODED)(content)
 
 
-def _decode_text(data: bytes) -> tuple:
+def text_lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+    """``file, encoding, line`` of TXT files of any size, read at any split; files in no known encoding give no rows.
+
+    A line ends at a newline, a carriage return or both, in either encoding at bytes that are part of no other character.  So a
+    file is utf-8 when all its lines are, and each is decoded by itself.  Spark's reader drops a byte-order mark, which is
+    a character of the text here; a file that has one is longer than its lines.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    raw = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), at.alias("at"), F.col("value").cast("binary").alias("raw"))
+    valid, length = F.is_valid_utf8(F.col("raw").cast("string")), F.octet_length("raw") + 1
+    found = raw.groupBy("file").agg(F.min(valid).alias("utf8"), (F.sum(length) < F.max("size")).alias("marked"), F.min("at").alias("first"))
+    special = stored(found.filter(~F.col("utf8") | F.col("marked")), "text-files")
+    marked = F.coalesce(F.col("marked") & (F.col("at") == F.col("first")), F.lit(False))
+    known = raw.join(special, "file", "left").withColumn("raw", F.when(marked, F.concat(F.lit(b"\xef\xbb\xbf"), "raw")).otherwise(F.col("raw")))
+    plain = known.filter(F.coalesce("utf8", F.lit(True))).select("file", F.lit(ENCODINGS[0]).alias("encoding"), F.regexp_replace(F.col("raw").cast("string"), "\r\\z", "").alias("text"))
+    if not special.filter(~F.col("utf8")).isEmpty():
+        cut = F.expr("CASE WHEN endswith(raw, X'0D') THEN substring(raw, 1, octet_length(raw) - 1) ELSE raw END")
+        other = known.filter(~F.coalesce("utf8", F.lit(True))).select("file", decode_txt(cut, ENCODINGS[1:]).alias("d"))
+        other = stored(other.select("file", "d.*"), "text-lines")
+        failed = other.filter(F.col("error").isNotNull()).select("file").distinct()
+        rest = other.join(failed, "file", "left_anti").select("file", "encoding", F.translate("text", "\n", "\r").alias("text"))
+        plain = plain.unionByName(rest)
+    return plain.select("file", "encoding", F.explode(F.split("text", "\r")).alias("line"))
+
+
+def _decode_text(data: bytes, encodings: tuple[str, ...] = ENCODINGS) -> tuple:
     """``text, encoding, error``."""
-    for encoding in ("utf-8", "gbk"):
+    for encoding in encodings:
         try:
             value = data.decode(encoding)
         except UnicodeDecodeError:

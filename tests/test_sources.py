@@ -342,3 +342,43 @@ def test_jobs_from_contract_folder_to_report(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "report" / "text")).filter("value like '# a.pdf%'").count() == 1
     jobs.parse_pages(pages, str(tmp_path / "parsed"))
     assert spark.read.schema("text STRING, label STRING").json(str(tmp_path / "parsed")).count() == 1
+
+
+def test_text_files_are_read_by_lines(spark, tmp_path):
+    """Lines of files in either encoding, none of them read as one value."""
+    texts = {
+        "a.txt": "甲方\r\n乙\r方\n\n付款\n".encode(),
+        "b.txt": "甲方付款\r\n\r\r\n验收".encode("gbk"),
+        "c.txt": "\ufeff甲\n乙".encode(),
+        "d.txt": b"ok\n\xff\xff\xff\n",
+        "e.txt": b"\n",
+        "f.txt": b"",
+        "g.txt": b"\xef\xbb\xbf" + "甲乙\n".encode() + "丙丁戊\n".encode("gbk"),
+    }
+    for name, content in texts.items():
+        (tmp_path / name).write_bytes(content)
+    found = files.text_lines(spark, str(tmp_path))
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    expected = []
+    for name, content in texts.items():
+        text, encoding, error = files._decode_text(content)
+        if not error:
+            expected += [(name, encoding, line) for line in (text.removesuffix("\n").split("\n") if text else [])]
+    assert sorted((r.file.rsplit("/", 1)[-1], r.encoding, r.line) for r in found.collect()) == sorted(expected)
+
+
+def test_contract_files_are_written_from_sorted_lines(spark, tiny, monkeypatch):
+    """No row holds the lines of a file, so a batch for Python is as small as its lines."""
+    DataFrame = type(spark.range(1))
+    from pactlens.plans import fixtures
+
+    view = fixtures.view
+    seen = []
+    monkeypatch.setattr(fixtures, "view", lambda *a: seen.append(view(*a)) or seen[0])
+    plans = []
+    inner = DataFrame.mapInPandas
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda df, *a, **k: plans.append(df.schema.simpleString()) or inner(df, *a, **k))
+    folder = fixtures.write_contract_files(spark, tiny)
+    assert plans == ["struct<name:string,kind:string,line:string>"]
+    names = {r.name for r in seen[0].select("name").distinct().collect()}
+    assert {p.rsplit("/", 1)[-1] for p in map(str, Path(folder.removeprefix("file:")).iterdir())} == names
