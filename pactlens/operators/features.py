@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pactlens import vocab
@@ -77,17 +77,24 @@ def sparse_vectors(df: DataFrame, vocabulary: DataFrame, terms: str = "terms") -
     ``value`` is the TF-IDF weight in a vector of unit length.  The vector stages count inside the row, so no token is
     shuffled; their sparse form is opened as it is.
     """
+    return _with_entries(df, _by_place(vocabulary).collect(), terms)
+
+
+def _with_entries(df: DataFrame, rows: list[Row], terms: str) -> DataFrame:
     counts, features = (F.unwrap_udt(c) for c in ("_counts", "_features"))
     entries = F.arrays_zip(counts["indices"].alias("place"), counts["values"].alias("tf"), features["values"].alias("value"))
     known = df.withColumn("_terms", F.coalesce(terms, F.array().cast("array<string>")))  # the stages take no null
-    return vectorizer(vocabulary, "_terms", "_features").transform(known).select(*df.columns, entries.alias("entries"))
+    return _stages(rows, "_terms", "_features").transform(known).select(*df.columns, entries.alias("entries"))
 
 
 def transform_long(df: DataFrame, vocabulary: DataFrame, key: str, terms: str = "terms") -> DataFrame:
-    """``key, term, tf, tfidf`` with rows of unit length: a narrow transform; the driver holds the vocabulary's terms only."""
+    """``key, term, tf, tfidf`` with rows of unit length: a narrow transform; the driver holds the vocabulary's terms only.
+
+    The vocabulary is collected once, as it may be a count over the whole corpus that is not stored.
+    """
     rows = _by_place(vocabulary).collect()
     names = df.sparkSession.createDataFrame([(place, r.term) for place, r in enumerate(rows)], "place INT, term STRING")
-    entries = sparse_vectors(df, vocabulary, terms).select(key, F.inline("entries")).join(F.broadcast(names), "place")
+    entries = _with_entries(df, rows, terms).select(key, F.inline("entries")).join(F.broadcast(names), "place")
     return entries.select(key, "term", F.col("tf").cast("bigint").alias("tf"), F.col("value").alias("tfidf"))
 
 
@@ -97,7 +104,10 @@ def _by_place(vocabulary: DataFrame) -> DataFrame:
 
 def vectorizer(vocabulary: DataFrame, terms: str = "terms", output: str = "features") -> PipelineModel:
     """Terms to unit-length TF-IDF vectors, a narrow transform.  The driver holds the ``max_features`` terms only."""
-    rows = _by_place(vocabulary).collect()
+    return _stages(_by_place(vocabulary).collect(), terms, output)
+
+
+def _stages(rows: list[Row], terms: str, output: str) -> PipelineModel:
     counts = CountVectorizerModel.from_vocabulary([r.term for r in rows], inputCol=terms, outputCol="_counts")
     scaled = ElementwiseProduct(
         scalingVec=Vectors.dense([r.idf for r in rows]), inputCol="_counts", outputCol="_scaled"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactlens import vocab
 from pactlens.functions import rules, text, tokens
-from pactlens.operators import documents
+from pactlens.operators import documents, features
 
 CLEANED = [
     ("☑甲方____应付款。。\n第 1 页 共 3 页\n12\n 13 \n日期2024-05-01\n\n金额XX元", "甲方应付款。\n13\n日期202401\n金额元"),
@@ -307,3 +307,13 @@ def test_pairs_need_no_lambda(spark):
     pairs = df.select(tokens.pairs_after(tokens.long_tokens(F.col("t"))).alias("p"))
     assert "lambda" not in pairs._jdf.queryExecution().analyzed().toString()
     assert [r.p for r in pairs.collect()] == [["bc", "de", "fg", "bc de", "de fg"], ["bc"], [], None]
+
+
+def test_long_form_collects_the_vocabulary_once(spark, monkeypatch):
+    """An unstored vocabulary is a pass over the corpus, so it is asked for a single time."""
+    df = features.with_terms(spark.createDataFrame([(1, "ab cd ab"), (2, "cd ef"), (3, None)], "k INT, text STRING"))
+    calls, inner = [], features._by_place
+    monkeypatch.setattr(features, "_by_place", lambda v: calls.append(v) or inner(v))
+    found = features.transform_long(df, features.fit_vocabulary(df, max_df=1.0), "k").collect()
+    assert len(calls) == 1
+    assert sorted((r.k, r.term, r.tf) for r in found) == [(1, "ab", 2), (1, "ab cd", 1), (1, "cd", 1), (1, "cd ab", 1), (2, "cd", 1), (2, "cd ef", 1), (2, "ef", 1)]
