@@ -10,3 +10,5 @@ SAMPLES = "text STRING, label STRING, confidence DOUBLE, source STRING"
 DATASET = "id BIGINT, text STRING, label STRING, source STRING, confidence DOUBLE"
 TEXT_PARTS = "file STRING, pos INT, kind STRING, text STRING, error STRING"
 DECODED = "text STRING, encoding STRING, error STRING"
+CSV_RECORDS = "line STRING, header BOOLEAN"
+CSV_EDGES = f"{CSV_RECORDS}, file STRING, block BIGINT, nth BIGINT, opens BOOLEAN"

@@ -146,6 +146,23 @@ def test_large_csv_is_read_in_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_large_csv_is_not_shuffled(spark, tmp_path):
+    """Only what lies across two splits goes through an exchange, not the records inside one."""
+    rows = [(i, f"{'x' * 300}\n{i}", "1", "bid", 0.5) for i in range(3000)]
+    samples.write_dataset(spark.createDataFrame(rows, "id BIGINT, text STRING, label STRING, source STRING, confidence DOUBLE").coalesce(1), str(tmp_path / "d"))
+    found = samples.read_large_dataset(spark, str(tmp_path / "d"))
+    assert sorted(map(tuple, found.collect())) == rows
+
+    def heaviest(node) -> int:
+        shuffles = [node.metrics().get("dataSize").get().value()] if node.nodeName() == "Exchange" else []
+        below = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+        return max([*shuffles, *map(heaviest, below)], default=0)
+
+    plan = found._jdf.queryExecution().executedPlan()
+    found._jdf.collectToPython()
+    assert 0 < heaviest(plan) < 100_000  # of 900,000 characters
+
+
 def test_weak_labels_go_to_three_sinks(spark, tmp_path):
     texts = spark.createDataFrame([(1, "个人账户违约金"), (2, "验收标准"), (3, "无"), (4, None)], "id INT, text STRING")
     labelled = weak_labels.weak_labels(texts)
