@@ -8,9 +8,13 @@ first threshold comes from the chunks that hold the query's peaks, and only bloc
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from pactlens import vocab
@@ -23,6 +27,7 @@ BLOCK_BITS = 10  # a block has 1,024 neighbouring chunks at most
 PIECE_BITS = 24  # of a chunk id: the number of the piece in its document
 SLACK = 1e-9  # sums of products differ by their order; scores are compared and returned in steps of this size
 DIGITS = 9
+QUERIES_AT_ONCE = 4096  # about so many queries meet a block in one group
 
 
 @dataclass(frozen=True)
@@ -49,7 +54,8 @@ def build_index(chunks: DataFrame, max_features: int = vocab.MAX_FEATURES, max_d
     vocabulary = stored(fit_vocabulary(terms, max_features=max_features, max_df=max_df), "knowledge-terms")
     vectors = sparse_vectors(terms, vocabulary).select("chunk_id", "entries")
     placed = in_segments(vectors.filter(F.size("entries") > 0), "chunk_id", segment_bits=block_bits)
-    entries = placed.select("chunk_id", F.col("segment").alias("block"), F.inline("entries"))
+    block = F.min("segment").over(Window.partitionBy("chunk_id"))  # equal ids stay in one block
+    entries = placed.withColumn("block", block).select("chunk_id", "block", F.inline("entries"))
     postings = stored(entries.select("place", "block", "chunk_id", F.col("value").alias("weight")), "knowledge-postings")
     top = F.max_by(F.struct("weight", "chunk_id"), F.struct("weight", -F.col("chunk_id")))
     peaks = postings.groupBy("place", "block").agg(top.alias("top")).select("place", "block", F.col("top.weight").alias("peak"), F.col("top.chunk_id").alias("best"))
@@ -69,6 +75,42 @@ def _scores(asked: DataFrame, index: Index, where: DataFrame, on: list[str]) ->
     return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("asked") * F.col("weight")), DIGITS).alias("score"))
 
 
+def _block_scores(asked: DataFrame, index: Index, blocks: DataFrame, k: int) -> DataFrame:
+    """``query_id, chunk_id, score``: the k best chunks of each query in each of its ``blocks``.
+
+    A block's postings meet all queries that look at it in one group, so of the chunks scored there only k a query leave
+    it.  A block that many queries look at makes a group for every ``QUERIES_AT_ONCE`` of them.
+    """
+    parts = -(-asked.select("query_id").distinct().count() // QUERIES_AT_ONCE) or 1
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")
+    wanted = blocks.join(asked, "query_id").select("block", part, "query_id", "place", "weight")
+    postings = index.postings.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    postings = postings.select(F.col("block").alias("of_block"), F.col("part").cast("bigint").alias("of_part"), "place", "chunk_id", "weight")
+    schema = StructType([asked.schema["query_id"], postings.schema["chunk_id"], StructField("score", DoubleType())])
+    return wanted.groupBy("block", "part").cogroup(postings.groupBy("of_block", "of_part")).applyInArrow(partial(_scored_block, k=k), schema)
+
+
+def _scored_block(wanted: pa.Table, postings: pa.Table, k: int) -> pa.Table:
+    """The k best chunks of one block for each query of ``wanted``; a chunk is met when it shares a term."""
+    chunks, local = np.unique(postings["chunk_id"].to_numpy(), return_inverse=True)
+    by_place, by_query = np.argsort(postings["place"].to_numpy(), kind="stable"), np.argsort(wanted["query_id"].to_numpy(), kind="stable")
+    places, local, weights = postings["place"].to_numpy()[by_place], local[by_place], postings["weight"].to_numpy()[by_place]
+    ids, asked, own = (wanted[c].to_numpy()[by_query] for c in ("query_id", "place", "weight"))
+    low, high = np.searchsorted(places, asked, "left"), np.searchsorted(places, asked, "right")
+    starts = [0, *np.flatnonzero(ids[1:] != ids[:-1]) + 1] if len(ids) else []
+    found = []
+    for begin, end in zip(starts, [*starts[1:], len(ids)]):
+        sizes = high[begin:end] - low[begin:end]
+        at = np.repeat(low[begin:end] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        total = np.bincount(local[at], np.repeat(own[begin:end], sizes) * weights[at], len(chunks))
+        met = np.flatnonzero(np.bincount(local[at], minlength=len(chunks)))
+        total = np.round(total[met], DIGITS)
+        best = np.lexsort((met, -total))[:k]  # of equal scores the smaller chunk id
+        found.append((np.full(len(best), ids[begin]), chunks[met[best]], total[best]))
+    columns = map(np.concatenate, zip(*found)) if found else (ids[:0], chunks[:0], weights[:0])
+    return pa.table(list(map(pa.array, columns)), names=["query_id", "chunk_id", "score"])
+
+
 def _best(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -111,6 +153,6 @@ def retrieve(index: Index, queries: DataFrame, k: int = vocab.TOP_K) -> DataFram
     asked = stored(query_terms(index, queries), "knowledge-queries")
     least = stored(thresholds(asked, index, k), "knowledge-thresholds")
     blocks = surviving_blocks(asked, index, least)
-    scored = _scores(asked, index, blocks, ["block"]).join(least, "query_id", "left")
+    scored = _block_scores(asked, index, blocks, k).join(least, "query_id", "left")
     reaching = scored.filter(F.col("score") >= F.coalesce("least", F.lit(0.0)) - SLACK)
     return _best(reaching, k).select("query_id", "rank", "chunk_id", "score")

@@ -167,6 +167,27 @@ def knowledge_rows():
     return docs, [*asked, (100, "nothing known"), (101, None), (102, "unique words"), (103, "common")]
 
 
+def test_few_chunks_leave_a_block(spark):
+    """Of the chunks of a block that share a term with a query only the k best go on, repeated ids count as one chunk."""
+    texts = [(n // 3 if n < 9 else n, f"付款 验收 {'发票 ' * (n % 5)}合同{n % 7}") for n in range(70)]
+    index = knowledge.build_index(spark.createDataFrame(texts, "chunk_id BIGINT, text STRING"), max_df=1.0, block_bits=2)
+    assert index.postings.groupBy("chunk_id").agg(F.countDistinct("block").alias("n")).filter("n > 1").isEmpty()
+    asked = knowledge.query_terms(index, spark.createDataFrame([(i, f"付款 发票 合同{i}") for i in range(6)], "query_id BIGINT, text STRING"))
+    pairs = asked.select("query_id").distinct().crossJoin(index.postings.select("block").distinct())
+    met = asked.withColumnRenamed("weight", "own").join(index.postings, "place").groupBy("query_id", "block", "chunk_id").agg(F.round(F.sum(F.col("own") * F.col("weight")), 9).alias("score")).collect()
+    expected = set()
+    for pair in {(r.query_id, r.block) for r in met}:
+        own = sorted((-r.score, r.chunk_id) for r in met if (r.query_id, r.block) == pair)[:2]
+        expected |= {(pair[0], chunk, -score) for score, chunk in own}
+    for at_once in (4096, 2):
+        knowledge.QUERIES_AT_ONCE, before = at_once, knowledge.QUERIES_AT_ONCE
+        try:
+            got = knowledge._block_scores(asked, index, pairs, 2).collect()
+        finally:
+            knowledge.QUERIES_AT_ONCE = before
+        assert len(got) == len(expected) < len(met) and set(map(tuple, got)) == expected
+
+
 @pytest.mark.parametrize("block_bits, k", [(10, 3), (3, 3), (0, 1), (4, 50)])
 def test_knowledge_retrieval_equals_brute_force(spark, block_bits, k):
     docs, asked = knowledge_rows()
