@@ -18,7 +18,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # a code point without piece scores this below the lowest score, then turns into byte pieces
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so that every step of the hash can be undone
-CACHED_WORDS = 500_000  # a worker's cache of segmented words is emptied beyond this
+CACHED_WORDS = 300_000  # a worker's cache of segmented words is emptied before it outgrows this
 PAIR_SLOTS_LOG2 = 21  # slots of a worker's cache of verdicts on pairs, 19 MB
 LONG_WORD = 128  # runs without a blank that are longer advance by position, as few have their length
 CHARS_AT_ONCE = 1 << 22  # texts are taken together up to this many characters, so that words come in large batches
@@ -60,8 +60,7 @@ class Pieces:
             points = [ord(c) for c in self.texts[i]]
             self.code_points[row, : len(points)] = points
         self.score_of = {self.texts[i]: model.get_score(i) for i in usable}
-        self.pair_keys = np.full(1 << PAIR_SLOTS_LOG2, -1, dtype=np.int64)
-        self.pair_verdicts = np.zeros(1 << PAIR_SLOTS_LOG2, dtype=bool)
+        self.pair_keys = self.pair_verdicts = None  # made when a pair is asked for, which decoding never does
         self.single_verdicts: dict[tuple[int, int], bool] = {}
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +76,9 @@ class Pieces:
 
     def stable(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether merging the two tokens' text ends with just these two (or one, where -1 stands before it)."""
+        if self.pair_keys is None:
+            self.pair_keys = np.full(1 << PAIR_SLOTS_LOG2, -1, dtype=np.int64)
+            self.pair_verdicts = np.zeros(1 << PAIR_SLOTS_LOG2, dtype=bool)
         keys = ((before.astype(np.int64) + 1) << 22) | token
         slots = (keys.astype(np.uint64) * MULTIPLIER) >> np.uint64(64 - PAIR_SLOTS_LOG2)
         verdicts = self.pair_verdicts[slots]
@@ -250,9 +252,11 @@ def encode_texts(texts: list[str | None], model: Pieces, cache: dict[str, bytes]
     """
     split = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
     words = set().union(*split)
-    if len(cache) > CACHED_WORDS:
+    new = words.difference(cache)
+    if len(cache) + len(new) > CACHED_WORDS:
         cache.clear()
-    cache.update(encode_words(sorted(words.difference(cache)), model))
+        new = words
+    cache.update(encode_words(sorted(new), model))
     return [np.frombuffer(b"".join(map(cache.__getitem__, s)), dtype=np.int32) for s in split]
 
 

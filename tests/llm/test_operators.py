@@ -93,6 +93,16 @@ def test_long_runs_equal_the_library_and_the_batched_walk():
         model.merges = True
 
 
+def test_word_cache_stays_within_its_bound(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 10)
+    model, cache = pieces.Pieces(), {}
+    for n in range(5):
+        text = " ".join(f"w{n}x{i}" for i in range(7))
+        assert pieces.decode_ids(pieces.encode_texts([text], model, cache)[0].tolist(), model) == text
+        assert len(cache) <= 10
+    assert pieces.Pieces().pair_keys is None
+
+
 def test_viterbi_finds_the_highest_score():
     model = pieces.Pieces()
     model.merges = False
