@@ -50,8 +50,11 @@ class Pieces:
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.ids = hashes[order], np.array(usable, dtype=np.int32)[order]
         self.scores = np.array([model.get_score(i) for i in usable], dtype=np.float64)[order]
-        self.seen = np.zeros(1 << 20, dtype=bool)
-        self.seen[self.hashes >> np.uint64(44)] = True
+        bounds = np.searchsorted(self.hashes, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
+        self.first = bounds.astype(np.int32)
+        self.most_alike = int(np.diff(bounds, append=len(self.hashes)).max())
+        self.begins = np.zeros(1 << 22, dtype=bool)
+        self.begins[np.array([h >> 42 for i in usable for h in _prefix_hashes(self.texts[i])], dtype=np.int64)] = True
         self.longest = max(len(self.texts[i]) for i in usable)
         self.unknown_score = float(np.float32(self.scores.min() - UNKNOWN_PENALTY))
         self.lengths = np.array([len(self.texts[i]) for i in self.ids], dtype=np.int64)
@@ -62,13 +65,20 @@ class Pieces:
         self.score_of = {self.texts[i]: model.get_score(i) for i in usable}
         self.pair_keys = self.pair_verdicts = None  # made when a pair is asked for, which decoding never does
         self.single_verdicts: dict[tuple[int, int], bool] = {}
+        self.steps: dict[tuple[int, int], list[tuple[str, float]] | None] = {}
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are keys, and their places; a bit table by the upper bits spares most searches."""
-        rows = np.flatnonzero(self.seen[hashes >> np.uint64(44)])
-        at = np.minimum(np.searchsorted(self.hashes, hashes[rows]), len(self.hashes) - 1)
-        same = self.hashes[at] == hashes[rows]
-        return rows[same], at[same]
+        """Which of the hashes are keys, in rising order, and their places; the upper bits give the place to look from."""
+        at = np.minimum(self.first[hashes >> np.uint64(44)], len(self.hashes) - 1)
+        same = self.hashes[at] == hashes
+        for _ in range(1, self.most_alike):
+            later = np.flatnonzero(~same & (self.hashes[at] < hashes) & (at < len(self.hashes) - 1))
+            if not len(later):
+                break
+            at[later] += 1
+            same[later] = self.hashes[at[later]] == hashes[later]
+        rows = np.flatnonzero(same)
+        return rows, at[rows]
 
     def _text_of(self, token: int) -> str:
         """The text of a token: a piece by its id, or a code point without piece, which is numbered behind the pieces."""
@@ -87,8 +97,7 @@ class Pieces:
             fresh, first, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
             found = np.empty(len(fresh), dtype=bool)
             for i, key in enumerate(fresh.tolist()):
-                left, right = self._text_of((key >> 22) - 1), self._text_of(key & ((1 << 22) - 1))
-                found[i] = _merged(left + right, self.score_of) == [t for t in (left, right) if t]
+                found[i] = self._holds((key >> 22) - 1, key & ((1 << 22) - 1))
             verdicts[new] = found[inverse]
             # One pair a slot: of two that meet in one the later stays, in both arrays.
             self.pair_keys[slots[new][first]] = fresh
@@ -99,28 +108,73 @@ class Pieces:
         """:meth:`stable` of one pair."""
         verdict = self.single_verdicts.get((before, token))
         if verdict is None:
-            left, right = self._text_of(before), self._text_of(token)
             if len(self.single_verdicts) >= CACHED_WORDS:
                 self.single_verdicts.clear()
-            verdict = self.single_verdicts[before, token] = _merged(left + right, self.score_of) == [t for t in (left, right) if t]
+            verdict = self.single_verdicts[before, token] = self._holds(before, token)
         return verdict
 
-
-def _merged(text: str, score_of: dict[str, float]) -> list[str]:
-    """What a merging model leaves of a short text: the best-scored neighbours merge, of equals the leftmost first."""
-    parts = list(text)
-    while True:
-        scores = [score_of.get(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
-        if not scores or max(scores) == -np.inf:
-            return parts
-        at = scores.index(max(scores))
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    def _holds(self, before: int, token: int) -> bool:
+        """:meth:`stable` of one pair, from the steps in which each of the two merges on its own.
+
+        The sides merge in one order, the best score first and the left side first of equal ones, until a symbol at the end
+        of the one and a symbol at the begin of the other merge across the boundary: when that scores more than what is
+        next on the left and no less than what is next on the right.
+        """
+        right = self._steps(token, 0)
+        if before < 0 or right is None:
+            return right is not None
+        left = self._steps(before, -1)
+        if left is None:
+            return False
+        i = j = 0
+        while True:
+            (end, next_left), (begin, next_right) = left[i], right[j]
+            across = self.score_of.get(end + begin, -np.inf)
+            if across > next_left and across >= next_right:
+                return False
+            if next_left == next_right == -np.inf:
+                return True
+            if next_left >= next_right:
+                i += 1
+            else:
+                j += 1
+
+    def _steps(self, token: int, place: int) -> list[tuple[str, float]] | None:
+        """Per step in which a token's text merges on its own: the symbol at its end (``place`` -1) or its begin (0) and the
+        score of the next merge.  None if that does not give the token."""
+        if (token, place) not in self.steps:
+            if len(self.steps) >= CACHED_WORDS:
+                self.steps.clear()
+            parts, steps = list(self._text_of(token)), []
+            while parts:
+                at, score = _next_merge(parts, self.score_of)
+                steps.append((parts[place], score))
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.steps[token, place] = steps if len(parts) == 1 else None
+        return self.steps[token, place]
+
+
+def _next_merge(parts: list[str], score_of: dict[str, float]) -> tuple[int, float]:
+    """Which neighbours merge next and their score: the best-scored ones, of equals the leftmost; -1 if none do."""
+    scores = [score_of.get(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+    best = max(scores, default=-np.inf)
+    return (-1 if best == -np.inf else scores.index(best)), best
+
+
+def _prefix_hashes(text: str) -> Iterator[int]:
+    """The hashes of a text's first character, its first two and so on, up to the whole."""
+    total = 0
+    for c in text:
+        total = ((total + ord(c) + 1) * int(MULTIPLIER)) & 0xFFFFFFFFFFFFFFFF
+        yield total
 
 
 def _hash_of(text: str) -> np.uint64:
     total = 0
-    for c in text:
-        total = ((total + ord(c) + 1) * int(MULTIPLIER)) & 0xFFFFFFFFFFFFFFFF
+    for total in _prefix_hashes(text):  # noqa: B007
+        pass
     return np.uint64(total)
 
 
@@ -138,16 +192,22 @@ def pieces(path: str = MODEL) -> Pieces:
 def viterbi(points: np.ndarray, model: Pieces) -> list[list[int]]:
     """The segmentation of each row of ``points``: words of one length, one code point per column.
 
-    All words advance a column at a time (long ones go through :func:`viterbi_run`).  At column ``end`` the substrings that end there are taken start by start, their
-    hashes (differences of prefix hashes) are probed in the sorted piece keys, and a running maximum keeps the best
-    score and the start it came from.  A hash that hits is compared with the piece's code points.  Of equal scores the
-    longer last piece wins.
+    All words advance a column at a time (long ones go through :func:`viterbi_run`).  At column ``start`` the substrings of
+    the words that have a path to it are taken end by end, as long as they begin some piece; their hashes (differences of
+    prefix hashes) are probed in the sorted piece keys, and a running maximum keeps the best score of each end and the
+    start it came from.  A hash that hits is compared with the piece's code points.  Of equal scores the longer last piece
+    wins.
 
     For a unigram model that is the segmentation of highest score.  A merging (BPE) model adds a condition on each
     step: the piece and the one before it must be what merging the two texts gives.  A merge never crosses a boundary
     whose two sides are stable together, so just one path meets the condition everywhere, and it is the model's own
     encoding; whether a pair is stable is found once and remembered.
     """
+    return [np.frombuffer(ids, dtype=np.int32).tolist() for ids in _segmented(points, model)]
+
+
+def _segmented(points: np.ndarray, model: Pieces) -> list[bytes]:
+    """:func:`viterbi`, the ids of a word as bytes of 32-bit integers."""
     n, length = points.shape
     best = np.full((length + 1, n), -np.inf)
     best[0] = 0.0
@@ -158,16 +218,19 @@ def viterbi(points: np.ndarray, model: Pieces) -> list[list[int]]:
         prefix[j + 1] = (prefix[j] + values[:, j]) * MULTIPLIER
     powers = [np.uint64(pow(int(MULTIPLIER), k, 1 << 64)) for k in range(model.longest + 1)]
     alone_token = len(model.texts) + points.astype(np.int32)
-    for end in range(1, length + 1):
-        for start in range(max(0, end - model.longest), end):
-            hit, at = model.find(prefix[end] - prefix[start] * powers[end - start])
-            if not len(hit) and start < end - 1:
-                continue
-            same = (model.lengths[at] == end - start) & (model.code_points[at, : end - start] == points[hit, start:end]).all(axis=1) & (best[start, hit] > -np.inf)
-            hit, at = hit[same], at[same]
-            steps = [(hit, model.ids[at], best[start, hit] + model.scores[at])]
+    for start in range(length):
+        rows = np.flatnonzero(best[start] > -np.inf)
+        for end in range(start + 1, min(length, start + model.longest) + 1):
+            hashes = prefix[end, rows] - prefix[start, rows] * powers[end - start]
+            begun = model.begins[hashes >> np.uint64(42)]
+            reached, rows, hashes = rows, rows[begun], hashes[begun]
+            hit, at = model.find(hashes)
+            words = rows[hit]
+            same = (model.lengths[at] == end - start) & (model.code_points[at, : end - start] == points[words, start:end]).all(axis=1)
+            words, at = words[same], at[same]
+            steps = [(words, model.ids[at], best[start, words] + model.scores[at])]
             if start == end - 1:
-                alone = np.setdiff1d(np.flatnonzero(best[start] > -np.inf), hit, assume_unique=True)
+                alone = np.setdiff1d(reached, words, assume_unique=True)
                 steps.append((alone, alone_token[alone, start], best[start, alone] + model.unknown_score))
             for words, tokens, score in steps:
                 better = score > best[end, words]
@@ -176,7 +239,28 @@ def viterbi(points: np.ndarray, model: Pieces) -> list[list[int]]:
                     good = model.stable(token[start, words], tokens)
                     words, tokens, score = words[good], tokens[good], score[good]
                 best[end, words], came[end, words], token[end, words] = score, start, tokens
-    return [_path(came[:, row], token[:, row], points[row], model) for row in range(n)]
+            if not len(rows):
+                break
+    return _paths(came, token, points, model)
+
+
+def _paths(came: np.ndarray, token: np.ndarray, points: np.ndarray, model: Pieces) -> list[bytes]:
+    """:func:`_path` of all words of one length, walked back together; those with a code point without piece go one by one."""
+    n, length = points.shape
+    ids, used, plain = np.zeros((n, length), dtype=np.int32), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    rows, ends = np.arange(n), np.full(n, length)
+    for place in range(length - 1, -1, -1):
+        taken = token[ends, rows]
+        ids[rows, place] = taken
+        used[rows] += 1
+        plain[rows[taken >= len(model.texts)]] = False
+        ends = came[ends, rows]
+        rows, ends = rows[ends > 0], ends[ends > 0]
+    whole, width = ids.tobytes(), 4 * length
+    found = [whole[end - 4 * k : end] for end, k in zip(range(width, (n + 1) * width, width), used.tolist(), strict=True)]
+    for row in np.flatnonzero(~plain).tolist():
+        found[row] = np.array(_path(came[:, row], token[:, row], points[row], model), dtype=np.int32).tobytes()
+    return found
 
 
 def viterbi_run(points: np.ndarray, model: Pieces) -> list[int]:
@@ -240,7 +324,7 @@ def encode_words(words: list[str], model: Pieces) -> dict[str, bytes]:
         for i in range(0, len(group), most):
             part = group[i : i + most]
             points = np.frombuffer("".join(part).encode("utf-32-le"), dtype=np.uint32).reshape(len(part), length)
-            found.update(zip(part, (np.array(ids, dtype=np.int32).tobytes() for ids in viterbi(points, model)), strict=True))
+            found.update(zip(part, _segmented(points, model), strict=True))
     return found
 
 

@@ -103,6 +103,40 @@ def test_word_cache_stays_within_its_bound(monkeypatch):
     assert pieces.Pieces().pair_keys is None
 
 
+def test_pairs_hold_as_merging_their_text_says():
+    model, r = pieces.Pieces(), random.Random(3)
+
+    def merged(text):
+        parts = list(text)
+        while True:
+            found = [model.score_of.get(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+            if max(found, default=-np.inf) == -np.inf:
+                return parts
+            at = found.index(max(found))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    short = [i for i in model.ids.tolist() if len(model.texts[i]) <= 3]
+    for n in range(6000):
+        left, right = (r.choice(short if n % 2 else model.ids.tolist()) for _ in range(2))
+        if n % 50 == 0:
+            left = len(model.texts) + ord("𝛀")
+        if n % 70 == 0:
+            left = -1
+        pair = [model._text_of(i) for i in (left, right) if i >= 0]
+        assert model._holds(left, right) == (merged("".join(pair)) == pair), pair
+
+
+def test_only_substrings_that_begin_a_piece_are_probed(monkeypatch):
+    model, probed = pieces.Pieces(), []
+    find = pieces.Pieces.find
+    monkeypatch.setattr(pieces.Pieces, "find", lambda self, hashes: probed.append(len(hashes)) or find(self, hashes))
+    word = pieces.SPACE + "qzxjkvwqzx" * 5
+    ids = pieces.encode_words([word], model)[word]
+    starting = {t[:n] for t in model.score_of for n in range(1, len(t) + 1)}
+    assert sum(probed) <= sum(word[a:b] in starting for a in range(len(word)) for b in range(a + 1, len(word) + 1)) + 10
+    assert pieces.decode_ids(np.frombuffer(ids, dtype=np.int32).tolist(), model) == word[1:]
+
+
 def test_viterbi_finds_the_highest_score():
     model = pieces.Pieces()
     model.merges = False
