@@ -294,6 +294,16 @@ def test_file_scoring_and_report(spark, tmp_path, model):
     assert spark.read.text(str(tmp_path / "r")).count() == 10
 
 
+def test_the_forest_is_fitted_on_stored_vectors(spark, monkeypatch):
+    given = []
+    fit = forest.RandomForestClassifier.fit
+    monkeypatch.setattr(forest.RandomForestClassifier, "fit", lambda self, df: given.append(df) or fit(self, df))
+    rows = [(f"{CLAUSES[i % 3]}第{i}批", (1, 5, 0)[i % 3]) for i in range(40)]
+    forest.train(spark.createDataFrame(rows, "text STRING, label INT"), trees=2, depth=2)
+    assert len(given) == 1 and given[0].count() == 40
+    assert "UDF" not in given[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cross_validation(spark):
     rows = spark.createDataFrame([(i, f"{CLAUSES[i % 3]}第{i}批", (1, 5, 0)[i % 3]) for i in range(60)], "id INT, text STRING, label INT")
     got = forest.cross_validate(rows, "id", k=2, trees=5, depth=4).collect()
