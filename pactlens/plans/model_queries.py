@@ -169,9 +169,9 @@ def i1_ranked_probabilities(spark, sf_dir):
     return rows.select("vec_id", "r.label", F.round("r.percent", 6).alias("percent"), (F.col("k") + 1).alias("rank"))
 
 
-def _rule_predictions(spark, sf_dir):
+def _rule_predictions(spark, sf_dir, even=False):
     """Predictions of the rules in the shape of a scored table; review, discard and no label count as rejected."""
-    clauses = view(spark, sf_dir, "clause_src").select("file", "id", "text", "confidence")
+    clauses = view(spark, sf_dir, "clause_src", even).select("file", "id", "text", "confidence")
     label = F.coalesce(rules.strict_label(F.col("text")).try_cast("int"), F.lit(-1))
     named = frames.once(clauses, {"risk_label_id": label})
     return named.withColumns(
@@ -218,7 +218,7 @@ _REPORT = (
 @register("j6_risk_report", _REPORT)
 def j6_risk_report(spark, sf_dir):
     """Labelled once, stored, and read by both halves of the report."""
-    return report.report_lines(frames.stored(_rule_predictions(spark, sf_dir), "predictions"), "file", "id")
+    return report.report_lines(frames.stored(_rule_predictions(spark, sf_dir, even=True), "predictions"), "file", "id")
 
 
 _JSON_REPORT = (
@@ -243,7 +243,7 @@ _JSON_REPORT = (
 
 @register("j6_json_report", _JSON_REPORT)
 def j6_json_report(spark, sf_dir):
-    return report.json_report_lines(frames.stored(_rule_predictions(spark, sf_dir), "predictions"), "file", "id")
+    return report.json_report_lines(frames.stored(_rule_predictions(spark, sf_dir, even=True), "predictions"), "file", "id")
 
 
 @register(

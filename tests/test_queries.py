@@ -62,6 +62,28 @@ def test_generated_code_compiles(spark, tiny, name):
         spark.conf.unset("spark.sql.codegen.fallback")
 
 
+def test_training_rows_are_labelled_once(spark, tiny):
+    """The label that picks the rows is not computed again for those picked, and its stage does not fall back either."""
+    rows = model_queries._training(spark, tiny)
+    assert plan(rows).count("RLIKE") < 25
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        rows.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+@pytest.mark.parametrize("name", ["j6_json_report", "j6_risk_report"])
+def test_reports_label_in_all_tasks(spark, tiny, name, monkeypatch):
+    """The given table is one row group, hence one task; the rules run in as many as there are cores."""
+    given = []
+    stored = model_queries.frames.stored
+    monkeypatch.setattr(model_queries.frames, "stored", lambda df, name: given.append(df) or stored(df, name))
+    QUERIES[name](spark, tiny)
+    assert given[0].rdd.getNumPartitions() >= 8
+    assert model_queries._training(spark, tiny).rdd.getNumPartitions() >= 8
+
+
 def test_rules_run_once_in_the_report(spark, tiny):
     predictions = plan(model_queries._rule_predictions(spark, tiny))
     assert 5 < predictions.count("RLIKE") < 20 and "RLIKE" not in plan(QUERIES["j6_risk_report"](spark, tiny))
