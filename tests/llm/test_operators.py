@@ -358,6 +358,28 @@ def test_rare_shingles_leave_no_pair_out(spark):
     assert kept == close
 
 
+def test_rare_shingles_send_what_lines_share(spark):
+    """Shingles of one line only count for the rank and are not sent; only shared ones can bring two lines together."""
+    texts = ["a common beginning of the line, then " + w * 12 for w in ("x1", "y2", "z3")]
+    members = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "h1 long, norm string")
+    members = members.select("*", F.size(lines.shingle_set()).alias("n_shingles"), F.lit(0).cast("long").alias("sketch"), F.col("h1").alias("group"))
+    sent = lines.rare_shingles(members, similarity=0.2).groupBy("shingle").count().collect()
+    assert sent and all(r["count"] > 1 for r in sent)
+
+
+def test_line_steps_let_their_shuffles_go(spark, monkeypatch):
+    """Each step that shuffles the lines or their shingles is followed by a cleaning of what it shuffled."""
+    order = []
+    free, stored = lines.free_shuffles, lines.stored
+    monkeypatch.setattr(lines, "free_shuffles", lambda s: order.append("free") or free(s))
+    monkeypatch.setattr(lines, "stored", lambda df, name: order.append(name) or stored(df, name))
+    rows = [(i, f"the same long line of text with number {i % 3}\nanother line {i}") for i in range(12)]
+    lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    for step in ("lines", "line-buckets", "line-links", "line-texts", "line-shared", "line-classes"):
+        at = len(order) - 1 - order[::-1].index(step)
+        assert order[at + 1] == "free", step
+
+
 def test_line_copies_with_other_blanks_at_their_ends(spark):
     line = "Six short words with one ending"
     ends = ["", "\r", "\t", " \t\r", "\x0b\x0c\r", " "]
