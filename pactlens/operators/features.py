@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pactlens import vocab
 from pactlens.functions.tokens import long_tokens, pairs_after
+from pactlens.operators.frames import once
 
 
 def with_terms(df: DataFrame, text: str = "text", terms: str = "terms") -> DataFrame:
@@ -84,7 +85,8 @@ def _with_entries(df: DataFrame, rows: list[Row], terms: str) -> DataFrame:
     counts, features = (F.unwrap_udt(c) for c in ("_counts", "_features"))
     entries = F.arrays_zip(counts["indices"].alias("place"), counts["values"].alias("tf"), features["values"].alias("value"))
     known = df.withColumn("_terms", F.coalesce(terms, F.array().cast("array<string>")))  # the stages take no null
-    return _stages(rows, "_terms", "_features").transform(known).select(*df.columns, entries.alias("entries"))
+    counted = _stages(rows, "_terms", "_features").transform(known)
+    return once(counted, {"entries": entries}).select(*df.columns, "entries")  # who opens or filters them would count twice
 
 
 def transform_long(df: DataFrame, vocabulary: DataFrame, key: str, terms: str = "terms") -> DataFrame:

@@ -266,3 +266,13 @@ def test_summary_counts_rejected_apart(spark):
 def test_deficit_remainder(spark):
     plan = dataset.deficit_plan(weights_of(spark, {0: 5, 3: 1}), 14).orderBy("label").collect()
     assert [(r.target, r.missing) for r in plan] == [(3, 0), (3, 3), (2, 2), (2, 1), (2, 2), (2, 2)]
+
+
+def test_vector_entries_are_computed_once(spark):
+    """Opening the entries, or filtering by their number, neither reads the texts nor counts their terms again."""
+    rows = features.with_terms(spark.range(4).select("id", F.concat(F.lit("乙方付款 abc"), F.col("id").cast("string")).alias("text")))
+    vocabulary = features.fit_vocabulary(rows)
+    opened = features.transform_long(rows, vocabulary, "id")
+    filtered = features.sparse_vectors(rows, vocabulary).filter(F.size("entries") > 0).select("id")
+    for df in (opened, filtered):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2  # words and pairs
