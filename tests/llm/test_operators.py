@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips and library results, and their defined cases."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -380,6 +381,33 @@ def test_line_steps_let_their_shuffles_go(spark, monkeypatch):
         assert order[at + 1] == "free", step
 
 
+def test_line_parities_lose_no_similar_pair(spark):
+    """Bits differ in no more places than shingles do; most pairs of a template that are not similar are told apart."""
+    r = random.Random(8)
+    base, rows = prose(61, 60).split(), []
+    for _ in range(60):
+        words = list(base)
+        for place in r.sample(range(60), r.choice([1, 3, 12, 20])):
+            words[place] = prose(r.randrange(10**6), 1)
+        rows.append(" ".join(words))
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "h1 long, norm string")
+    table = texts.select("h1", F.size(lines.shingle_set()).alias("n_shingles"), F.lit(0).cast("long").alias("sketch")).join(lines.parities(texts), "h1")
+    met = table.join(lines._others(table, "h1").withColumnRenamed("h1", "o"), F.col("h1") < F.col("o"))
+    kept = {(x.h1, x.o) for x in met.where(lines._may_be_similar(lines.SIMILARITY, True)).collect()}
+    every = {(a, b) for b in range(60) for a in range(b)}
+    close = {(a, b) for a, b in every if alike(rows[a], rows[b]) >= lines.SIMILARITY}
+    assert close and close <= kept and len(kept - close) < len(every - close) / 4
+
+
+def test_line_tables_go_with_the_last_step(spark, monkeypatch):
+    """The classes stay in the shared folder, and what the rare shingles were read from; lines, texts and pairs go."""
+    made, stored = [], lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: made.append((name, stored(df, name))) or made[-1][1])
+    rows = [(i, f"the same long line of text with number {i % 3}\nanother line {i}") for i in range(12)]
+    assert not lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).isEmpty()
+    assert {name for name, table in made if os.path.exists(table.stored_at)} == {"line-classes", "line-shared", "line-rare"}
+
+
 def test_line_copies_with_other_blanks_at_their_ends(spark):
     line = "Six short words with one ending"
     ends = ["", "\r", "\t", " \t\r", "\x0b\x0c\r", " "]
